@@ -7,9 +7,10 @@ agree: at a similarity of 0.75 all tables miss it with a probability below 4 in
 
 1. Documents with equal shingle sets form a class; all further work is on classes.
 2. Collections whose value no other class has are dropped before tables are formed: most documents end here.
-3. In each table bucket every class is compared, on full sets, with the bucket's first class: never all pairs.
-4. Connected components are found by joins. Buckets whose members aren't in one component yet give the pairs between components
-   whose minhashes agree well enough (13 of 32; at a similarity of 0.75 fewer agree once in 100,000 times); these are verified too.
+3. In each table bucket every class is compared, on full sets, with one class of the bucket, and connected components are found by
+   joins. Buckets whose members aren't in one component yet take another turn with another class at the centre.
+4. What is left then (members that are close to their bucket's component, but not close enough) gives the pairs between components
+   that 512 more minhashes, one bit of each, don't rule out (3.8 standard deviations); these are verified on full sets, too.
 
 Defined results: a null or empty text has no shingles and stands alone; repeated rows of a document are copies of each other;
 a null id reports the smallest id of its component; ties don't matter, since the component's id is a minimum.
@@ -119,38 +120,78 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
     return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, seed: int = 1) -> DataFrame:
+def _bits(pairs_of: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """set_key, b0 .. b7: the lowest bits of 512 more minhashes of the classes in pairs_of."""
+    wanted = classes.join(pairs_of.select("set_key").distinct(), "set_key", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+    draws = np.random.default_rng(seed + 1).integers(0, 1 << 63, (2, 512), np.uint64)
+    factor, offset = draws[0] * vec.U(2) + vec.U(1), draws[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for s in shingle_sets(batch.column(0), width):
+                low = np.full(512, 2**64 - 1, np.uint64)
+                for i in range(0, len(s), 512):
+                    np.minimum(low, (s[i : i + 512, None] * factor + offset).min(axis=0), out=low)
+                keys.append(blake2b(s.tobytes(), digest_size=16).digest())
+                words.append(np.packbits(((low >> vec.U(40)) & vec.U(1)).astype(np.uint8)).view(np.int64))
+            flat = np.array(words, np.int64).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(flat[:, k]) for k in range(8))], ["k", *(f"b{k}" for k in range(8))])
+
+    texts = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+    return texts.mapInArrow(run, "k binary, " + ", ".join(f"b{k} long" for k in range(8))).dropDuplicates(["k"])
+
+
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, rounds: int = 3, seed: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
     classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
+    check = (classes, documents, id_col, text_col, width)
 
     each = classes.select("set_key", F.posexplode("u").alias("i", "v"))
     shared = each.groupBy("i", "v").count().where("count > 1").select("i", "v")
     live = each.join(shared, ["i", "v"], "left_semi").groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).where(F.size("c") > 1)
     first = live.select("set_key", "c", F.posexplode("c").alias("p", "x"))
     second = first.select("set_key", "x", F.explode(F.slice("c", F.col("p") + 2, F.greatest(F.size("c") - F.col("p") - 1, F.lit(0)))).alias("y"))
-    keyed = second.select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), "set_key")
-    heads = keyed.groupBy("key").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stash(keyed.join(heads, "key").select("key", "head", "set_key"))
-
-    star = stash(buckets.where("head <> set_key").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct())
-    links = stash(verified(star, classes, documents, id_col, text_col, width, percent))
-    labels = connected(links)
-
-    # buckets that hold more than one component yet
-    named = buckets.join(labels, buckets.set_key == labels.node, "left").select("key", "set_key", F.coalesce("label", "set_key").alias("label"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = stash(named.join(open_keys, "key", "left_semi"))
-    if not rest.isEmpty():
+    keyed = second.select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), "set_key")
+    full = keyed.groupBy("key").count().where("count > 1").select("key")
+    buckets = stash(keyed.join(full, "key", "left_semi"))
+
+    labels = None
+    tested = links = None
+    rest = buckets.withColumn("label", F.col("set_key"))
+    for turn in range(rounds):
+        order = F.col("set_key") if turn == 0 else F.struct(F.xxhash64("set_key", "key", F.lit(turn)), "set_key")
+        head = rest.groupBy("key").agg(F.min_by(F.struct(F.col("set_key").alias("head"), F.col("label").alias("of")), order).alias("h")).select("key", "h.*")
+        star = rest.join(head, "key").where("label <> of").select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct()
+        star = stash(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
+        found = stash(verified(star, *check, percent))
+        tested, links = (star, found) if tested is None else (tested.union(star), links.union(found))
+        labels = connected(links)
+        named = buckets.join(labels, buckets.set_key == labels.node, "left").select("key", "i", "j", "set_key", F.coalesce("label", "set_key").alias("label"))
+        open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        rest = stash(named.join(open_keys, "key", "left_semi"))
+        if rest.isEmpty():
+            break
+    else:
         held = rest.join(classes.select("set_key", "n", "u"), "set_key")
-        x, y = (held.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("set_key", "label", "n", "u"))) for s in "xy")
-        low, high = F.lit((1 << 32) - 1), 32
-        agree = F.aggregate(F.zip_with("ux", "uy", lambda p, q: (F.shiftrightunsigned(p, high) == F.shiftrightunsigned(q, high)).cast("int") + (p.bitwiseAND(low) == q.bitwiseAND(low)).cast("int")), F.lit(0), lambda s, v: s + v)
-        fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (agree >= F.lit(collections * _PER * 13 // 32))
-        cross = x.join(y, (x.key == y.key) & (F.col("labelx") < F.col("labely")) & fits).select(F.col("set_keyx").alias("a"), F.col("set_keyy").alias("b")).distinct()
-        cross = stash(cross.join(star, ["a", "b"], "left_anti"))
+        bits = _bits(rest, *check, seed)
+        held = stash(held.join(bits, held.set_key == bits.k).drop("k"))
+        x, y = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "xy")
+        apart = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(8)), F.lit(0))
+        # at a similarity of percent, half of the other minhashes' bits differ: 3.8 standard deviations more are allowed
+        odd = (1 - percent / 100) / 2
+        most = 512 * odd + 3.8 * (512 * odd * (1 - odd)) ** 0.5
+        alike = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda k: F.get("u_x", k) == F.get("u_y", k))
+        fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (apart <= F.lit(most))
+        # of the tables where a pair meets, the first one gives it
+        once = (F.get(alike, F.lit(0)) == F.col("i_x")) & (F.get(alike, F.lit(1)) == F.col("j_x"))
+        cross = x.join(y, (x.key_x == y.key_y) & (F.col("label_x") < F.col("label_y")) & fits & once)
+        cross = cross.select(F.least("set_key_x", "set_key_y").alias("a"), F.greatest("set_key_x", "set_key_y").alias("b")).distinct()
+        cross = stash(cross.join(tested, ["a", "b"], "left_anti"))
         if not cross.isEmpty():
-            more = stash(verified(cross, classes, documents, id_col, text_col, width, percent))
+            more = stash(verified(cross, *check, percent))
             if not more.isEmpty():
                 labels = connected(links.union(more))
 

@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup
+from . import chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, tokenfiles, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
+    "op2_importance": importance.op2_importance,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_token_files": tokenfiles.op4_token_files,
+    "op5_quality_rules": rules.op5_quality_rules,
+    "op6_chat": chat.op6_chat,
+    "op7_warc": warc.op7_warc,
+    "op8_repeats": repeats.op8_repeats,
+    "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 SQL: dict[str, str] = {
+    "op1_pii": pii.OP1_SQL,
     "op3_near_duplicates": neardup.OP3_SQL,
+    "op5_quality_rules": rules.OP5_SQL,
+    "op6_chat": chat.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
+    "op9_mixing": mixing.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabprep.llm.decontaminate import decontaminate
+from tabprep.llm.importance import resample
+from tabprep.llm.mixing import mix_sources
 from tabprep.llm.neardup import drop_near_duplicates
 from tabprep.llm.shared import stash
+from tabprep.llm.tokenfiles import read_tokens, write_tokens
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +24,25 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return read_tokens(spark, write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 STAGES = [
+    ("quality", quality),
     ("near_duplicates", near_duplicates),
     ("benchmark_passages", benchmark_passages),
+    ("mixture", mixture),
+    ("token_files", token_files),
 ]
 
-#: SQL has no tokenizer and can't follow the hashed draws of the stages.
+#: SQL has no tokenizer and no hashed n-gram models.
 ORACLE_SQL = None
 
 

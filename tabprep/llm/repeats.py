@@ -97,7 +97,7 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
 
 def _matrix(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = np.fromiter(map(len, strings), np.int64, len(strings))
-    width = int(n.max()) if len(n) else 0
+    width = max(1, int(n.max()))
     return np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width), n
 
 

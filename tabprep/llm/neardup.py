@@ -8,9 +8,9 @@ agree: at a similarity of 0.75 all tables miss it with a probability below 4 in
 1. Documents with equal shingle sets form a class; all further work is on classes.
 2. Collections whose value no other class has are dropped before tables are formed: most documents end here.
 3. In each table bucket every class is compared, on full sets, with one class of the bucket, and connected components are found by
-   joins. Buckets whose members aren't in one component yet take another turn with another class at the centre.
+   joins. Buckets whose members aren't in one component yet take another turn, with ``centres`` other classes at their centres.
 4. What is left then (members that are close to their bucket's component, but not close enough) gives the pairs between components
-   that 512 more minhashes, one bit of each, don't rule out (3.8 standard deviations); these are verified on full sets, too.
+   that 1,024 more minhashes, one bit of each, don't rule out (3.8 standard deviations); these are verified on full sets, too.
 
 Defined results: a null or empty text has no shingles and stands alone; repeated rows of a document are copies of each other;
 a null id reports the smallest id of its component; ties don't matter, since the component's id is a minimum.
@@ -31,6 +31,8 @@ from .shared import stash
 
 #: Minhashes in one collection.
 _PER = 2
+#: 64 bits each, of the sketch that tells more closely.
+_LONGS = 16
 
 
 def shingle_sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -121,29 +123,29 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
 
 
 def _bits(pairs_of: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """set_key, b0 .. b7: the lowest bits of 512 more minhashes of the classes in pairs_of."""
+    """set_key, b0 .. b15: one bit each of 1,024 more minhashes of the classes in pairs_of."""
     wanted = classes.join(pairs_of.select("set_key").distinct(), "set_key", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    draws = np.random.default_rng(seed + 1).integers(0, 1 << 63, (2, 512), np.uint64)
+    draws = np.random.default_rng(seed + 1).integers(0, 1 << 63, (2, 64 * _LONGS), np.uint64)
     factor, offset = draws[0] * vec.U(2) + vec.U(1), draws[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, words = [], []
             for s in shingle_sets(batch.column(0), width):
-                low = np.full(512, 2**64 - 1, np.uint64)
-                for i in range(0, len(s), 512):
-                    np.minimum(low, (s[i : i + 512, None] * factor + offset).min(axis=0), out=low)
+                low = np.full(64 * _LONGS, 2**64 - 1, np.uint64)
+                for i in range(0, len(s), 256):
+                    np.minimum(low, (s[i : i + 256, None] * factor + offset).min(axis=0), out=low)
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest())
                 words.append(np.packbits(((low >> vec.U(40)) & vec.U(1)).astype(np.uint8)).view(np.int64))
-            flat = np.array(words, np.int64).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(flat[:, k]) for k in range(8))], ["k", *(f"b{k}" for k in range(8))])
+            flat = np.array(words, np.int64).reshape(-1, _LONGS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(flat[:, k]) for k in range(_LONGS))], ["k", *(f"b{k}" for k in range(_LONGS))])
 
     texts = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
-    return texts.mapInArrow(run, "k binary, " + ", ".join(f"b{k} long" for k in range(8))).dropDuplicates(["k"])
+    return texts.mapInArrow(run, "k binary, " + ", ".join(f"b{k} long" for k in range(_LONGS))).dropDuplicates(["k"])
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, rounds: int = 3, seed: int = 1) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, centres: int = 3, seed: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
     classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
@@ -161,9 +163,11 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     labels = None
     tested = links = None
     rest = buckets.withColumn("label", F.col("set_key"))
-    for turn in range(rounds):
-        order = F.col("set_key") if turn == 0 else F.struct(F.xxhash64("set_key", "key", F.lit(turn)), "set_key")
-        head = rest.groupBy("key").agg(F.min_by(F.struct(F.col("set_key").alias("head"), F.col("label").alias("of")), order).alias("h")).select("key", "h.*")
+    for turn in range(2):
+        # first the smallest key of each bucket is its centre, then some that are drawn for each bucket
+        orders = [F.col("set_key")] if turn == 0 else [F.struct(F.xxhash64("set_key", "key", F.lit(k)), "set_key") for k in range(centres)]
+        member = F.struct(F.col("set_key").alias("head"), F.col("label").alias("of"))
+        head = rest.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(member, order) for order in orders))).alias("h")).select("key", F.explode("h").alias("h")).select("key", "h.*")
         star = rest.join(head, "key").where("label <> of").select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct()
         star = stash(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
         found = stash(verified(star, *check, percent))
@@ -176,13 +180,14 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
             break
     else:
         held = rest.join(classes.select("set_key", "n", "u"), "set_key")
-        bits = _bits(rest, *check, seed)
-        held = stash(held.join(bits, held.set_key == bits.k).drop("k"))
+        sketched = _bits(rest, *check, seed)
+        held = stash(held.join(sketched, held.set_key == sketched.k).drop("k"))
         x, y = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "xy")
-        apart = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(8)), F.lit(0))
+        apart = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(_LONGS)), F.lit(0))
         # at a similarity of percent, half of the other minhashes' bits differ: 3.8 standard deviations more are allowed
         odd = (1 - percent / 100) / 2
-        most = 512 * odd + 3.8 * (512 * odd * (1 - odd)) ** 0.5
+        bits = 64 * _LONGS
+        most = bits * odd + 3.8 * (bits * odd * (1 - odd)) ** 0.5
         alike = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda k: F.get("u_x", k) == F.get("u_y", k))
         fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (apart <= F.lit(most))
         # of the tables where a pair meets, the first one gives it

@@ -192,7 +192,7 @@ def _set(bit_map: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, group: int = 4000, bits: int = 26) -> DataFrame:
-    """_key of the row, first and end byte of each occurrence of a maximal repeat, and the repeat's number of occurrences in its group."""
+    """_key of the row, first and end byte of what an occurrence of an anchor has in maximal repeats, and the most occurrences of one of these in its group."""
     spark = documents.sparkSession
     docs = _keyed(documents, id_col, text_col)
 
@@ -250,10 +250,15 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         out: list[tuple] = []
 
         def finish() -> None:
+            # nested repeats of an occurrence all hold the anchor, so together they cover one range
+            widest: dict[int, tuple[int, int, int]] = {}
             for before, after, members in maximal_repeats([r[3][r[2] :] for r in held], [r[3][: r[2]][::-1] for r in held], least):
                 for m in members:
-                    key, start, at, _ = held[m]
-                    out.append((key, start + at - before, start + at + after, len(members)))
+                    b, a, n = widest.get(m, (0, 0, 0))
+                    widest[m] = max(b, before), max(a, after), max(n, len(members))
+            for m, (b, a, n) in widest.items():
+                key, start, at, _ = held[m]
+                out.append((key, start + at - b, start + at + a, n))
 
         current = None
         for batch in batches:

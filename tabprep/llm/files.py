@@ -17,7 +17,7 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 def writer(uri: str):
     system, path = place(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def reader(uri: str):

@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
@@ -59,8 +59,12 @@ def shingle_sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, vec.U)
 
 
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def sketch(documents: DataFrame, id_col: str, text_col: str, width: int, collections: int, seed: int) -> DataFrame:
-    """doc, n_shingles, set_key (of the full set; null without shingles), u: the collections' values, two 32-bit minhashes in each."""
+    """doc, text_key, n_shingles, set_key (of the full set; null without shingles), u: the collections' values, two 32-bit minhashes in each."""
     draws = np.random.default_rng(seed).integers(0, 1 << 63, (2, collections * _PER), np.uint64)
     factor, offset = draws[0] * vec.U(2) + vec.U(1), draws[1]
     id_type = documents.schema[id_col].dataType.simpleString()
@@ -80,10 +84,10 @@ def sketch(documents: DataFrame, id_col: str, text_col: str, width: int, collect
                     np.minimum(low, (s[i : i + 4096, None] * factor + offset).min(axis=0), out=low)
                 low >>= vec.U(32)
                 us.append(((low[0::2] << vec.U(32)) | low[1::2]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(us, pa.list_(pa.int64()))], ["doc", "n_shingles", "set_key", "u"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(us, pa.list_(pa.int64())), batch.column(2)], ["doc", "n_shingles", "set_key", "u", "text_key"])
 
-    plain = documents.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, f"doc {id_type}, n_shingles long, set_key binary, u array<bigint>")
+    plain = documents.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), _text_key(text_col).alias("text_key"))
+    return plain.mapInArrow(run, f"doc {id_type}, n_shingles long, set_key binary, u array<bigint>, text_key binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -145,8 +149,8 @@ def _bits(pairs_of: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
     return texts.mapInArrow(run, "k binary, " + ", ".join(f"b{k} long" for k in range(_LONGS))).dropDuplicates(["k"])
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, centres: int = 3, seed: int = 1) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
+def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, centres: int = 3, seed: int = 1) -> DataFrame:
+    """One row per document: doc, text_key, n_shingles, component."""
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
     classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
     check = (classes, documents, id_col, text_col, width)
@@ -204,17 +208,23 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     lowest = lead.groupBy("label").agg(F.min("rep").alias("component"))
     of_node = lead.join(lowest, "label").select(F.col("node").alias("set_key"), "component")
     of_class = classes.select("set_key", "rep").join(of_node, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = docs.select("doc", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.coalesce("component", "doc")
-    return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
+    out = docs.select("doc", "text_key", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    return out.select("doc", "text_key", "n_shingles", F.coalesce("component", "doc").alias("component"))
+
+
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
+    found = _components(documents, id_col=id_col, **options)
+    return found.select(F.col("doc").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, one of each component: that with the smallest id; of its repeated rows any one."""
-    kept = near_duplicates(documents, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("_kept"))
-    counted = stash(kept.groupBy("_kept").count())
-    out = documents.join(counted, documents[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return out if counted.where("count > 1").isEmpty() else out.dropDuplicates([id_col, options.get("text_col", "text")])
+    found = _components(documents, id_col=id_col, text_col=text_col, **options).where(F.col("doc").eqNullSafe(F.col("component")))
+    counted = stash(found.groupBy("doc", "component", "text_key").count().withColumnRenamed("count", "_n"))
+    one = counted.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    out = documents.join(one, documents[id_col].eqNullSafe(F.col("_doc")) & (_text_key(text_col) == F.col("_text_key")), "left_semi")
+    return out if counted.where("_n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

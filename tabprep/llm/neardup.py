@@ -7,10 +7,12 @@ agree: at a similarity of 0.75 all tables miss it with a probability below 4 in
 
 1. Documents with equal shingle sets form a class; all further work is on classes.
 2. Collections whose value no other class has are dropped before tables are formed: most documents end here.
-3. In each table bucket every class is compared, on full sets, with one class of the bucket, and connected components are found by
-   joins. Buckets whose members aren't in one component yet take another turn, with ``centres`` other classes at their centres.
-4. What is left then (members that are close to their bucket's component, but not close enough) gives the pairs between components
-   that 1,024 more minhashes, one bit of each, don't rule out (3.8 standard deviations); these are verified on full sets, too.
+3. In each table bucket every class is compared, on full sets, with the bucket's centre: the class whose collections' values are
+   the most widely shared. Connected components are found by joins.
+4. Classes that share a bucket with its centre's component without being in it are the stragglers. Shingles of a class that no class
+   near it has limit what it can share with any partner (exactly, from counts). The pairs of a straggler and another class of its
+   bucket that these limits allow, and 1,024 more minhashes, one bit of each, don't rule out (3.8 standard deviations), are verified
+   on full sets, too. Pairs inside a component are never formed.
 
 Defined results: a null or empty text has no shingles and stands alone; repeated rows of a document are copies of each other;
 a null id reports the smallest id of its component; ties don't matter, since the component's id is a minimum.
@@ -107,7 +109,6 @@ def connected(edges: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes with 100 * intersection >= percent * union, on full sets that are made anew from the texts."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct()
-    wanted = classes.join(nodes, classes.set_key == nodes.a, "left_semi").select(F.col("rep").alias("_rep")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,18 +118,35 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
             keys = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["k", "shingles"])
 
-    texts = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
-    sets = texts.mapInArrow(run, "k binary, shingles array<bigint>").dropDuplicates(["k"])
+    sets = _texts_of(nodes, classes, documents, id_col, text_col).mapInArrow(run, "k binary, shingles array<bigint>").dropDuplicates(["k"])
     one, two = sets.select(F.col("k").alias("ka"), F.col("shingles").alias("sa")), sets.select(F.col("k").alias("kb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     full = pairs.join(one, pairs.a == one.ka).join(two, pairs.b == two.kb)
     return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _bits(pairs_of: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """set_key, b0 .. b15: one bit each of 1,024 more minhashes of the classes in pairs_of."""
-    wanted = classes.join(pairs_of.select("set_key").distinct(), "set_key", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+def _texts_of(nodes: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One text of each class in nodes (a); more where rows of an id differ."""
+    wanted = classes.join(nodes, classes.set_key == nodes.a, "left_semi").select(F.col("rep").alias("_rep")).distinct()
+    texts = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    return texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+
+
+def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(k, own): how many shingles of a set no other set of the texts has; sets without any are missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), width):
+                key = blake2b(s.tobytes(), digest_size=16).digest()
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.binary()), len(s)), pa.array(s.astype(np.int64))], ["k", "shingle"])
+
+    single = texts.mapInArrow(run, "k binary, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("k")).where("rows = 1")
+    return single.groupBy("k").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _bits(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """k, b0 .. b15: one bit each of 1,024 more minhashes of the texts' sets."""
     draws = np.random.default_rng(seed + 1).integers(0, 1 << 63, (2, 64 * _LONGS), np.uint64)
     factor, offset = draws[0] * vec.U(2) + vec.U(1), draws[1]
 
@@ -144,65 +162,56 @@ def _bits(pairs_of: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
             flat = np.array(words, np.int64).reshape(-1, _LONGS)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(flat[:, k]) for k in range(_LONGS))], ["k", *(f"b{k}" for k in range(_LONGS))])
 
-    texts = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
     return texts.mapInArrow(run, "k binary, " + ", ".join(f"b{k} long" for k in range(_LONGS))).dropDuplicates(["k"])
 
 
-def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, centres: int = 3, seed: int = 1) -> DataFrame:
+def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, seed: int = 1) -> DataFrame:
     """One row per document: doc, text_key, n_shingles, component."""
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
     classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
     check = (classes, documents, id_col, text_col, width)
 
-    each = classes.select("set_key", F.posexplode("u").alias("i", "v"))
-    shared = each.groupBy("i", "v").count().where("count > 1").select("i", "v")
-    live = each.join(shared, ["i", "v"], "left_semi").groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).where(F.size("c") > 1)
-    first = live.select("set_key", "c", F.posexplode("c").alias("p", "x"))
-    second = first.select("set_key", "x", F.explode(F.slice("c", F.col("p") + 2, F.greatest(F.size("c") - F.col("p") - 1, F.lit(0)))).alias("y"))
-    keyed = second.select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), "set_key")
-    full = keyed.groupBy("key").count().where("count > 1").select("key")
-    buckets = stash(keyed.join(full, "key", "left_semi"))
-
-    labels = None
-    tested = links = None
-    rest = buckets.withColumn("label", F.col("set_key"))
-    for turn in range(2):
-        # first the smallest key of each bucket is its centre, then some that are drawn for each bucket
-        orders = [F.col("set_key")] if turn == 0 else [F.struct(F.xxhash64("set_key", "key", F.lit(k)), "set_key") for k in range(centres)]
-        member = F.struct(F.col("set_key").alias("head"), F.col("label").alias("of"))
-        head = rest.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(member, order) for order in orders))).alias("h")).select("key", F.explode("h").alias("h")).select("key", "h.*")
-        star = rest.join(head, "key").where("label <> of").select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct()
-        star = stash(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
-        found = stash(verified(star, *check, percent))
-        tested, links = (star, found) if tested is None else (tested.union(star), links.union(found))
-        labels = connected(links)
-        named = buckets.join(labels, buckets.set_key == labels.node, "left").select("key", "i", "j", "set_key", F.coalesce("label", "set_key").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        rest = stash(named.join(open_keys, "key", "left_semi"))
-        if rest.isEmpty():
-            break
-    else:
-        held = rest.join(classes.select("set_key", "n", "u"), "set_key")
-        sketched = _bits(rest, *check, seed)
-        held = stash(held.join(sketched, held.set_key == sketched.k).drop("k"))
-        x, y = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns)) for s in "xy")
-        apart = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(_LONGS)), F.lit(0))
+    each = classes.select("set_key", "n", F.posexplode("u").alias("i", "v"))
+    shared = each.groupBy("i", "v").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
+    live = each.join(shared, ["i", "v"]).groupBy("set_key", "n").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"), F.sum("spread").alias("spread")).where(F.size("c") > 1)
+    first = live.select("set_key", "n", "spread", "c", F.posexplode("c").alias("p", "x"))
+    second = first.select("set_key", "n", "spread", "x", F.explode(F.slice("c", F.col("p") + 2, F.greatest(F.size("c") - F.col("p") - 1, F.lit(0)))).alias("y"))
+    keyed = second.select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), "set_key", "n", "spread")
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("spread", "set_key")).alias("top")).where("size > 1")
+    buckets = stash(keyed.join(full.select("key", F.col("top.set_key").alias("head")), "key").select("key", "i", "j", "set_key", "n", "head"))
+
+    star = stash(buckets.where("set_key <> head").select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct())
+    links = stash(verified(star, *check, percent))
+    labels = connected(links)
+
+    named = stash(buckets.join(labels, buckets.set_key == labels.node, "left").select("key", "i", "j", "set_key", "n", "head", F.coalesce("label", "set_key").alias("label")))
+    apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.min(F.when(F.col("set_key") == F.col("head"), F.col("label"))).alias("of")).where("lo <> hi")
+    minor = stash(named.join(apart.select("key", "least", "of"), "key").where("label <> of").select("key", "i", "j", "set_key", "label", "least", "of"))
+    if not minor.isEmpty():
+        of = minor.select("of").distinct()
+        near = stash(minor.select(F.col("set_key").alias("a")).union(of).union(labels.join(of, labels.label == of["of"], "left_semi").select("node")).distinct())
+        texts = _texts_of(near, *check[:-1])
+        own, bits = _own_shingles(texts, width).withColumnRenamed("k", "own_k"), _bits(texts, width, seed)
+        # of n shingles at most n - own are shared, so a partner has at most this many
+        room = F.floor(((100 + percent) * (F.col("n") - F.coalesce("own", F.lit(0))) - percent * F.col("n")) / percent)
+        facts = classes.join(near, classes.set_key == near.a, "left_semi").join(bits, F.col("set_key") == F.col("k")).join(own, F.col("set_key") == F.col("own_k"), "left")
+        facts = stash(facts.where(100 * room >= percent * F.col("n")).select("set_key", F.col("n").alias("size"), room.alias("most"), "u", *(f"b{k}" for k in range(_LONGS))))
+        x = minor.join(facts, "set_key").where("least <= most").select("key", "i", "j", "label", *facts.columns)
+        x = stash(x.select("key", "i", "j", *(F.col(c).alias(f"{c}_x") for c in x.columns[3:])))
+        y = named.select("key", "set_key", "label").join(facts, "set_key", "left")
+        differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_x"))) for k in range(_LONGS)), F.lit(0))
         # at a similarity of percent, half of the other minhashes' bits differ: 3.8 standard deviations more are allowed
-        odd = (1 - percent / 100) / 2
-        bits = 64 * _LONGS
-        most = bits * odd + 3.8 * (bits * odd * (1 - odd)) ** 0.5
-        alike = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda k: F.get("u_x", k) == F.get("u_y", k))
-        fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (apart <= F.lit(most))
+        odd, all_bits = (1 - percent / 100) / 2, 64 * _LONGS
+        most_differ = all_bits * odd + 3.8 * (all_bits * odd * (1 - odd)) ** 0.5
+        fits = (F.col("size") <= F.col("most_x")) & (F.col("size_x") <= F.col("most")) & (100 * F.least("size", "size_x") >= percent * F.greatest("size", "size_x")) & (differ <= F.lit(most_differ))
+        alike = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda k: F.get("u", k) == F.get("u_x", k))
         # of the tables where a pair meets, the first one gives it
-        once = (F.get(alike, F.lit(0)) == F.col("i_x")) & (F.get(alike, F.lit(1)) == F.col("j_x"))
-        cross = x.join(y, (x.key_x == y.key_y) & (F.col("label_x") < F.col("label_y")) & fits & once)
-        cross = cross.select(F.least("set_key_x", "set_key_y").alias("a"), F.greatest("set_key_x", "set_key_y").alias("b")).distinct()
-        cross = stash(cross.join(tested, ["a", "b"], "left_anti"))
-        if not cross.isEmpty():
-            more = stash(verified(cross, *check, percent))
-            if not more.isEmpty():
-                labels = connected(links.union(more))
+        once = (F.get(alike, F.lit(0)) == F.col("i")) & (F.get(alike, F.lit(1)) == F.col("j"))
+        cross = x.join(y, "key").where((F.col("label") != F.col("label_x")) & fits & once)
+        cross = cross.select(F.least("set_key_x", "set_key").alias("a"), F.greatest("set_key_x", "set_key").alias("b")).distinct()
+        more = stash(verified(stash(cross.join(star, ["a", "b"], "left_anti")), *check, percent))
+        if not more.isEmpty():
+            labels = connected(links.union(more))
 
     lead = labels.join(classes, labels.node == classes.set_key).select("node", "label", "rep")
     lowest = lead.groupBy("label").agg(F.min("rep").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..errors import Refused
 from ..functions.identity import ROW_ID, ROW_ORDER, SYSTEM, number_rows, user_columns
 from ..functions.predicates import check_literal, family, predicate
+from .quantiles import quantiles
 
 TARGETS = {"numeric": "double", "string": "string", "categorical": "string", "boolean": "boolean", "datetime": "timestamp_ntz"}
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|[iI]nf(inity)?|[nN]a[nN])\s*$"
@@ -91,8 +92,10 @@ def fill_values(df: DataFrame, columns: list[str], strategy: str, constant: obje
         for c in columns:
             if family(df.schema[c].dataType) != "numeric":
                 raise Refused("numeric_fill_required", c)
-        of = F.avg if strategy == "mean" else F.median
-        learned = df.agg(*(of(c).alias(c) for c in columns)).first().asDict()
+        if strategy == "mean":
+            learned = df.agg(*(F.avg(c).alias(c) for c in columns)).first().asDict()
+        else:
+            learned = {c: v for c, (v,) in quantiles(df, columns, [0.5]).items()}
         for c, v in learned.items():
             if v is not None and (v != v or v in (float("inf"), float("-inf"))):
                 raise Refused("non_finite_value", c)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..errors import Refused
 from ..functions.predicates import family
 from ..storage import materialize
+from .quantiles import quantiles
 
 #: Columns of one aggregate with distinct counts; more make several.
 WIDE = 50
@@ -82,10 +83,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def outliers_iqr(df: DataFrame, factor: float = 3.0) -> DataFrame:
     """Per numeric column: values beyond factor interquartile ranges from the quartiles; columns without any are left out."""
     names = numeric_columns(df)
-    quartiles = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in names)).first()
+    quartiles = quantiles(df, names, [0.25, 0.75])
     counts = []
     for c in names:
-        q1, q3 = quartiles[c] or (0.0, 0.0)
+        q1, q3 = (q or 0.0 for q in quartiles[c])
         wide = q3 - q1
         odd = (F.col(c) < q1 - factor * wide) | (F.col(c) > q3 + factor * wide)
         counts.append(F.coalesce(F.sum((odd if wide > 0 else F.lit(False)).cast("long")), F.lit(0)).alias(c))
@@ -157,3 +158,26 @@ def quality_findings(df: DataFrame, target: str | None = None) -> DataFrame:
     if target and imbalance(df, target).first()["severe"]:
         add("issue", "severe_imbalance", [target], 1)
     return df.sparkSession.createDataFrame(found or [(0, "ok", "no_findings", 0, [])], "position int, severity string, finding string, n long, columns array<string>")
+
+
+def diagnose(df: DataFrame, target: str) -> DataFrame:
+    """All checks of a table with a binary target as one report: check, column (null for the table), value as text."""
+    features = df.drop(target)
+    checks = [
+        ("class_count", class_summary(df, target), F.col("class").cast("string"), F.col("count")),
+        ("minority", imbalance(df, target), F.lit(target), F.col("minority")),
+        ("imbalanced", imbalance(df, target), F.lit(target), F.col("imbalanced")),
+        ("missing", columns_missing(df), F.col("column"), F.col("n_missing")),
+        ("constant", constant_columns(features), F.col("column"), F.lit(True)),
+        ("high_cardinality", high_cardinality(features), F.col("column"), F.col("n_distinct")),
+        ("possible_id", possible_ids(features), F.col("column"), F.lit(True)),
+    ]
+    if numeric_columns(features):
+        checks.append(("outliers", outliers_iqr(features), F.col("column"), F.col("outliers")))
+    if len(numeric_columns(features)) > 1:
+        checks.append(("scaling_recommended", scaling_hint(features), F.lit(None), F.col("scaling_recommended")))
+    out = None
+    for name, found, column, value in checks:
+        part = found.select(F.lit(name).alias("check"), column.cast("string").alias("column"), value.cast("string").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out

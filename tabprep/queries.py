@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .functions.identity import content_fingerprint, with_identity
-from .operators import access, curves, prepare, profile, split
+from .operators import access, curves, models, prepare, profile, split
+from .plans import versions
 from .plans.recipe import run_recipe
 from .sources import csv, stored
-from .storage import materialize
+from .storage import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,6 +158,128 @@ add("recommend_model", _on(lambda df: curves.recommend_model(df, 0.3), scores),
 add("stratified_split", lambda s, d: split.stratified_split(table(s, d, "labels"), "quality", "doc_id"))
 add("split_summary", lambda s, d: split.split_summary(table(s, d, "labels").withColumn("split", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test")), "quality"), "SELECT split, CAST(sum(count(*)) OVER (PARTITION BY split) AS BIGINT) AS rows, quality AS \"class\", count(*) AS \"count\", round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split), 2)::DOUBLE AS percentage FROM (SELECT quality, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM labels) GROUP BY split, quality")
 
+#: Labelled documents: gaps among the numbers, texts and a binary target.
+_LABELLED = "SELECT doc_id, quality, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars END AS n_chars, nullif(lang, 'en') AS lang, source, toxic FROM labels JOIN documents USING (doc_id)"
+_FEATURES = ["n_chars", "lang", "source", "toxic"]
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").where("quality IS NOT NULL")
+    return both.selectExpr("doc_id", "quality", "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars END AS n_chars", "nullif(lang, 'en') AS lang", "source", "toxic")
+
+
+def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    dealt = materialize(split.stratified_split(labelled(spark, d), "quality", "doc_id"))
+    return {p: dealt.where(F.col("split") == p).drop("split") for p in split.PARTS}
+
+
+def _judged(spark: SparkSession, d: str, *parts: str) -> list[DataFrame]:
+    """Both models' scores on parts that they weren't trained on."""
+    dealt = _parts(spark, d)
+    fitted = models.train_models(dealt["train"], "quality", _FEATURES)
+    return [models.long_scores(fitted, dealt[p], "quality", 1) for p in parts]
+
+
+def _trained(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        dealt = _parts(spark, d)
+        model = models.train_models(dealt["train"], "quality", _FEATURES, models=(name,))[name]
+        return models.score(model, dealt["validation"]).select("doc_id", "quality", F.round("score", 6).alias("score"), "predicted")
+
+    return query
+
+
+def _scored_by_package(spark: SparkSession, d: str) -> DataFrame:
+    dealt, path, name = _parts(spark, d), new_folder(spark), models.MODELS[0]
+    model = models.train_models(dealt["train"], "quality", _FEATURES, models=(name,))[name]
+    models.save_package(model, path, name, 0.4, "quality", 1, _FEATURES)
+    return models.score_batch(spark, path, dealt["test"]).select("doc_id", F.round("score", 6).alias("score"), "predicted")
+
+
+def _export(spark: SparkSession, d: str) -> DataFrame:
+    validation, test = _judged(spark, d, "validation", "test")
+    path = new_folder(spark)
+    models.write_metrics(models.metrics_export(validation, test, models.MODELS[0], 0.5, 0.8), path)
+    return spark.read.csv(path, header=True)
+
+
+def _numeric_features(spark: SparkSession, d: str) -> DataFrame:
+    got = models.preprocess(labelled(spark, d), labelled(spark, d), ["n_chars", "toxic"])
+    parts = models.vector_to_array("features")
+    return got.select("doc_id", *(F.round(parts[i], 4).alias(c) for i, c in enumerate(("n_chars", "toxic"))))
+
+
+def _categorical(spark: SparkSession, d: str) -> DataFrame:
+    df = labelled(spark, d)
+    return df.select("doc_id", F.coalesce("lang", F.lit(models.learn(df, ["lang"]).modes["lang"])).alias("lang"))
+
+
+def _one_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Levels are learned from every second row; those of no such row give zeros."""
+    df = labelled(spark, d)
+    return models.preprocess(df.where("doc_id % 2 = 0"), df, ["lang", "source"]).select("doc_id", models.vector_to_array("features").alias("features"))
+
+
+add("preprocess_numeric", _numeric_features, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL), f AS (SELECT doc_id, coalesce(n_chars::DOUBLE, (SELECT median(n_chars) FROM b)) AS x, coalesce(toxic::DOUBLE, (SELECT median(toxic) FROM b)) AS y FROM b) SELECT doc_id, round((x - avg(x) OVER ()) / coalesce(nullif(stddev_pop(x) OVER (), 0), 1), 4) AS n_chars, round((y - avg(y) OVER ()) / coalesce(nullif(stddev_pop(y) OVER (), 0), 1), 4) AS toxic FROM f")
+add("preprocess_categorical", _categorical, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL) SELECT doc_id, coalesce(lang, (SELECT lang FROM b WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)) AS lang FROM b")
+add("preprocess_onehot", _one_hot)
+add("preprocess", lambda s, d: models.preprocess(_parts(s, d)["train"], labelled(s, d), _FEATURES).select("doc_id", models.vector_to_array("features").alias("features")))
+add("train_logistic", _trained("logistic_regression"))
+add("train_forest", _trained("random_forest"))
+add("train_baselines", lambda s, d: _judged(s, d, "validation")[0])
+add("validation_metrics", lambda s, d: models.validation_metrics(_judged(s, d, "validation")[0]))
+add("model_comparison", lambda s, d: models.model_comparison(_judged(s, d, "validation")[0]))
+add("final_test", lambda s, d: models.final_test(_judged(s, d, "test")[0], "logistic_regression", 0.5))
+add("metrics_export", _export)
+add("score_batch", _scored_by_package)
+add("diagnose", lambda s, d: profile.diagnose(table(s, d, "labels").join(table(s, d, "documents").drop("text"), "doc_id"), "quality"))
+
+
+def _csv_of_orders(spark: SparkSession, d: str) -> str:
+    path = new_folder(spark)
+    table(spark, d, "orders").selectExpr("o_orderkey", "nullif(o_custkey % 9, 0) AS gaps", "concat(o_orderstatus, ',\n\"', o_orderpriority) AS odd").write.options(header=True, escape='"').csv(path)
+    return path
+
+
+add("csv_import", lambda s, d: csv.import_csv(s, _csv_of_orders(s, d)), "SELECT o_orderkey, CAST(nullif(o_custkey % 9, 0) AS DOUBLE) AS gaps, o_orderstatus || ',' || chr(10) || '\"' || o_orderpriority AS odd FROM orders")
+add("source_metadata", lambda s, d: stored.source_metadata(s, _csv_of_orders(s, d)).groupBy("file_type", "columns").agg(F.sum("rows").alias("rows")), "SELECT 'CSV' AS file_type, 3 AS \"columns\", count(*) AS rows FROM orders")
+
+#: A log of versions made from orders: a customer is a dataset, an order a version; each order has inputs and sources.
+_HEADS = "SELECT CAST(o_custkey AS {text}) AS dataset, CAST(o_orderkey AS {text}) AS version, o_orderkey AS revision FROM orders"
+_LINEAGE = "SELECT CAST(o_orderkey AS {text}) AS version, CAST(o_orderkey + i * 3 AS {text}) AS input, i AS input_order, CASE WHEN i = 0 THEN 'base' ELSE 'append' END AS role FROM orders, (VALUES (0), (1), (2)) AS v(i)"
+_SOURCES = "SELECT CAST(l_orderkey AS {text}) AS version, CAST(l_suppkey % 40 AS {text}) AS source, l_linenumber AS source_order FROM lineitem"
+_PREVIEWS = "SELECT o_orderkey AS preview, CAST(o_custkey AS {text}) AS dataset, CAST(o_orderkey AS {text}) AS version, o_orderkey AS revision, o_orderdate AS expires_at, CASE WHEN o_orderkey % 13 = 0 THEN 'v' END AS applied_version FROM orders"
+_VERIFIED = "SELECT o_orderkey AS preview, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'ok' END AS status FROM orders WHERE o_orderkey % 7 <> 0"
+_NOW = "1995-01-01 00:00:00"
+
+
+def _log(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    return spark.sql(sql.format(text="STRING").replace("FROM orders", "FROM {o}").replace("FROM lineitem", "FROM {l}"), o=table(spark, d, "orders"), l=table(spark, d, "lineitem"))
+
+
+def _duck(sql: str) -> str:
+    return f"({sql.format(text='VARCHAR')})"
+
+
+add("current_head", lambda s, d: versions.current_heads(_log(s, d, _HEADS)), f"SELECT dataset, version, revision FROM {_duck(_HEADS)} QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY revision DESC) = 1")
+add("version_history", lambda s, d: versions.version_history(_log(s, d, _HEADS), "7"), f"SELECT * FROM {_duck(_HEADS)} WHERE dataset = '7'")
+add("version_lineage", lambda s, d: versions.version_lineage(_log(s, d, _LINEAGE), "7"), f"SELECT * FROM {_duck(_LINEAGE)} WHERE version = '7'")
+add("inherit_sources", lambda s, d: versions.inherit_sources(_log(s, d, _LINEAGE), _log(s, d, _SOURCES)), f"WITH f AS (SELECT l.version, s.source, min(input_order * 1000 + source_order) AS seen FROM {_duck(_LINEAGE)} l JOIN {_duck(_SOURCES)} s ON s.version = l.input GROUP BY ALL) SELECT version, source, row_number() OVER (PARTITION BY version ORDER BY seen, source) - 1 AS source_order FROM f")
+add("preview_status", lambda s, d: versions.preview_status(_log(s, d, _PREVIEWS), _log(s, d, _HEADS), _log(s, d, _VERIFIED), F.lit(_NOW).cast("timestamp")), f"SELECT p.preview, CASE WHEN applied_version IS NOT NULL THEN 'applied' WHEN expires_at <= TIMESTAMP '{_NOW}' THEN 'expired' WHEN p.version <> h.version THEN 'stale' WHEN coalesce(v.status, '') <> 'ok' THEN 'tampered' ELSE 'ready' END AS status FROM {_duck(_PREVIEWS)} p LEFT JOIN ({SQL['current_head']}) h USING (dataset) LEFT JOIN {_duck(_VERIFIED)} v ON v.preview = p.preview")
+
+
+def _published(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of the orders in a new log; the older one is read back after the newer became the head."""
+    log, orders = new_folder(spark), base(spark, d)
+    versions.start_log(spark, log)
+    versions.publish(orders, log, "orders", "v1", sources=["orders.parquet"])
+    versions.publish(prepare.filter_rows(orders, "status", "eq", "F"), log, "orders", "v2", inputs=["v1"], recipe="final")
+    return versions.read_version(spark, log, "v1")
+
+
+add("read_version", _published, f"SELECT * FROM {BASE}")
+
+
 RECIPE = [
     ("filter_rows", {"column": "grp", "operator": "gte", "value": 10}),
     ("fill_missing", {"columns": ["amount"], "strategy": "median"}),

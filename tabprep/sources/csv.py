@@ -38,23 +38,33 @@ def infer_types(texts: DataFrame) -> DataFrame:
     return texts.select(out)
 
 
-def import_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """A CSV file or folder with a header row. Lines with too many fields, empty or repeated names and files without rows are refused."""
+def read_texts(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+    """The cells of CSV files with the same header row, as texts. Lines with too many fields and empty or repeated names are refused.
+
+    With multi_line, fields may hold line ends, and one task reads a whole file; without, Spark splits large files.
+    """
     if len(delimiter) != 1:
         raise Refused("invalid_csv_delimiter")
-    read = spark.read.options(sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=True, nullValue="\0", emptyValue="")
+    read = spark.read.options(sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=multi_line, nullValue="\0", emptyValue="", pathGlobFilter="*.csv")
     head = read.csv(path, header=False).first()
     names = [c if c is not None else "" for c in head] if head else []
     if not names or any(not n.strip() for n in names):
         raise Refused("empty_column_names")
     if len(set(names)) != len(names):
         raise Refused("duplicate_column_names")
-    corrupt = "_too_long"
-    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_over", T.StringType()), T.StructField(corrupt, T.StringType())])
-    lines = read.option("columnNameOfCorruptRecord", corrupt).option("enforceSchema", True).schema(schema).csv(path, header=True)
-    if lines.where(F.col("_over").isNotNull()).limit(1).count():
+    over = "_over"
+    while over in names:
+        over += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, over]])
+    lines = read.option("enforceSchema", True).schema(schema).csv(path, header=True)
+    if lines.where(F.col(over).isNotNull()).limit(1).count():
         raise Refused("csv_too_many_fields")
-    lines = lines.select(*(F.col(f"`{n}`") for n in names))
+    return lines.drop(over)
+
+
+def import_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+    """A CSV file or folder as a table with inferred types; files without rows are refused."""
+    lines = read_texts(spark, path, delimiter, encoding, multi_line)
     if lines.isEmpty():
         raise Refused("csv_has_no_rows")
     return infer_types(lines)

@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df below the folder of spark.checkpoint.dir and reads it again, so that it is worked out once and survives lost executors."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path not used before, below the folder of spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/table"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df below the folder of spark.checkpoint.dir and reads it again, so that it is worked out once and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{new_folder(spark)}/table"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
     "op8_repeats": repeats.op8_repeats,
+    "op8_repeat_groups": repeats.op8_repeat_groups,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
 }

@@ -8,11 +8,22 @@ strings with the same anchor is one segment, some 170 strings together.
    which costs time only). A second pass sends just their segments.
 2. In an anchor's group the suffixes that begin at the anchor are sorted, with their common-prefix lengths: an enhanced suffix
    array. A stack scan gives its common-prefix intervals. Within each, the reversed texts before the anchor are sorted and scanned
-   likewise; an interval of these that reaches ``least`` bytes is a repeat. It is reported, with all its occurrences, if it is
-   maximal on both sides: a group whose suffixes all go on alike belongs to a deeper interval.
+   likewise; an interval of these that reaches ``least`` bytes is a repeat. Of all repeats of an occurrence the range that they
+   cover is reported; a group whose suffixes all go on alike belongs to a deeper interval.
 3. Equal segments within a task are settled there and sent once. Anchors with more than ``group`` occurrences don't form groups:
    their strings are compared by 128-bit hashes, in an ordinary aggregation, so no task ever holds a large group.
 
+These steps give the ranges to remove. ``repeat_groups`` gives the maximal repeats themselves, each with all its occurrences; every
+one lies within a range.
+
+1. A repeat begins with a string of ``least`` bytes that has different bytes before it, or begins a text. Such strings stand only in
+   segments (cut to the ranges) whose anchor has unequal segments, or one that begins a text: of just these the
+   distinct ones are compared, an anchor's in one task, in slices of bounded size.
+2. For each place of such a string the rest of its range is its suffix. Equal suffixes of equal strings are counted before they meet,
+   so that copies are one row; the distinct ones are sorted by Spark and scanned with a stack, as above. An interval is maximal on
+   the right as such, and on the left if its occurrences have different bytes before them or one begins a text.
+3. Intervals of ranks are cut into blocks of 2 ** level ranks and joined with the places of the suffixes by level and block.
+
 Defined results: texts are UTF-8 bytes, null ones empty; matches never cross rows; repeated rows are copies of each other, as are
 equal texts; a text shorter than ``least`` bytes stays as it is; an empty table gives an empty result.
 """
@@ -20,7 +31,9 @@ equal texts; a text shorter than ``least`` bytes stays as it is; an empty table
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +205,7 @@ def _set(bit_map: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, group: int = 4000, bits: int = 26) -> DataFrame:
-    """_key of the row, first and end byte of what an occurrence of an anchor has in maximal repeats, and the most occurrences of one of these in its group."""
+    """_key of the row, first and end byte of what an occurrence of an anchor has in repeats; together these cover all repeats."""
     spark = documents.sparkSession
     docs = _keyed(documents, id_col, text_col)
 
@@ -251,14 +264,14 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 
         def finish() -> None:
             # nested repeats of an occurrence all hold the anchor, so together they cover one range
-            widest: dict[int, tuple[int, int, int]] = {}
+            widest: dict[int, tuple[int, int]] = {}
             for before, after, members in maximal_repeats([r[3][r[2] :] for r in held], [r[3][: r[2]][::-1] for r in held], least):
                 for m in members:
-                    b, a, n = widest.get(m, (0, 0, 0))
-                    widest[m] = max(b, before), max(a, after), max(n, len(members))
-            for m, (b, a, n) in widest.items():
+                    b, a = widest.get(m, (0, 0))
+                    widest[m] = max(b, before), max(a, after)
+            for m, (b, a) in widest.items():
                 key, start, at, _ = held[m]
-                out.append((key, start + at - b, start + at + a, n))
+                out.append((key, start + at - b, start + at + a))
 
         current = None
         for batch in batches:
@@ -277,14 +290,14 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
             yield found_of(out)
 
     def found_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["_key", "start", "end", "occurrences"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.int64()], strict=True)], ["_key", "start", "end"])
 
     grouped = sent.where("bytes is not null").select("anchor", "_key", "start", "end", "bytes").repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    by_group = grouped.mapInArrow(scan, "_key binary, start long, end long, occurrences long")
-    local = sent.where("anchor is null").select("_key", "start", "end", F.lit(2).cast("long").alias("occurrences"))
+    by_group = grouped.mapInArrow(scan, "_key binary, start long, end long")
+    local = sent.where("anchor is null").select("_key", "start", "end")
     strings = sent.where("anchor is not null and bytes is null").select("anchor", "more", "_key", "start", "end")
-    shared = strings.groupBy("anchor", "more").agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
-    by_hash = strings.join(shared, ["anchor", "more"]).select("_key", "start", "end", "occurrences")
+    shared = strings.groupBy("anchor", "more").count().where("count > 1").select("anchor", "more")
+    by_hash = strings.join(shared, ["anchor", "more"]).select("_key", "start", "end")
     return by_group.union(local).union(by_hash)
 
 
@@ -317,6 +330,278 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     return joined.mapInArrow(cut, f"_id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("_id", id_col)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size."""
+    out: list[tuple] = []
+    size = 0
+    for r in rows:
+        out.append(r)
+        size += 100 + sum(len(x) for x in r if isinstance(x, bytes))
+        if size > most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _before(raw: bytes, at: int) -> int:
+    """The byte before a place, -1 at the beginning of a text."""
+    return raw[at - 1] if at else -1
+
+
+def suffix_repeats(suffixes: Iterator[tuple[bytes, int, int, int]]) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """(hash, length, occurrences, first and last suffix) of each maximal repeat that the suffixes begin with.
+
+    suffixes: the distinct ones in their order: bytes, occurrences, least and greatest byte before them (-1: a text begins).
+    """
+    stack: list[list] = []  # depth, first suffix, occurrences, least and greatest byte before
+    last, rank = b"", -1
+
+    def close(depth: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+        """Ends the intervals deeper than depth; what they hold goes to the one around them."""
+        while stack and stack[-1][0] > depth:
+            d, first, n, low, high = stack.pop()
+            if n > 1 and (low < high or low < 0):
+                yield xxhash.xxh3_128_digest(memoryview(last)[:d]), d, n, first, rank
+            if stack and stack[-1][0] >= depth:
+                around = stack[-1]
+                around[2:] = around[2] + n, min(around[3], low), max(around[4], high)
+            elif depth >= 0:
+                stack.append([depth, first, n, low, high])
+
+    for suffix, n, low, high in suffixes:
+        if rank >= 0:
+            yield from close(_common(last, suffix))
+        rank += 1
+        stack.append([len(suffix), rank, n, low, high])
+        last = suffix
+    yield from close(-1)
+
+
+def _blocks(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """(level, block) of blocks of 2 ** level ranks that together hold lo to hi."""
+    level, hi = 0, hi + 1
+    while lo < hi:
+        if lo & 1:
+            yield level, lo
+            lo += 1
+        if hi & 1:
+            hi -= 1
+            yield level, hi
+        lo, hi, level = lo >> 1, hi >> 1, level + 1
+
+
+def differently_begun(before: list[int], texts: list[bytes], least: int, most: int = 1 << 22) -> Iterator[list[int]]:
+    """For each text the places whose string of least bytes has different bytes before it, or begins a whole text; now and then others.
+
+    Strings are compared by 64-bit hashes, of at most some ``most`` strings at once.
+    """
+    total = sum(len(t) - least + 1 for t in texts)
+    parts = -(-total // most)
+    factors = vec.powers(vec._INV, max(map(len, texts)) + 1)
+    found = []
+    for part in range(parts):
+        hashes, lefts, wheres = [], [], []
+        at = 0
+        for b, t in zip(before, texts, strict=True):
+            data = np.frombuffer(t, np.uint8)
+            sums = vec.prefix_sums(data)
+            n = len(t) - least + 1
+            h = vec.mix((sums[least:] - sums[:-least]) * factors[:n])
+            left = np.empty(n, np.int16)
+            left[0] = b
+            left[1:] = data[: n - 1]
+            where = np.arange(at, at + n)
+            if parts > 1:
+                mine = h % vec.U(parts) == vec.U(part)
+                h, left, where = h[mine], left[mine], where[mine]
+            hashes.append(h)
+            lefts.append(left)
+            wheres.append(where)
+            at += n
+        h, left, where = np.concatenate(hashes), np.concatenate(lefts), np.concatenate(wheres)
+        if not len(h):
+            continue
+        order = np.argsort(h)
+        h, left, where = h[order], left[order], where[order]
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        low, high = np.minimum.reduceat(left, new), np.maximum.reduceat(left, new)
+        found.append(where[np.repeat((low < high) | (low < 0), np.diff(np.append(new, len(h))))])
+    flat = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    edges = np.cumsum([0, *(len(t) - least + 1 for t in texts)])
+    cuts = np.searchsorted(flat, edges)
+    for i in range(len(texts)):
+        yield (flat[cuts[i] : cuts[i + 1]] - edges[i]).tolist()
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    at = int(differ.argmax()) if n else 0
+    return at if n and differ[at] else n
+
+
+def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, **options) -> DataFrame:
+    """One row per occurrence of each maximal repeat: repeat (128-bit hash of its bytes), n_bytes, occurrences (of the repeat), id, start, end."""
+    spark = documents.sparkSession
+    docs = _keyed(documents, id_col, text_col)
+    id_type = documents.schema[id_col].dataType.simpleString()
+    spans = repeated_spans(documents, id_col=id_col, text_col=text_col, least=least, **options)
+    per_row = stash(spans.groupBy(F.col("_key").alias("_of")).agg(F.collect_set(F.struct("start", "end")).alias("_spans")))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each segment the strings within a range: anchor, hash of them with the byte before, whether a text begins with them, places."""
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            data, bounds = vec.text_bytes(batch.column(0))
+            keys = batch.column(1).to_pylist()
+            ranges = [_merged([(x["start"], x["end"]) for x in r]) for r in batch.column(2).to_pylist()]
+            edges = [([s for s, _ in r], [e for _, e in r]) for r in ranges]
+            for base, row, h, first, last, _ in segments(data, bounds, least):
+                for r, anchor, f, t in zip(row.tolist(), h.view(np.int64).tolist(), (first + base).tolist(), (last + base).tolist(), strict=True):
+                    zero = int(bounds[r])
+                    f, t = f - zero, t - zero
+                    starts, ends = edges[r]
+                    for k in range(bisect_right(ends, f), len(starts)):
+                        if starts[k] > t:
+                            break
+                        lo, hi = max(f, starts[k]), min(t, ends[k] - least)
+                        if lo <= hi:
+                            told = data[zero + max(lo - 1, 0) : zero + hi + least].tobytes()
+                            yield anchor, xxhash.xxh3_128_digest(told), lo == 0, keys[r], lo, hi
+
+        for batch in batches:
+            yield from _batches(rows(batch), run_schema)
+
+    run_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("begins", pa.bool_()), ("_key", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
+    with_spans = docs.join(per_row, docs["_key"] == per_row["_of"]).select("_text", "_key", "_spans")
+    found = stash(with_spans.mapInArrow(runs, "anchor long, same binary, begins boolean, _key binary, lo long, hi long"))
+    mixed = found.groupBy("anchor").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.max("begins").alias("begins")).where("begins or a <> b")
+    # of equal segments of an anchor one is looked at
+    one = found.join(mixed.select("anchor"), "anchor", "left_semi").groupBy("anchor", "same").agg(F.min(F.struct("_key", "lo", "hi")).alias("r"))
+    per_text = one.groupBy(F.col("r._key").alias("_of")).agg(F.collect_list(F.struct("anchor", "same", "r.lo", "r.hi")).alias("_runs"))
+    unique = docs.dropDuplicates(["_key"])
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the given segments, with the one before."""
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for text, mine in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                for r in mine:
+                    yield r["anchor"], r["same"], _before(raw, r["lo"]), raw[r["lo"] : r["hi"] + least]
+
+        for batch in batches:
+            yield from _batches(rows(batch), shown_schema)
+
+    shown_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("before", pa.int32()), ("bytes", pa.binary())])
+    dealt = unique.join(per_text, unique["_key"] == per_text["_of"]).select("_text", "_runs").mapInArrow(shown, "anchor long, same binary, before int, bytes binary")
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per segment the places in it where a repeat may begin."""
+
+        def sorted_rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def rows() -> Iterator[tuple]:
+            for anchor, group in groupby(sorted_rows(), key=lambda r: r[0]):
+                held = list(group)
+                for (_, same, _, _), at in zip(held, differently_begun([r[2] for r in held], [r[3] for r in held], least), strict=True):
+                    if at:
+                        yield anchor, same, at
+
+        yield from _batches(rows(), begin_schema)
+
+    begin_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("at", pa.list_(pa.int64()))])
+    begun = dealt.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(begin, "anchor long, same binary, at array<bigint>")
+    per_key = found.select("anchor", "same", "_key", "lo").distinct().join(begun, ["anchor", "same"]).groupBy(F.col("_key").alias("_at"))
+    places = stash(per_key.agg(F.array_distinct(F.flatten(F.collect_list(F.transform("at", lambda x: x + F.col("lo"))))).alias("_starts")))
+
+    def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each place: hashes of its string and of the rest of its range, byte before, key, id, place."""
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for of, text, key, spans_of, starts in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                raw = memoryview(text.as_buffer())
+                ranges = _merged([(x["start"], x["end"]) for x in spans_of])
+                begins = [s for s, _ in ranges]
+                for p in starts:
+                    end = ranges[bisect_right(begins, p) - 1][1]
+                    yield xxhash.xxh3_128_digest(raw[p : p + least]), xxhash.xxh3_128_digest(raw[p:end]), raw[p - 1] if p else -1, key, of, p, end
+
+        for batch in batches:
+            schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("before", pa.int32()), ("_key", pa.binary()), ("_id", batch.schema.field(0).type), ("start", pa.int64()), ("stop", pa.int64())])
+            yield from _batches(rows(batch), schema)
+
+    wanted = places.join(per_row, places["_at"] == per_row["_of"])
+    cut = docs.join(wanted, docs["_key"] == wanted["_at"]).select("_id", "_text", "_key", "_spans", "_starts")
+    members = stash(cut.mapInArrow(suffix_rows, f"string binary, suffix binary, before int, _key binary, _id {id_type}, start long, stop long"))
+    strings = members.groupBy("string").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("x"), F.max("before").alias("y")).where("c > 1 and (x < y or x < 0)").select("string")
+    members = stash(members.join(strings, "string", "left_semi"))
+    distinct = members.groupBy("string", "suffix").agg(F.min(F.struct("_key", "start", "stop")).alias("r"), F.count(F.lit(1)).alias("n"), F.min("before").alias("low"), F.max("before").alias("high"))
+    per_text = distinct.groupBy(F.col("r._key").alias("_of")).agg(F.collect_list(F.struct("string", "suffix", "r.start", "r.stop", "n", "low", "high")).alias("_rests"))
+
+    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct suffixes with their bytes."""
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for text, mine in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                for r in mine:
+                    yield r["string"], r["suffix"], raw[r["start"] : r["stop"]], r["n"], r["low"], r["high"]
+
+        for batch in batches:
+            yield from _batches(rows(batch), rest_schema)
+
+    rest_schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+    with_bytes = unique.join(per_text, unique["_key"] == per_text["_of"]).select("_text", "_rests").mapInArrow(rests, "string binary, suffix binary, bytes binary, n long, low int, high int")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of two kinds: a suffix with its rank; a block of ranks (level, block) of a repeat."""
+
+        def sorted_rows() -> Iterator[tuple]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 100):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(i, 100).columns), strict=True)
+
+        def rows() -> Iterator[tuple]:
+            for string, group in groupby(sorted_rows(), key=lambda r: r[0]):
+                names: list[bytes] = []
+                for repeat, n_bytes, n, lo, hi in suffix_repeats(r[2:] for r in group if names.append(r[1]) is None):
+                    for level, block in _blocks(lo, hi):
+                        yield string, None, None, level, block, repeat, n_bytes, n
+                for rank, name in enumerate(names):
+                    yield string, name, rank, len(names).bit_length(), None, None, None, None
+
+        yield from _batches(rows(), node_schema)
+
+    node_schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("rank", pa.int64()), ("level", pa.int32()), ("block", pa.int64()), ("repeat", pa.binary()), ("n_bytes", pa.int64()), ("occurrences", pa.int64())])
+    ordered = with_bytes.repartition(F.col("string")).sortWithinPartitions("string", "bytes")
+    nodes = stash(ordered.mapInArrow(scan, "string binary, suffix binary, rank long, level int, block long, repeat binary, n_bytes long, occurrences long"))
+    ranks = nodes.where("suffix is not null").select("string", "suffix", "rank", F.col("level").alias("levels"))
+    placed = members.select("string", "suffix", "_id", "start").join(ranks, ["string", "suffix"])
+    placed = placed.select("string", "_id", "start", "rank", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+    placed = placed.select("string", "level", F.call_function("shiftright", F.col("rank"), F.col("level")).alias("block"), "_id", "start")
+    out = placed.join(nodes.where("suffix is null").select("string", "level", "block", "repeat", "n_bytes", "occurrences"), ["string", "level", "block"])
+    return out.select("repeat", "n_bytes", "occurrences", F.col("_id").alias(id_col), "start", (F.col("start") + F.col("n_bytes")).alias("end"))
+
+
+def op8_repeat_groups(spark, sf_dir: str) -> DataFrame:
+    return repeat_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])

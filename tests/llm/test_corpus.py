@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tabprep.llm import chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, tokenfiles, warc
@@ -114,6 +115,44 @@ def test_repeats_equal_brute_force(spark, odd, none):
     assert repeats.remove_repeats(odd).count() == 8 and repeats.remove_repeats(none).count() == 0
 
 
+def brute_groups(docs, least):
+    """Occurrences of each maximal repeat, by growing every repeated string to the right until its occurrences part."""
+    texts_of = [(t or "").encode() for _, t in docs]
+    found, level = {}, {}
+    for d, t in enumerate(texts_of):
+        for i in range(len(t) - least + 1):
+            level.setdefault(t[i : i + least], []).append((d, i))
+    level = [(least, v) for v in level.values() if len(v) > 1]
+    while level:
+        longer = []
+        for n, at in level:
+            after = {}
+            for d, i in at:
+                after.setdefault(texts_of[d][i + n : i + n + 1] or (d, i), []).append((d, i))
+            before = {texts_of[d][i - 1] if i else (d, i) for d, i in at}
+            if len(after) > 1 and len(before) > 1:
+                d, i = at[0]
+                found[texts_of[d][i : i + n]] = sorted((docs[d][0], i, i + n) for d, i in at)
+            longer += [(n + 1, v) for v in after.values() if len(v) > 1]
+        level = longer
+    return found
+
+
+@pytest.mark.parametrize("group", [4000, 3])
+def test_repeat_groups_equal_brute_force(spark, none, group):
+    rng = random.Random(7)
+    parts = texts(5, 5, 40)
+    docs = [(i, " ".join(rng.choices(parts, k=3))[rng.randrange(30) :]) for i in range(14)] + [(20, "ab" * 60), (21, None), (22, "é" * 60), (23, parts[0]), (24, parts[0])]
+    docs += [(30 + i, f"{i}<{parts[1]}|{i * 7}") for i in range(30)]
+    want = brute_groups(docs, 80)
+    got = {}
+    for r in repeats.repeat_groups(frame(spark, [(*d, "s") for d in docs]).repartition(5), least=80, group=group).collect():
+        got.setdefault((bytes(r["repeat"]), r["n_bytes"], r["occurrences"]), []).append((r["doc_id"], r["start"], r["end"]))
+    assert {k: sorted(v) for k, v in got.items()} == {(xxhash.xxh3_128_digest(t), len(t), len(v)): v for t, v in want.items()}
+    assert max(len(v) for v in want.values()) > 30
+    assert repeats.repeat_groups(none).count() == 0
+
+
 def test_token_files(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -166,7 +166,7 @@ def _bits(texts: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, seed: int = 1) -> DataFrame:
-    """One row per document: doc, text_key, n_shingles, component."""
+    """One row per document: doc, text_key, n_shingles, component (its smallest id), label (equal in a component; null without shingles)."""
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
     classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
     check = (classes, documents, id_col, text_col, width)
@@ -215,10 +215,10 @@ def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     lead = labels.join(classes, labels.node == classes.set_key).select("node", "label", "rep")
     lowest = lead.groupBy("label").agg(F.min("rep").alias("component"))
-    of_node = lead.join(lowest, "label").select(F.col("node").alias("set_key"), "component")
-    of_class = classes.select("set_key", "rep").join(of_node, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    of_node = lead.join(lowest, "label").select(F.col("node").alias("set_key"), "component", "label")
+    of_class = classes.select("set_key", "rep").join(of_node, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "set_key").alias("label"))
     out = docs.select("doc", "text_key", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    return out.select("doc", "text_key", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    return out.select("doc", "text_key", "n_shingles", F.coalesce("component", "doc").alias("component"), "label")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -228,12 +228,17 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options)
 
 
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, one of each component: that with the smallest id; of its repeated rows any one."""
-    found = _components(documents, id_col=id_col, text_col=text_col, **options).where(F.col("doc").eqNullSafe(F.col("component")))
-    counted = stash(found.groupBy("doc", "component", "text_key").count().withColumnRenamed("count", "_n"))
-    one = counted.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    """The documents, with all their columns, one of each component: that with the smallest id (null ones last), of its texts that with
+    the smallest hash, of its repeated rows any one. Without shingles each id and text stands alone."""
+    found = _components(documents, id_col=id_col, text_col=text_col, **options)
+    alone = F.when(F.col("label").isNull(), F.struct("doc", "text_key"))
+    counted = found.groupBy("label", alone.alias("alone"), "doc", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    least = counted.groupBy("label", "alone").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "text_key", "n")).alias("k"))
+    one = stash(least.select(F.col("k.doc").alias("_doc"), F.col("k.text_key").alias("_text_key"), F.col("k.n").alias("_n")))
     out = documents.join(one, documents[id_col].eqNullSafe(F.col("_doc")) & (_text_key(text_col) == F.col("_text_key")), "left_semi")
-    return out if counted.where("_n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    if one.where("_n > 1").isEmpty():
+        return out
+    return out.withColumn("_text_key", _text_key(text_col)).dropDuplicates([id_col, "_text_key"]).drop("_text_key")
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

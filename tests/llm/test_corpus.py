@@ -93,6 +93,15 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_of_each_component_with_repeated_and_null_ids(spark):
+    one, two, three = texts(11, 3, 90)
+    near = [f"{t} {w}" for t in (one, two, three) for w in ("x", "y z", "")]
+    rows = list(zip([7, 7, 9, None, None, None, None, 5, 5], near, ["s"] * 9, strict=True)) + [(7, one[:200], "s"), (None, "", "s"), (None, None, "s"), (8, "", "s")]
+    got = neardup.drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 5, 7, 7, 8]
+    assert [sum((r["text"] or "").startswith(t) for r in got) for t in (one, two, three)] == [1, 1, 1]
+
+
 @pytest.mark.parametrize("block", [200_000, 30])
 def test_decontamination(spark, odd, none, block):
     item = " ".join(f"b{i}" for i in range(25))

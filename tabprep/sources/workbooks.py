@@ -103,7 +103,7 @@ def workbook_rows(spark: SparkSession, paths: str | list[str], sheet: str) -> Da
 
 
 def load_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """One sheet as a table: the first row names the columns, types are inferred; sheets are never merged, empty ones are refused."""
+    """One sheet as a table: the first row names the columns, types are inferred; sheets are never merged, empty ones and rows longer than the first are refused."""
     found = {r["sheet_name"]: r["status"] for r in workbook_sheets(spark, path).collect()}
     if None in found:
         raise Refused("invalid_workbook", path)
@@ -121,4 +121,6 @@ def load_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     body = rows.where(F.col("row_index") > head["row_index"])
     if body.isEmpty():
         raise Refused("sheet_is_empty", sheet)
+    if not body.where(F.exists(F.slice("cells", len(names) + 1, F.greatest(F.size("cells"), F.lit(1))), lambda c: c.isNotNull())).isEmpty():
+        raise Refused("sheet_has_too_many_cells", sheet)
     return infer_types(body.select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names))))

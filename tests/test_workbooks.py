@@ -41,3 +41,14 @@ def test_one_sheet_as_a_table(spark, folder):
 def test_refused_sheets(spark, folder, name, sheet, reason):
     with pytest.raises(Refused, match=reason):
         workbooks.load_sheet(spark, f"file://{folder}/{name}.xlsx", sheet)
+
+
+def test_cells_beyond_the_header_are_refused(spark, folder, tmp_path):
+    more = '<row r="1"><c r="A1"><v>1</v></c><c r="B1"><v>2</v></c></row><row r="2"><c r="A2"><v>3</v></c>{}</row>'
+    for name, cells in (("wide", '<c r="E2"><v>4</v></c>'), ("blank", '<c r="E2"/>')):
+        with zipfile.ZipFile(folder / "a.xlsx") as old, zipfile.ZipFile(tmp_path / f"{name}.xlsx", "w") as new:
+            for member in old.namelist():
+                new.writestr(member, f"<worksheet {M}><sheetData>{more.format(cells)}</sheetData></worksheet>" if member.endswith("s1.xml") else old.read(member))
+    with pytest.raises(Refused, match="sheet_has_too_many_cells"):
+        workbooks.load_sheet(spark, f"file://{tmp_path}/wide.xlsx", "First")
+    assert workbooks.load_sheet(spark, f"file://{tmp_path}/blank.xlsx", "First").count() == 1

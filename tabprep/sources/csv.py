@@ -38,14 +38,15 @@ def infer_types(texts: DataFrame) -> DataFrame:
     return texts.select(out)
 
 
-def read_texts(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True, recursive: bool = False) -> DataFrame:
     """The cells of CSV files with the same header row, as texts. Lines with too many fields and empty or repeated names are refused.
 
-    With multi_line, fields may hold line ends, and one task reads a whole file; without, Spark splits large files.
+    With multi_line, fields may hold line ends, and one task reads a whole file; without, Spark splits large files. With recursive,
+    nested folders are read, too.
     """
     if len(delimiter) != 1:
         raise Refused("invalid_csv_delimiter")
-    read = spark.read.options(sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=multi_line, nullValue="\0", emptyValue="", pathGlobFilter="*.csv")
+    read = spark.read.options(sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=multi_line, nullValue="\0", emptyValue="", pathGlobFilter="*.csv", recursiveFileLookup=recursive)
     head = read.csv(path, header=False).first()
     names = [c if c is not None else "" for c in head] if head else []
     if not names or any(not n.strip() for n in names):

@@ -12,9 +12,9 @@ from .csv import read_texts
 FILE_TYPES = {"csv": "CSV", "xlsx": "XLSX"}
 
 def source_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Per file: name, size and sha256."""
+    """Per file: path, name, size and sha256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def source_totals(spark: SparkSession, paths: str | list[str], warn_from: int = 1 << 30) -> DataFrame:
@@ -23,25 +23,25 @@ def source_totals(spark: SparkSession, paths: str | list[str], warn_from: int =
 
 
 def verify_files(spark: SparkSession, manifest: DataFrame, paths: str | list[str]) -> DataFrame:
-    """Per manifest row (name, size, sha256): status ok, changed or missing."""
-    now = source_digests(spark, paths).select("name", F.col("size").alias("_size"), F.col("sha256").alias("_sha256"))
+    """Per manifest row (path, name, size, sha256): path, name and status ok, changed or missing. Files are told apart by their paths."""
+    now = source_digests(spark, paths).select("path", F.col("size").alias("_size"), F.col("sha256").alias("_sha256"))
     same = (F.col("size") == F.col("_size")) & (F.col("sha256") == F.col("_sha256"))
-    return manifest.join(now, "name", "left").select("name", F.when(F.col("_size").isNull(), "missing").when(same, "ok").otherwise("changed").alias("status"))
+    return manifest.join(now, "path", "left").select("path", "name", F.when(F.col("_size").isNull(), "missing").when(same, "ok").otherwise("changed").alias("status"))
 
 
 def source_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Per file: name, file_type, size, and for CSV files rows and columns. Contents of other files aren't read; other types are refused."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    """Per file, in nested folders too: name, file_type, size, and for CSV files rows and columns. Contents of other files aren't read; other types are refused."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.col("_metadata.file_path").alias("_file"))
     suffix = F.lower(F.regexp_extract("path", "\\.([^./]*)$", 1))
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in FILE_TYPES.items() for x in pair)), suffix)
-    files = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), kind.alias("file_type"), F.col("length").alias("size"), "path")
+    files = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), kind.alias("file_type"), F.col("length").alias("size"), "path", "_file")
     if other := files.where(F.col("file_type").isNull()).select("name").first():
         raise Refused("unsupported_file_type", other[0])
     texts = files.where("file_type = 'CSV'").select("path").first()
     if texts is None:
         return files.select("name", "file_type", "size", F.lit(None).cast("long").alias("rows"), F.lit(None).cast("int").alias("columns"))
-    lines = read_texts(spark, paths)
-    counts = lines.groupBy("_metadata.file_name").count().select(F.col("file_name").alias("name"), F.col("count").alias("rows"))
-    made = files.join(counts, "name", "left")
+    lines = read_texts(spark, paths, recursive=True)
+    counts = lines.groupBy("_metadata.file_path").count().select(F.col("file_path").alias("_file"), F.col("count").alias("rows"))
+    made = files.join(counts, "_file", "left")
     is_csv = F.col("file_type") == "CSV"
     return made.select("name", "file_type", "size", F.when(is_csv, F.coalesce("rows", F.lit(0))).cast("long").alias("rows"), F.when(is_csv, len(lines.columns)).alias("columns"))

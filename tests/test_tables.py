@@ -8,6 +8,7 @@ from tabprep.functions import scalar
 from tabprep.functions.identity import content_fingerprint, with_identity
 from tabprep.operators import access, curves, prepare, profile, split
 from tabprep.plans.recipe import run_recipe
+from tabprep.sources import stored
 from tabprep.sources.csv import import_csv
 
 INF = float("inf")
@@ -148,3 +149,17 @@ def test_combine(spark):
     assert split.source_column_name(["__source_file"]) == "__source_file_1"
     with pytest.raises(Refused):
         split.combine_sources([("a", a), ("b", b.withColumnRenamed("amount", "other"))])
+
+
+def test_files_of_equal_names_in_nested_folders(spark, tmp_path):
+    for folder, rows in (("a", 1), ("b", 2), ("b/c", 3)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x y.csv").write_text("n\n" + "1\n" * rows)
+    paths = [f"file://{tmp_path}/a", f"file://{tmp_path}/b"]
+    assert sorted(r["rows"] for r in stored.source_metadata(spark, paths).collect()) == [1, 2, 3]
+    manifest = stored.source_digests(spark, paths).localCheckpoint()
+    assert manifest.count() == 3 and {r["status"] for r in stored.verify_files(spark, manifest, paths).collect()} == {"ok"}
+    (tmp_path / "b/x y.csv").write_text("n\n7\n")
+    (tmp_path / "b/c/x y.csv").unlink()
+    got = sorted((r["path"].rsplit("/", 2)[1], r["status"]) for r in stored.verify_files(spark, manifest, paths).collect())
+    assert got == [("a", "ok"), ("b", "changed"), ("c", "missing")]

@@ -163,3 +163,12 @@ def test_files_of_equal_names_in_nested_folders(spark, tmp_path):
     (tmp_path / "b/c/x y.csv").unlink()
     got = sorted((r["path"].rsplit("/", 2)[1], r["status"]) for r in stored.verify_files(spark, manifest, paths).collect())
     assert got == [("a", "ok"), ("b", "changed"), ("c", "missing")]
+
+
+def test_file_queries_grow_with_the_table(spark, tmp_path):
+    from tabprep.queries import QUERIES
+
+    spark.range(20_000).coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    assert QUERIES["source_digests"](spark, f"file://{tmp_path}").count() == 4
+    got = {r["status"]: r["count"] for r in QUERIES["verify_files"](spark, f"file://{tmp_path}").groupBy("status").count().collect()}
+    assert got == {"ok": 2, "changed": 1, "missing": 1}

@@ -232,9 +232,9 @@ def _categorical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _one_hot(spark: SparkSession, d: str) -> DataFrame:
-    """Levels are learned from every second row; those of no such row give zeros."""
+    """Levels are learned from all labelled rows."""
     df = labelled(spark, d)
-    return models.preprocess(df.where("doc_id % 2 = 0"), df, ["lang", "source"]).select("doc_id", models.vector_to_array("features").alias("features"))
+    return models.preprocess(df, df, ["lang", "source"]).select("doc_id", models.vector_to_array("features").alias("features"))
 
 
 add("preprocess_numeric", _numeric_features, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL), f AS (SELECT doc_id, coalesce(n_chars::DOUBLE, (SELECT median(n_chars) FROM b)) AS x, coalesce(toxic::DOUBLE, (SELECT median(toxic) FROM b)) AS y FROM b) SELECT doc_id, round((x - avg(x) OVER ()) / coalesce(nullif(stddev_pop(x) OVER (), 0), 1), 4) AS n_chars, round((y - avg(y) OVER ()) / coalesce(nullif(stddev_pop(y) OVER (), 0), 1), 4) AS toxic FROM f")

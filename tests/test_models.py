@@ -128,3 +128,13 @@ def test_preview_status(spark):
     verified = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, "ok"), (4, "ok"), (4, "changed")], "preview int, status string")
     got = versions.preview_status(previews, heads, verified, F.lit(dt.datetime(2025, 1, 1)))
     assert dict(got.collect()) == {1: "ready", 2: "stale", 3: "expired", 4: "tampered", 5: "applied", 6: "stale"}
+
+
+def test_one_hot_query_knows_levels_of_odd_ids(spark, tmp_path):
+    from tabprep.queries import QUERIES
+
+    ids = spark.range(40).withColumnRenamed("id", "doc_id")
+    ids.selectExpr("doc_id", "cast(doc_id % 3 > 0 as int) AS quality", "0 AS toxic").write.parquet(f"file://{tmp_path}/labels.parquet")
+    ids.selectExpr("doc_id", "'t' AS text", "if(doc_id % 2 = 1, 'odd', 'xx') AS lang", "if(doc_id = 7, 'rare', 'web') AS source", "1 AS n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["features"] for r in QUERIES["preprocess_onehot"](spark, f"file://{tmp_path}").collect()}
+    assert len(got) == 40 and all(sum(v) == 2 for v in got.values())

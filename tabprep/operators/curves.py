@@ -65,9 +65,10 @@ def prf_metrics(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def optimize_threshold(scores: DataFrame, least_recall: float) -> DataFrame:
-    """Per model the threshold of the highest precision (then recall, then threshold) among those with enough recall; feasible or not."""
-    best = pr_table(scores).where((F.col("recall") >= least_recall) & (F.col("P") > 0)).groupBy("model").agg(F.max(F.struct("precision", "recall", F.col("score").alias("threshold"))).alias("b"))
-    return scores.select("model").distinct().join(best, "model", "left").select("model", F.col("b").isNotNull().alias("feasible"), F.col("b.threshold").alias("threshold"), F.round("b.precision", 6).alias("precision"), F.round("b.recall", 6).alias("recall"))
+    """Per model the threshold of the highest precision (then recall, then threshold) among those with enough recall; feasible or not; F1 and the matrix there."""
+    best = pr_table(scores).where((F.col("recall") >= least_recall) & (F.col("P") > 0)).groupBy("model").agg(F.max(F.struct("precision", "recall", F.col("score").alias("threshold"), (F.col("N") - F.col("fp")).alias("tn"), "fp", (F.col("P") - F.col("tp")).alias("fn"), "tp")).alias("b"))
+    f1 = ratio(2 * F.col("b.tp"), 2 * F.col("b.tp") + F.col("b.fp") + F.col("b.fn"))
+    return scores.select("model").distinct().join(best, "model", "left").select("model", F.col("b").isNotNull().alias("feasible"), F.col("b.threshold").alias("threshold"), F.round("b.precision", 6).alias("precision"), F.round("b.recall", 6).alias("recall"), F.when(F.col("b").isNotNull(), F.round(f1, 6)).alias("f1"), *(F.col(f"b.{c}").alias(c) for c in ("tn", "fp", "fn", "tp")))
 
 
 def candidate_thresholds(scores: DataFrame, candidates: list[float]) -> DataFrame:

@@ -106,7 +106,12 @@ def fill_values(df: DataFrame, columns: list[str], strategy: str, constant: obje
 
 
 def fill_missing(df: DataFrame, columns: list[str], strategy: str, constant: object = None) -> DataFrame:
-    known = {c: v for c, v in fill_values(df, columns, strategy, constant).items() if v is not None}
+    return fill_with(df, fill_values(df, columns, strategy, constant))
+
+
+def fill_with(df: DataFrame, learned: dict) -> DataFrame:
+    """Columns whose value is None stay as they are."""
+    known = {c: v for c, v in learned.items() if v is not None}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in known.items()}) if known else df
 
 

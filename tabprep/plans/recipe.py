@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Refused
-from ..functions.identity import user_columns
-from ..operators import prepare
+from ..functions.identity import ROW_ID, ROW_ORDER, user_columns
+from ..functions.predicates import predicate
+from ..operators import access, prepare
 from ..storage import materialize
 
 
@@ -26,18 +28,40 @@ def _touched(before: DataFrame, operation: str, p: dict) -> list[Column]:
     return []
 
 
+def _sample(df: DataFrame, after: DataFrame, operation: str, p: dict, marks: list[Column], n: int) -> list[str]:
+    """Ids of the first n rows that a step changes, removes or adds; of a filter, those that it says no to."""
+    if operation == "fill_missing":
+        found = [access.sample_changes(df, m, n) for m in marks]
+    elif operation == "filter_rows":
+        found = [access.sample_changes(df, ~predicate(p["column"], p["operator"], p.get("value")), n)]
+    elif operation == "remove_duplicates":
+        found = [access.removed_duplicates(df, p["columns"], n)]
+    elif operation == "append_rows":
+        last = df.agg(F.max(ROW_ORDER)).first()[0]
+        found = [access.sample_offset(after, 0 if last is None else last + 1, n)]
+    else:
+        found = [access.sample_changes(df, reduce(Column.__or__, marks), n) if marks else access.sample_offset(df, 0, n)]
+    return list(dict.fromkeys(r[ROW_ID] for f in found for r in f.collect()))[:n]
+
+
 def run_recipe(df: DataFrame, steps: list[tuple[str, dict]]) -> tuple[DataFrame, DataFrame]:
-    """The result, and per step: step, operation, affected_rows, affected_cells, rows_after, columns_after.
+    """The result, and per step: step, operation, affected_rows, affected_cells, rows_after, columns_after, learned (JSON), warnings."""
+    return recipe_preview(df, steps, samples=0)[:2]
+
+
+def recipe_preview(df: DataFrame, steps: list[tuple[str, dict]], samples: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As run_recipe, and a sample of changed rows: step, operation, _row_id; in step order, samples in all.
 
     Steps stay lazy except for learned values; each step's counts are one aggregate.
     """
     if not steps:
         raise Refused("empty_recipe")
-    report, n = [], df.count()
+    report, sampled, n = [], [], df.count()
     for i, (operation, p) in enumerate(steps):
         if operation not in prepare.STEPS:
             raise Refused("unknown_operation", operation)
-        after = prepare.STEPS[operation](df, **p)
+        learned = prepare.fill_values(df, **p) if operation == "fill_missing" else {}
+        after = prepare.fill_with(df, learned) if operation == "fill_missing" else prepare.STEPS[operation](df, **p)
         marks = _touched(df, operation, p)
         if operation in ("filter_rows", "drop_missing_rows", "remove_duplicates", "append_rows"):
             left = after.count()
@@ -47,7 +71,12 @@ def run_recipe(df: DataFrame, steps: list[tuple[str, dict]]) -> tuple[DataFrame,
         else:
             got = df.agg(F.sum(reduce(Column.__or__, marks).cast("long")).alias("rows"), *(F.sum(m.cast("long")).alias(f"c{k}") for k, m in enumerate(marks))).first()
             left, rows, cells = n, got["rows"] or 0, sum(got[f"c{k}"] or 0 for k in range(len(marks)))
-        report.append((i, operation, int(rows), int(cells), int(left), len(user_columns(after))))
+        warnings = ["fill_value_not_defined" for v in learned.values() if v is None]
+        report.append((i, operation, int(rows), int(cells), int(left), len(user_columns(after)), json.dumps(learned, default=str), warnings))
+        if len(sampled) < samples:
+            sampled += [(i, operation, r) for r in _sample(df, after, operation, p, marks, samples - len(sampled))]
         df, n = after, left
     done = materialize(df)
-    return done, done.sparkSession.createDataFrame(report, "step int, operation string, affected_rows long, affected_cells long, rows_after long, columns_after int")
+    spark = done.sparkSession
+    told = spark.createDataFrame(report, "step int, operation string, affected_rows long, affected_cells long, rows_after long, columns_after int, learned string, warnings array<string>")
+    return done, told, spark.createDataFrame(sampled, f"step int, operation string, {ROW_ID} string")

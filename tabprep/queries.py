@@ -11,7 +11,7 @@ from .functions import scalar
 from .functions.identity import content_fingerprint, with_identity
 from .operators import access, curves, models, prepare, profile, split
 from .plans import versions
-from .plans.recipe import run_recipe
+from .plans.recipe import recipe_preview, run_recipe
 from .sources import csv, stored
 from .storage import materialize, new_folder
 
@@ -167,8 +167,9 @@ add("roc_curve", _on(lambda df: curves.roc_curve(df).withColumn("score", F.round
 add("pr_curve", _on(lambda df: curves.pr_curve(df).withColumn("threshold", F.round("threshold", 6)), scores), f"WITH {_GROUPS} SELECT model, round(score, 6) AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM r")
 add("roc_auc", _on(curves.roc_auc, scores), f"WITH {_GROUPS} SELECT model, round(sum(neg * (2 * tp - pos) / 2.0::DOUBLE) / (max(p) * max(n)), 6) AS roc_auc FROM c GROUP BY model")
 add("average_precision", _on(curves.average_precision, scores), f"WITH {_GROUPS} SELECT model, round(sum(pos / p * precision_), 6) AS pr_auc FROM r GROUP BY model")
-add("optimize_models", _on(lambda df: curves.optimize_threshold(df, 0.3), scores), f"WITH {_GROUPS} SELECT model, true AS feasible, score AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r WHERE recall_ >= 0.3 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1")
-add("optimize_threshold", _on(lambda df: curves.optimize_threshold(df.where("model = 'a'"), 0.6), scores), f"WITH {_GROUPS} SELECT model, true AS feasible, score AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r WHERE model = 'a' AND recall_ >= 0.6 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1")
+_CHOSEN = ["model", "feasible", "threshold", "precision", "recall"]
+add("optimize_models", _on(lambda df: curves.optimize_threshold(df, 0.3).select(_CHOSEN), scores), f"WITH {_GROUPS} SELECT model, true AS feasible, score AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r WHERE recall_ >= 0.3 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1")
+add("optimize_threshold", _on(lambda df: curves.optimize_threshold(df.where("model = 'a'"), 0.6).select(_CHOSEN), scores), f"WITH {_GROUPS} SELECT model, true AS feasible, score AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r WHERE model = 'a' AND recall_ >= 0.6 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1")
 add("candidate_thresholds", _on(lambda df: curves.candidate_thresholds(df, [0.3, 0.7, 0.7, 1.5]), scores), f"SELECT model, t AS threshold, count(*) FILTER (score >= t AND truth = 1) AS tp, count(*) FILTER (score >= t AND truth = 0) AS fp, round(coalesce(count(*) FILTER (score >= t AND truth = 1) / nullif(count(*) FILTER (score >= t), 0), 0), 6) AS precision, round(count(*) FILTER (score >= t AND truth = 1) / sum(truth), 6) AS recall FROM {SCORES}, (VALUES (0.3::DOUBLE), (0.7::DOUBLE), (1.0::DOUBLE)) AS v(t) GROUP BY model, t")
 add("recommend_model", _on(lambda df: curves.recommend_model(df, 0.3), scores), f"SELECT o.model, threshold, precision, pr_auc, recall FROM ({SQL['optimize_models']}) o JOIN ({SQL['average_precision']}) a USING (model) ORDER BY precision DESC, pr_auc DESC, recall DESC LIMIT 1")
 
@@ -305,6 +306,7 @@ RECIPE = [
     ("remove_duplicates", {"columns": ["grp", "status"]}),
 ]
 add("recipe_preview", _on(lambda df: run_recipe(df, RECIPE)[0].withColumn("amount", F.round("amount", 4))), f"WITH f AS (SELECT * FROM {BASE} WHERE grp >= 10), m AS (SELECT * REPLACE (round(coalesce(amount, (SELECT median(amount) FROM f)), 4) AS amount, CASE WHEN isinf(price) THEN NULL ELSE price END AS price) FROM f) SELECT * FROM m WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp, status ORDER BY _row_order) = 1")
+add("recipe_samples", _on(lambda df: recipe_preview(df, RECIPE)[2]))
 add("recipe_steps", _on(lambda df: run_recipe(df, RECIPE)[1].select("step", "operation", "affected_rows", "affected_cells", "rows_after")), f"WITH b AS (SELECT * FROM {BASE}), f AS (SELECT * FROM b WHERE grp >= 10), p AS (SELECT * FROM f WHERE price IS NOT NULL AND NOT isinf(price)), u AS (SELECT DISTINCT grp, status FROM p), n AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM f WHERE amount IS NULL) AS na, (SELECT count(*) FROM f WHERE isinf(price)) AS ni, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM u) AS nu) SELECT 0 AS step, 'filter_rows' AS operation, nb - nf AS affected_rows, CAST(0 AS BIGINT) AS affected_cells, nf AS rows_after FROM n UNION ALL SELECT 1, 'fill_missing', na, na, nf FROM n UNION ALL SELECT 2, 'replace_non_finite', ni, ni, nf FROM n UNION ALL SELECT 3, 'drop_missing_rows', nf - np, 0, np FROM n UNION ALL SELECT 4, 'remove_duplicates', np - nu, 0, nu FROM n")
 
 

@@ -7,7 +7,7 @@ from tabprep.errors import Refused
 from tabprep.functions import scalar
 from tabprep.functions.identity import content_fingerprint, with_identity
 from tabprep.operators import access, curves, prepare, profile, split
-from tabprep.plans.recipe import run_recipe
+from tabprep.plans.recipe import recipe_preview, run_recipe
 from tabprep.sources import stored
 from tabprep.sources.csv import import_csv
 
@@ -172,3 +172,19 @@ def test_file_queries_grow_with_the_table(spark, tmp_path):
     assert QUERIES["source_digests"](spark, f"file://{tmp_path}").count() == 4
     got = {r["status"]: r["count"] for r in QUERIES["verify_files"](spark, f"file://{tmp_path}").groupBy("status").count().collect()}
     assert got == {"ok": 2, "changed": 1, "missing": 1}
+
+
+def test_recipe_tells_learned_values_warnings_and_changed_rows(base):
+    df = base.withColumn("none", F.lit(None).cast("double"))
+    steps = [("filter_rows", {"column": "grp", "operator": "ne", "value": "c"}), ("fill_missing", {"columns": ["num", "none"], "strategy": "median"}), ("replace_values", {"column": "text", "mapping": [("x", "y")]}), ("remove_duplicates", {"columns": ["grp"]})]
+    _, report, samples = recipe_preview(df, steps)
+    got = report.orderBy("step").collect()
+    assert got[1]["learned"] == '{"num": 2.0, "none": null}' and [r["warnings"] for r in got] == [[], ["fill_value_not_defined"], [], []]
+    assert [tuple(r) for r in samples.collect()] == [(0, "filter_rows", "r4"), *((1, "fill_missing", r) for r in ("r2", "r0", "r1", "r3")), (2, "replace_values", "r2"), (2, "replace_values", "r3"), (3, "remove_duplicates", "r1"), (3, "remove_duplicates", "r3")]
+
+
+def test_chosen_threshold_has_f1_and_matrix(spark):
+    df = spark.createDataFrame([("m", t, s) for t, s in zip([1, 1, 0, 1, 0], [0.9, 0.8, 0.7, 0.6, 0.1], strict=True)] + [("none", 0, 0.5)], "model string, truth int, score double")
+    got = {r["model"]: r for r in curves.optimize_threshold(df, 0.9).collect()}
+    assert [got["m"][c] for c in ("threshold", "f1", "tn", "fp", "fn", "tp")] == [0.6, 0.857143, 1, 1, 0, 3]
+    assert [got["none"][c] for c in ("feasible", "f1", "tp")] == [False, None, None]

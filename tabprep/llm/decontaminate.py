@@ -5,8 +5,9 @@ Words are the runs of 0-9, a-z (A-Z is lower-cased) and all characters from U+00
 jump after a block of two words (words that no window ends with are never looked at), and which windows end with the block;
 a direct comparison confirms each hit.
 
-The windows of the benchmark go to the tasks in blocks of at most about ``block_windows`` windows, so that what is broadcast
-is bounded whatever the benchmark's size; a larger benchmark takes one pass over the documents for each block.
+The windows of the benchmark go to the tasks in blocks of at most about ``block_windows`` windows (long items are cut into pieces
+that overlap by a window less a word), so that what is broadcast is bounded whatever the benchmark's size. A larger benchmark takes one
+pass over the documents for each block; the documents stay where they are, and only what was hit is written and joined to them.
 
 Defined results: a null or empty text has no words and is clean; a null or empty item has no windows; an item without an id counts
 as item ''; items of equal id count as one; repeated documents are each reported; empty tables give empty results.
@@ -14,20 +15,25 @@ as item ''; items of equal id count as one; repeated documents are each reported
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stash, worker_cache
+from .native import row_key
+from .shared import free_name, small_batches, stash, worker_cache
 
 _WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
-_SPANS, _ITEMS = "_hit_spans", "_hit_items"
+#: Words of a piece of an item.
+PIECE = 20_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -80,21 +86,26 @@ def searchers(items: list[tuple[str, str]], window: int) -> list[WuManber]:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> list[DataFrame]:
-    """The benchmark in parts of at most about block_windows windows, one item being the least part."""
-    plain = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # at most as many windows as separators and one
-    total = plain.agg(F.sum(F.length(F.regexp_replace("text", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]", "")) + 1)).first()[0] or 0
-    n = max(1, math.ceil(total / block_windows))
-    return [plain if n == 1 else plain.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) for i in range(n)]
-
-
-def _pass(docs: DataFrame, text_col: str, block: DataFrame, window: int, finish: Callable, schema: T.StructType, id_type=None) -> DataFrame:
-    items = [(r["name"], r["text"]) for r in block.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    """The benchmark as (name, text of words) in parts of at most about block_windows windows, no row having more than PIECE words."""
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.regexp_extract_all(lower, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0)).alias("w"))
+    step = max(1, PIECE - window + 1)
+    pieces = F.greatest(F.ceil((F.size("w") - window + 1) / step), F.lit(1)).cast("int")
+    cut = plain.where(F.size("w") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), pieces - 1))).select("name", F.slice("w", F.col("k") * step + 1, F.lit(step + window - 1)).alias("w"))
+    cut = stash(cut.select("name", F.array_join("w", " ").alias("text"), F.size("w").alias("n")))
+    n = max(1, math.ceil((cut.agg(F.sum("n")).first()[0] or 0) / block_windows))
+    return [cut if n == 1 else cut.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _pass(docs: DataFrame, text_col: str, block: DataFrame, window: int, finish: Callable, schema: T.StructType | str) -> DataFrame:
+    """finish(batch, words of each text, spans of hit words, names of items that occur) over all documents."""
+    items = sorted((r["name"], r["text"]) for r in block.collect())
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(items)
+    # workers outlive jobs, and what they hold is known by its content
+    key = ("windows", hashlib.sha256(json.dumps([window, items]).encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
-        key = ("windows", sent.id if hasattr(sent, "id") else id(sent), window)
         if cache.get("searchers", (None,))[0] != key:
             cache["searchers"] = (key, searchers(sent.value, window))
         found_by = cache["searchers"][1]
@@ -125,46 +136,70 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_ARROW_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _listed(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in _merge(s)] for s in spans], _ARROW_SPAN)
+
+
+def _hits(docs: DataFrame, block: DataFrame, window: int) -> DataFrame:
+    """_key, _spans, _items of the rows (_key, _text) that the block's windows hit, written."""
+
+    def finish(batch, n_words, spans, names):
+        found = pa.array([bool(s) for s in spans], pa.bool_())
+        all_rows = pa.RecordBatch.from_arrays([batch.column("_key"), _listed(spans), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["_key", "_spans", "_items"])
+        return all_rows.filter(found)
+
+    schema = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("_spans", _SPAN), T.StructField("_items", T.ArrayType(T.StringType()))])
+    return stash(_pass(docs.select("_key", "_text"), "_text", block, window, finish, schema).dropDuplicates(["_key"]))
+
+
+def _joined_spans(spans):
+    """Sorted spans, those that touch or overlap made one."""
+    grown = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], x["end"]).alias("end"))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return F.aggregate(F.array_sort(spans), none, lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.get(a, F.size(a) - 1)["end"]), grown(a, x)).otherwise(F.array_append(a, x)))
+
+
 def contamination(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_windows: int = 200_000) -> DataFrame:
     """Per document: id, n_words, n_hit (words inside any occurrence of a window), spans (word positions, end exclusive) and items."""
-    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    report = T.StructType([T.StructField("_id", documents.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    found = T.StructType([*docs.schema.fields, *report.fields[1:]])
-    arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def finish(batch, n_words, spans, names, keep_text):
-        if "spans" in batch.schema.names:  # what the blocks before have found
-            spans = [s + [(x["start"], x["end"]) for x in old] for s, old in zip(spans, batch.column("spans").to_pylist(), strict=True)]
-            names = [x | set(old) for x, old in zip(names, batch.column("items").to_pylist(), strict=True)]
-        merged = pa.array([[{"start": a, "end": b} for a, b in _merge(s)] for s in spans], arrow_span)
-        out = [pa.array(n_words, pa.int64()), merged, pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
-        head = ["_id", "_text"] if keep_text else ["_id"]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in head), *out], [*head, "n_words", "spans", "items"])
-
-    blocks = _blocks(items, item_id, item_text, window, block_windows)
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        docs = _pass(docs, "_text", block, window, lambda *a, keep=not last: finish(*a, keep), report if last else found)
-        if not last:
-            docs = stash(docs)
+    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), row_key(id_col, text_col).alias("_key"))
+    first, *others = _blocks(items, item_id, item_text, window, block_windows)
+    more = bool(others)
+
+    def finish(batch, n_words, spans, names):
+        head = ["_id", "_key"] if more else ["_id"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in head), pa.array(n_words, pa.int64()), _listed(spans), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], [*head, "n_words", "spans", "items"])
+
+    report = [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
+    head = [T.StructField("_id", documents.schema[id_col].dataType), *([T.StructField("_key", T.BinaryType())] if more else [])]
+    found = _pass(docs if more else docs.drop("_key"), "_text", first, window, finish, T.StructType([*head, *report]))
+    if more:
+        hits = reduce(DataFrame.unionByName, [_hits(docs, b, window) for b in others])
+        hits = hits.groupBy("_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
+        both = found.join(hits, "_key", "left")
+        none = F.array().cast("array<string>")
+        found = both.select("_id", "n_words", F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(_joined_spans(F.concat("spans", "_spans"))).alias("spans"), F.array_sort(F.array_union("items", F.coalesce("_items", none))).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return docs.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return found.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def decontaminate(documents: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_windows: int = 200_000) -> DataFrame:
+def decontaminate(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_windows: int = 200_000) -> DataFrame:
     """The documents, with all their columns, in which no window of an item occurs."""
 
     def finish(batch, n_words, spans, names):
         return batch.filter(pa.array([not s for s in spans], pa.bool_()))
 
-    docs = documents
-    blocks = _blocks(items, item_id, item_text, window, block_windows)
-    for i, block in enumerate(blocks):
-        docs = _pass(docs, text_col, block, window, finish, documents.schema)
-        if i < len(blocks) - 1:
-            docs = stash(docs)
-    return docs
+    first, *others = _blocks(items, item_id, item_text, window, block_windows)
+    docs = _pass(documents, text_col, first, window, finish, documents.schema)
+    if not others:
+        return docs
+    keyed = documents.select(F.col(text_col).cast("string").alias("_text"), row_key(id_col, text_col).alias("_key"))
+    hits = reduce(DataFrame.unionByName, [_hits(keyed, b, window) for b in others]).select("_key").distinct()
+    key = free_name(documents, "_row_key")
+    return docs.withColumn(key, row_key(id_col, text_col)).join(hits, F.col(key) == hits["_key"], "left_anti").drop(key)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -15,3 +15,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def total(values: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + of(x).cast("long"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Equal for rows of equal id and text only."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)))

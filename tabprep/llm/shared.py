@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made and kept for the session.
+    Where that setting is missing, a session on one machine (tests) gets a temporary folder; on a cluster, whose executors couldn't
+    see it, this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -32,3 +36,18 @@ def stash(df: DataFrame) -> DataFrame:
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker."""
     return vars(sys.modules.setdefault("_tabprep_llm_worker", types.ModuleType("_tabprep_llm_worker"))).setdefault("cache", {})
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes to differ from the columns."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lets Spark send texts to Python in batches of some megabytes, where the session doesn't say otherwise: the default counts rows only."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(4 << 20))
+    return spark

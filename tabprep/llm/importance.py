@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import stash
+from .shared import small_batches, stash
 
 #: Log weights are those of a text of so many n-grams.
 NOMINAL = 500.0
@@ -58,7 +58,7 @@ def ngrams(text: pa.Array, buckets: int) -> Iterator[tuple[int, int, np.ndarray,
 
 def fit(documents: DataFrame, target_ids: list, id_col: str, text_col: str, buckets: int) -> np.ndarray:
     """The log ratio of target to raw at each place."""
-    sent = documents.sparkSession.sparkContext.broadcast(target_ids)
+    sent = small_batches(documents.sparkSession).sparkContext.broadcast(target_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import stash
+from .shared import free_name, small_batches, stash
 
 #: Minhashes in one collection.
 _PER = 2
@@ -167,6 +167,7 @@ def _bits(texts: DataFrame, width: int, seed: int) -> DataFrame:
 
 def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, collections: int = 16, seed: int = 1) -> DataFrame:
     """One row per document: doc, text_key, n_shingles, component (its smallest id), label (equal in a component; null without shingles)."""
+    small_batches(documents.sparkSession)
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
     classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
     check = (classes, documents, id_col, text_col, width)
@@ -234,11 +235,11 @@ def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_c
     alone = F.when(F.col("label").isNull(), F.struct("doc", "text_key"))
     counted = found.groupBy("label", alone.alias("alone"), "doc", "text_key").agg(F.count(F.lit(1)).alias("n"))
     least = counted.groupBy("label", "alone").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "text_key", "n")).alias("k"))
-    one = stash(least.select(F.col("k.doc").alias("_doc"), F.col("k.text_key").alias("_text_key"), F.col("k.n").alias("_n")))
-    out = documents.join(one, documents[id_col].eqNullSafe(F.col("_doc")) & (_text_key(text_col) == F.col("_text_key")), "left_semi")
-    if one.where("_n > 1").isEmpty():
-        return out
-    return out.withColumn("_text_key", _text_key(text_col)).dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    one = stash(least.select(F.col("k.doc").alias("doc"), F.col("k.text_key").alias("text_key"), F.col("k.n").alias("n")))
+    key = free_name(documents, "_text_key")
+    keyed = documents.withColumn(key, _text_key(text_col))
+    out = keyed.join(one, keyed[id_col].eqNullSafe(one["doc"]) & (keyed[key] == one["text_key"]), "left_semi")
+    return (out if one.where("n > 1").isEmpty() else out.dropDuplicates([id_col, key])).drop(key)
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

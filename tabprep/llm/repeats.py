@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import stash
+from .native import row_key
+from .shared import small_batches, stash
 
 #: Bytes of an anchor.
 ANCHOR = 64
@@ -185,8 +186,7 @@ class _Settled:
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _text, _key: equal for rows of equal id and text only."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)))
-    return documents.select(F.col(id_col).alias("_id"), text.alias("_text"), key.alias("_key"))
+    return documents.select(F.col(id_col).alias("_id"), text.alias("_text"), row_key(id_col, text_col).alias("_key"))
 
 
 def _bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def _set(bit_map: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, group: int = 4000, bits: int = 26) -> DataFrame:
     """_key of the row, first and end byte of what an occurrence of an anchor has in repeats; together these cover all repeats."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     docs = _keyed(documents, id_col, text_col)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +454,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, **options) -> DataFrame:
     """One row per occurrence of each maximal repeat: repeat (128-bit hash of its bytes), n_bytes, occurrences (of the repeat), id, start, end."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     docs = _keyed(documents, id_col, text_col)
     id_type = documents.schema[id_col].dataType.simpleString()
     spans = repeated_spans(documents, id_col=id_col, text_col=text_col, least=least, **options)

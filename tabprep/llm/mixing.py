@@ -60,17 +60,18 @@ def mix_sources(documents: DataFrame, weights: Mapping[str | None, float] | None
     rates = source_rates(documents, weights, source_col, size)
     if rates.count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    joined = documents.join(rates, documents[source_col].cast("string").eqNullSafe(F.col("_source")))
-    of = documents[id_col]
+    # a document's columns stay together under one name, so none of theirs can clash with those made here
+    docs = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_doc"), documents[id_col].alias("_id"), documents[source_col].cast("string").alias("_of"))
+    joined = docs.join(rates, F.col("_of").eqNullSafe(F.col("_source")))
 
     def drawn(j: Column) -> Column:
-        return let(uniform(F.lit(seed), of, j), lambda u: F.size(F.filter("_cdf", lambda c: c < u)))
+        return let(uniform(F.lit(seed), F.col("_id"), j), lambda u: F.size(F.filter("_cdf", lambda c: c < u)))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda s, j: s + drawn(j))
-    drawn_rows = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_replica", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    place = F.xxhash64(F.lit(seed), of, F.col("_replica"))
-    dealt = drawn_rows.withColumn("_place", place).repartition(F.col("_place")).sortWithinPartitions("_place")
-    return dealt.select(*(documents[c] for c in documents.columns), *([F.col("_replica").alias(replica_col)] if replica_col else []))
+    drawn_rows = joined.select("_doc", "_id", copies.alias("_copies")).where("_copies > 0").select("_doc", "_id", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_replica"))
+    dealt = drawn_rows.withColumn("_place", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_replica")))
+    dealt = dealt.repartition(F.col("_place")).sortWithinPartitions("_place")
+    return dealt.select("_doc.*", *([F.col("_replica").alias(replica_col)] if replica_col else []))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

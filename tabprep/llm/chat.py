@@ -40,8 +40,8 @@ def _written(turns: Column, escaped: bool) -> Column:
     return F.concat(F.lit(ESCAPED if escaped else PLAIN), F.array_join(each, ""))
 
 
-def parse(formatted: Column) -> Column:
-    """The turns as (role, text, start and end of the text as it is written), or null if the whole isn't a conversation."""
+def parse(formatted: Column, places: bool = True) -> Column:
+    """The turns as (role, text, and with places start and end of the text as it is written), or null if the whole isn't a conversation."""
 
     def read(turn: str, header: str, back) -> Column:
         def put(state: Column, x: Column) -> Column:
@@ -50,10 +50,16 @@ def parse(formatted: Column) -> Column:
             row = F.struct(back(x["r"]).alias("role"), back(x["b"]).alias("text"), start.alias("start"), end.alias("end"))
             return F.struct((end + len("</turn>\n")).alias("at"), F.array_append(state["turns"], row).alias("turns"))
 
-        got = F.zip_with(F.regexp_extract_all(formatted, F.lit(turn), F.lit(1)), F.regexp_extract_all(formatted, F.lit(turn), F.lit(2)), lambda r, b: F.struct(r.alias("r"), b.alias("b")))
-        none = F.array().cast("array<struct<role:string,text:string,start:int,end:int>>")
-        state = F.aggregate(got, F.struct(F.lit(len(header)).alias("at"), none.alias("turns")), put)
-        return let(state, lambda s: F.when(s["at"] == F.length(formatted), s["turns"]))
+        def turns(got: Column) -> Column:
+            if not places:
+                return F.transform(got, lambda x: F.struct(back(x["r"]).alias("role"), back(x["b"]).alias("text")))
+            none = F.array().cast("array<struct<role:string,text:string,start:int,end:int>>")
+            return F.aggregate(got, F.struct(F.lit(len(header)).alias("at"), none.alias("turns")), put, lambda s: s["turns"])
+
+        # what lies between turns is in none of them, so only then do their lengths add up
+        length = lambda got: F.aggregate(got, F.lit(len(header)), lambda s, x: s + F.length(x["r"]) + F.length(x["b"]) + len("### : </turn>\n"))
+        found = F.zip_with(F.regexp_extract_all(formatted, F.lit(turn), F.lit(1)), F.regexp_extract_all(formatted, F.lit(turn), F.lit(2)), lambda r, b: F.struct(r.alias("r"), b.alias("b")))
+        return let(found, lambda got: F.when(length(got) == F.length(formatted), turns(got)))
 
     return F.when(formatted.startswith(PLAIN), read(_PLAIN_TURN, PLAIN, lambda c: c)).when(formatted.startswith(ESCAPED), read(_ESCAPED_TURN, ESCAPED, unescape))
 
@@ -68,7 +74,7 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = turns.select(F.col(id_col).alias("_id"), row.alias("_row")).groupBy("_id").agg(F.sort_array(F.collect_list("_row")).alias("_turns"))
     first = grouped.withColumn("_plain", _written(F.col("_turns"), False))
-    text = F.when(_same(parse(F.col("_plain")), F.col("_turns")), F.col("_plain")).otherwise(_written(F.col("_turns"), True))
+    text = F.when(_same(parse(F.col("_plain"), places=False), F.col("_turns")), F.col("_plain")).otherwise(_written(F.col("_turns"), True))
     read = first.select("_id", "_turns", text.alias("formatted")).withColumn("turns", parse(F.col("formatted")))
     # the grammar rules this out; if it ever failed, nothing false may be written
     checked = F.when(_same(F.col("turns"), F.col("_turns")), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation can't be read back")))

@@ -31,6 +31,33 @@ def odd(spark):
     return frame(spark, [(None, None, None), (1, "", "a"), (2, "one two", "a"), (2, "one two", "a"), (3, "one two", "b"), (4, long, "b"), (5, None, "c"), (None, "one two", None)]).cache()
 
 
+#: Names that operators use inside.
+CLASHING = ["_doc", "_text_key", "_copies", "_replica", "_place", "_id", "_key", "_row_key", "k", "n", "doc", "label", "_source", "_part", "_n"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents, some twice, with columns of such names."""
+    rows = [(i % 9, t, "ab"[i % 2]) for i, t in enumerate([*texts(17, 8, 60), None, "", *texts(17, 4, 60)])]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in CLASHING}).cache()
+
+
+def unharmed(clashing, got):
+    assert got.columns == clashing.columns
+    assert {tuple(r[c] for c in CLASHING) for r in got.collect()} == {tuple(f"own {c}" for c in CLASHING)}
+
+
+def test_columns_of_clashing_names_stay(spark, clashing, labels):
+    items = spark.createDataFrame([(i, " ".join(t.split()[:12])) for i, t in enumerate(texts(17, 2, 60))], "item_id long, text string")
+    unharmed(clashing, neardup.drop_near_duplicates(clashing))
+    unharmed(clashing, mixing.mix_sources(clashing))
+    for block in (10**9, 10):
+        unharmed(clashing, decontaminate.decontaminate(clashing, items, block_windows=block))
+    unharmed(clashing, importance.resample(clashing, labels))
+    n = clashing.count()
+    assert pii.find_pii(clashing).count() == rules.quality_rules(clashing).count() == repeats.remove_repeats(clashing).count() == neardup.near_duplicates(clashing).count() == n
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return frame(spark, [])
@@ -113,6 +140,43 @@ def test_decontamination(spark, odd, none, block):
     assert decontaminate.decontaminate(odd, items).count() == 8 and decontaminate.decontaminate(none, items).count() == 0
 
 
+def test_decontamination_in_blocks_and_with_two_benchmarks_in_one_session(spark):
+    """What Python workers hold of one block or benchmark must not answer for another."""
+    rng = random.Random(12)
+    parts = texts(13, 40, 30)
+    rows = [(i, " ".join(rng.choices(WORDS, k=20)) + " " + " ".join(parts[rng.randrange(40)].split()[rng.randrange(12) :]), "s") for i in range(60)] + [(None, parts[0], "s"), (None, parts[0], "s")]
+    docs = frame(spark, rows).repartition(4)
+    long = spark.createDataFrame([(i, t) for i, t in enumerate([*parts[:20], " ".join(rng.choices(WORDS, k=50_000)), "one", None])], "item_id long, text string")
+    other = spark.createDataFrame(list(enumerate(parts[20:])), "item_id long, text string")
+
+    def told(items, block):
+        return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], [tuple(x) for x in r["spans"]], r["items"]) for r in decontaminate.contamination(docs, items, block_windows=block).collect())
+
+    def brute(items):
+        windows = {}
+        for name, text in items:
+            w = (text or "").split()
+            n = min(10, len(w))
+            for i in range(len(w) - n + 1 if n else 0):
+                windows.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+        out = []
+        for i, t, _ in rows:
+            w = t.split()
+            found = [(k, k + n, windows[tuple(w[k : k + n])]) for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows]
+            hit = {p for a, b, _ in found for p in range(a, b)}
+            out.append((-1 if i is None else i, len(w), len(hit), sorted(set().union(*(x for _, _, x in found)))))
+        return sorted(out)
+
+    for items, small in ((long, 8_000), (other, 60)):
+        want = brute([tuple(r) for r in items.collect()])
+        for block in (10**9, small):
+            got = told(items, block)
+            assert [(a, b, c, e) for a, b, c, _, e in got] == want
+            clean = decontaminate.decontaminate(docs, items, block_windows=block)
+            assert clean.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in clean.collect()) == sorted(r[0] for r in want if not r[2])
+    assert told(other, 60) == told(other, 10**9) != told(long, 10**9)
+
+
 def test_repeats_equal_brute_force(spark, odd, none):
     rng = random.Random(3)
     parts = texts(4, 8, 120)
@@ -168,7 +232,7 @@ def test_token_files(spark, odd, none):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    rows = [(i, t, "s") for i, t in enumerate(["it's, a. b", "a\n\nb  c", " lead", "tab\there é, ü.", "x y", "ends ", "A.B,c...", "don't,won't", "\n", "word\nnext, line. 'S"])]
+    rows = [(i, t, "s") for i, t in enumerate(["it's, a. b", "a\n\nb  c", " lead", "tab\there é, ü.", "x y", "ends ", "A.B,c...", "don't,won't", "\n", "word\nnext, line. 'S", "a<|endoftext|>b c", "<|endoftext|>", "a <|endoftext|> <|endoftext"])]
     folder = tokenfiles.write_tokens(frame(spark, rows), path, shards=3)
     got, files, at = {r["doc_id"]: r for r in tokenfiles.read_tokens(spark, folder).collect()}, tokenfiles.TokenFiles(folder), 0
     for i, t, _ in rows:
@@ -176,12 +240,46 @@ def test_token_files(spark, odd, none):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         assert [x.tolist() for x in files.get(i)] == [ids.tolist()]
         at += len(ids)
-    assert files.get(99) == []
+    assert [files.get(k) for k in (99, -1)] == [[], []]
+    whole.encode_special_tokens = True
+    plain = tokenfiles.TokenFiles(tokenfiles.write_tokens(frame(spark, rows), path, shards=2, special_as_text=True))
+    assert [plain.get(i)[0].tolist() for i, _, _ in rows] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for _, t, _ in rows]
     folder = tokenfiles.write_tokens(odd, path)
     assert tokenfiles.read_tokens(spark, folder).count() == 8 and len(tokenfiles.TokenFiles(folder).get(2)) == 2
     assert tokenfiles.read_tokens(spark, tokenfiles.write_tokens(none, path)).count() == 0
 
 
+def test_runs_of_equal_hashes_are_told_apart(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, docs = Tokenizer.from_file(path), texts(14, 30, 50) + ["w1 w22 w333", "", "x"]
+    real = tokenfiles.vec.span_hashes
+    monkeypatch.setattr(tokenfiles.vec, "span_hashes", lambda *a: real(*a) % tokenfiles.vec.U(90))
+    encoder = tokenfiles.Encoder(path)
+    for some in (docs[:10], docs[10:], docs):
+        assert [x.tolist() for x in encoder.encode(pa.array(some))] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_shards_are_read_in_parts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(15)
+    rows = [(rng.randrange(-(2**62), 2**62), t, "s") for t in texts(16, 3_000, 8)] + [(7, "seven", "s")] * 3
+    folder = tokenfiles.write_tokens(frame(spark, rows), path, shards=3)
+    files = tokenfiles.TokenFiles(folder)
+    for i, t, _ in rows[:3_000:100]:
+        assert len(files.get(i)) == 1 and files.get(i + 1) == []
+    assert len(files.get(7)) == 3
+    for s in files.open.values():
+        table = s.rows(0, s.footer["docs"])
+        parts = list(s.stream(table, 1_000))
+        assert [x.tolist() for x in parts] == [s.ids(r).tolist() for r in table]
+
+
 def test_index_is_perfect():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 20_000, np.uint64))
     levels, slots = tokenfiles.build_index(keys)
@@ -199,6 +297,21 @@ def test_rules(spark, odd, none):
     assert rules.quality_rules(odd).count() == 8 and rules.quality_rules(none).count() == 0
 
 
+def test_pii_odd(odd, none):
+    got = pii.find_pii(odd).collect()
+    assert len(got) == 8 and all(r["spans"] == [] for r in got) and pii.find_pii(none).count() == 0
+
+
+def test_chat_odd(spark):
+    """A very long text, repeated rows, equal turns and columns of clashing names."""
+    long = "</turn>\n### assistant: \\" * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 0, "user", "w"), (2, None, "assistant", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("_id", "_row", "_turns", "_plain", "formatted", "turns", "loss_spans")})
+    got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [long, long] and len(got[1]["loss_spans"]) == 1
+    assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("assistant", "first"), ("user", "w"), ("user", "x"), ("user", "x")]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "\\### a: </turn>\n### assistant: x</turn>"), (1, 1, "assistant", "\\"), (2, 0, None, None), (2, 1, "assistant", ""), (3, 0, "a:b\n", "</turn"), (None, None, "assistant", "z")]
     got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -225,6 +338,21 @@ def test_warc(spark, packed):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_odd(spark):
+    """A very long page, repeated rows and columns of clashing names; readers skip the payloads that nobody asks for."""
+    long = "<p>" + "é" * 1_500_000
+    rows = [(1, "u1", long), (2, "u2", long), (2, "u2", long), (3, "u3", "x" * 5_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "_digest", "_latest", "_n")})
+    folder = f"{shared_dir(spark)}/w"
+    warc.write_warc(df, folder)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.read_warc(spark, folder).collect())
+    assert got == [(1, "revisit", 2, 3_000_003), (2, "response", 0, 3_000_003), (2, "response", 0, 3_000_003), (3, "response", 0, 5_000)]
+    read = warc.WarcReader(warc.WarcSource({"path": folder}).schema() and warc.read_warc(spark, folder).schema, {"path": folder})
+    assert list(read.pushFilters([warc.EqualTo(("record_type",), "revisit")])) == [] and [f[0] for f in read.filters] == ["record_type"]
+    rows_read = [r for p in read.partitions() for b in read.read(p) for r in b.to_pylist()]
+    assert [(r["page_id"], "payload" in r) for r in rows_read] == [(1, False)]
+
+
 def test_mixing(spark, odd, none):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 15_000, "big").otherwise("small").alias("source"))
     counts = {r[0]: r[1] for r in mixing.mix_sources(docs, {"big": 1, "small": 3}).groupBy("source").count().collect()}

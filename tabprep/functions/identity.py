@@ -15,17 +15,25 @@ def user_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in SYSTEM]
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes to differ from the columns."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def number_rows(df: DataFrame, order: list[Column | str], column: str = ROW_ORDER, start: int = 0) -> DataFrame:
     """Dense numbers in the given order. Rows are sorted by ranges; only the ranges' sizes go through the driver, never a window over all rows."""
+    part, place, first = (_free(df, c) for c in ("_part", "_at", "_first"))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialize(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    placed = materialize(ranged.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     offsets, at = [], start
-    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):
-        offsets.append((part, at))
+    for k, n in sorted(tuple(r) for r in placed.groupBy(part).count().collect()):
+        offsets.append((k, at))
         at += n
-    first = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _first long"))
-    numbered = placed.join(first, "_part").withColumn(column, F.col("_first") + F.col("_at"))
-    return numbered.drop("_part", "_at", "_first")
+    offset = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{part} int, {first} long"))
+    numbered = placed.join(offset, part).withColumn(column, F.col(first) + F.col(place))
+    return numbered.drop(part, place, first)
 
 
 def with_identity(df: DataFrame, order: list[Column | str], digest: str) -> DataFrame:

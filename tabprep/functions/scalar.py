@@ -34,6 +34,12 @@ def sample_support(positive: Column, negative: Column) -> Column:
     return F.when(low < 10, "severe").when(low < 30, "limited").otherwise("none")
 
 
+def sample_diagnosis(positive: Column, negative: Column) -> Column:
+    """severity (as sample_support), recall_resolution (what one positive row makes of recall; null without any) and limited_sample."""
+    severity = sample_support(positive, negative)
+    return F.struct(severity.alias("severity"), (F.lit(1.0) / F.when(positive > 0, positive)).alias("recall_resolution"), (severity != "none").alias("limited_sample"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 when b is 0."""
     return F.when(b == 0, 0.0).otherwise(a.cast("double") / F.when(b == 0, 1).otherwise(b))

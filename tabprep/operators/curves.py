@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import Refused
 from ..functions.scalar import ratio
 from ..storage import materialize
 
@@ -72,8 +73,10 @@ def optimize_threshold(scores: DataFrame, least_recall: float) -> DataFrame:
 
 
 def candidate_thresholds(scores: DataFrame, candidates: list[float]) -> DataFrame:
-    """Metrics at given thresholds, cut to [0, 1]: one conditional sum each over the summed scores."""
-    wanted = sorted({min(1.0, max(0.0, c)) for c in candidates})
+    """Metrics at the given thresholds that lie within [0, 1]; others are left out. One conditional sum each over the summed scores."""
+    wanted = sorted({float(c) for c in candidates if 0 <= c <= 1})
+    if not wanted:
+        raise Refused("no_candidate_thresholds")
     groups = scores.groupBy("model", "score").agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
     sums = [F.struct(F.lit(t).alias("threshold"), *(F.sum(F.when(F.col("score") >= t, F.col(c)).otherwise(0)).cast("long").alias(k) for c, k in (("pos", "tp"), ("neg", "fp"))), F.sum("pos").cast("long").alias("P")) for t in wanted]
     rows = groups.groupBy("model").agg(F.array(*sums).alias("r")).select("model", F.inline("r"))

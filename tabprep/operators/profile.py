@@ -35,13 +35,20 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return parts
 
 
+def missing_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per column: column, family, n_rows, n_missing. One aggregate without distinct counts: no row is multiplied."""
+    columns = columns or df.columns
+    made = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(_missing(df, c), 1)).alias(f"m{i}") for i, c in enumerate(columns)))
+    return made.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(family(df.schema[c].dataType)).alias("family"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(columns)))))
+
+
 def schema_overview(df: DataFrame) -> DataFrame:
     share = F.round(100.0 * F.col("n_missing") / F.when(F.col("n_rows") > 0, F.col("n_rows")), 2)
-    return column_stats(df).select("column", "family", "n_missing", share.alias("missing_pct"))
+    return missing_stats(df).select("column", "family", "n_missing", share.alias("missing_pct"))
 
 
 def missing_cells(df: DataFrame) -> DataFrame:
-    return column_stats(df).agg(F.coalesce(F.sum("n_missing"), F.lit(0)).alias("missing_cells"))
+    return missing_stats(df).agg(F.coalesce(F.sum("n_missing"), F.lit(0)).alias("missing_cells"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -54,26 +61,26 @@ def binary_candidates(df: DataFrame) -> DataFrame:
 
 
 def columns_missing(df: DataFrame) -> DataFrame:
-    return column_stats(df).where("n_missing > 0").select("column", "n_missing")
+    return missing_stats(df).where("n_missing > 0").select("column", "n_missing")
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
-    """At most one value, a missing one counting as a value."""
-    return column_stats(df).where("n_distinct + cast(n_missing > 0 as int) <= 1").select("column")
+def constant_columns(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """At most one value, a missing one counting as a value. stats: column_stats of df, where known (here and below)."""
+    return (stats or column_stats(df)).where("n_distinct + cast(n_missing > 0 as int) <= 1").select("column")
 
 
-def high_cardinality(df: DataFrame) -> DataFrame:
-    return column_stats(df).where("family <> 'numeric' and n_distinct > greatest(20, cast(floor(0.2 * n_rows) as bigint))").select("column", "n_distinct")
+def high_cardinality(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    return (stats or column_stats(df)).where("family <> 'numeric' and n_distinct > greatest(20, cast(floor(0.2 * n_rows) as bigint))").select("column", "n_distinct")
 
 
-def possible_ids(df: DataFrame) -> DataFrame:
+def possible_ids(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Named like an id and half unique, or almost unique texts and dates."""
     name = F.lower(F.translate("column", "- ", "__"))
     named = (name == "id") | name.endswith("_id") | F.contains(name, F.lit("uuid")) | F.contains(name, F.lit("identifier"))
     filled = F.col("n_rows") - F.col("n_missing")
     unique = F.col("n_distinct") / F.when(filled > 0, filled)
     other = ~F.col("family").isin("numeric", "boolean") & (filled >= 50) & (unique >= 0.995)
-    return column_stats(df).where((named & (unique >= 0.5)) | other).select("column")
+    return (stats or column_stats(df)).where((named & (unique >= 0.5)) | other).select("column")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -130,7 +137,7 @@ def prevalence(df: DataFrame, target: str) -> DataFrame:
 
 
 def fill_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    return column_stats(df, columns).select("column", "n_missing")
+    return missing_stats(df, columns).select("column", "n_missing")
 
 
 def estimate_bytes(df: DataFrame) -> DataFrame:
@@ -143,6 +150,7 @@ def estimate_bytes(df: DataFrame) -> DataFrame:
 def quality_findings(df: DataFrame, target: str | None = None) -> DataFrame:
     """Ordered rows: position, severity, finding, n, columns; one row 'ok' if nothing is found."""
     features = df.drop(target) if target else df
+    stats = materialize(column_stats(features))
     found = []
 
     def add(severity: str, finding: str, columns: list[str], n: int) -> None:
@@ -152,7 +160,7 @@ def quality_findings(df: DataFrame, target: str | None = None) -> DataFrame:
     gaps = {r["column"]: r["n_missing"] for r in columns_missing(df).collect()}
     add("warning", "missing_values", list(gaps), sum(gaps.values()))
     add("warning", "duplicate_rows", [], duplicate_count(df).first()[0])
-    for severity, finding, table in (("issue", "constant_columns", constant_columns(features)), ("warning", "high_cardinality", high_cardinality(features)), ("warning", "possible_ids", possible_ids(features)), ("warning", "outliers", outliers_iqr(features))):
+    for severity, finding, table in (("issue", "constant_columns", constant_columns(features, stats)), ("warning", "high_cardinality", high_cardinality(features, stats)), ("warning", "possible_ids", possible_ids(features, stats)), ("warning", "outliers", outliers_iqr(features))):
         names = [r["column"] for r in table.collect()]
         add(severity, finding, names, len(names))
     if target and imbalance(df, target).first()["severe"]:
@@ -163,14 +171,15 @@ def quality_findings(df: DataFrame, target: str | None = None) -> DataFrame:
 def diagnose(df: DataFrame, target: str) -> DataFrame:
     """All checks of a table with a binary target as one report: check, column (null for the table), value as text."""
     features = df.drop(target)
+    stats = materialize(column_stats(features))
     checks = [
         ("class_count", class_summary(df, target), F.col("class").cast("string"), F.col("count")),
         ("minority", imbalance(df, target), F.lit(target), F.col("minority")),
         ("imbalanced", imbalance(df, target), F.lit(target), F.col("imbalanced")),
         ("missing", columns_missing(df), F.col("column"), F.col("n_missing")),
-        ("constant", constant_columns(features), F.col("column"), F.lit(True)),
-        ("high_cardinality", high_cardinality(features), F.col("column"), F.col("n_distinct")),
-        ("possible_id", possible_ids(features), F.col("column"), F.lit(True)),
+        ("constant", constant_columns(features, stats), F.col("column"), F.lit(True)),
+        ("high_cardinality", high_cardinality(features, stats), F.col("column"), F.col("n_distinct")),
+        ("possible_id", possible_ids(features, stats), F.col("column"), F.lit(True)),
     ]
     if numeric_columns(features):
         checks.append(("outliers", outliers_iqr(features), F.col("column"), F.col("outliers")))

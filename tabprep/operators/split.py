@@ -9,6 +9,8 @@ from ..errors import Refused
 from ..storage import materialize
 
 PARTS = ("train", "validation", "test")
+#: Classes beyond which a split is refused: quotas are worked out by the driver.
+MOST_CLASSES = 10_000
 
 
 def _largest_remainder(counts: dict, n: int) -> dict:
@@ -28,7 +30,9 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42) ->
     size needs no window over all its rows.
     """
     hashed = materialize(df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))))
-    counts = {r[0]: r[1] for r in hashed.groupBy(target).count().collect()}
+    counts = {r[0]: r[1] for r in hashed.groupBy(target).count().limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise Refused("too_many_classes", target)
     total = sum(counts.values())
     n_rest = -(-total * 3 // 10)
     rest = _largest_remainder(counts, n_rest) if counts else {}
@@ -36,17 +40,24 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42) ->
     test = _largest_remainder(rest, n_test) if n_rest else {}
     if any(c < 3 or rest[k] < 2 or test[k] < 1 for k, c in counts.items()):
         raise Refused("split_too_small")
+    # per class and bucket of hashes: rows before it and in it; those whose rows all go to one part need no ranks
     bucket = F.shiftright("_h", 48)
-    sizes = hashed.groupBy(target, bucket.alias("_b")).count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(target).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col(target).alias("_t"), "_b", before.alias("_start"), "count")
+    sizes = hashed.groupBy(F.col(target).alias("_t"), bucket.alias("_b")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quotas = df.sparkSession.createDataFrame([(k, counts[k] - rest[k], counts[k] - test[k]) for k in counts], f"_q {df.schema[target].dataType.simpleString()}, _v long, _w long")
-    starts = starts.join(F.broadcast(quotas), F.col("_t").eqNullSafe(F.col("_q"))).drop("_q")
-    placed = hashed.withColumn("_b", bucket)
-    placed = placed.join(starts, placed[target].eqNullSafe(F.col("_t")) & (placed["_b"] == starts["_b"])).drop(starts["_b"])
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_t", "_b").orderBy("_h", id_col))
-    side = F.when(rank <= F.col("_v"), PARTS[0]).when(rank <= F.col("_w"), PARTS[1]).otherwise(PARTS[2])
-    return placed.withColumn("split", side).select(*df.columns, "split")
+    borders = sizes.select("_t", "_b", before.alias("_start"), (before + F.col("count")).alias("_stop")).join(F.broadcast(quotas), F.col("_t").eqNullSafe(F.col("_q")))
+    # a border lies within one bucket, or between two: two rows a class at most
+    borders = borders.where(((F.col("_start") < F.col("_v")) & (F.col("_v") < F.col("_stop"))) | ((F.col("_start") < F.col("_w")) & (F.col("_w") < F.col("_stop"))))
+    borders = materialize(borders.select("_t", F.col("_b").alias("_at"), "_start"))
+    cuts = sizes.select("_t", "_b", (before + F.col("count")).alias("_stop")).join(F.broadcast(quotas), F.col("_t").eqNullSafe(F.col("_q"))).groupBy("_t").agg(F.max(F.when(F.col("_stop") <= F.col("_v"), F.col("_b"))).alias("_last_v"), F.max(F.when(F.col("_stop") <= F.col("_w"), F.col("_b"))).alias("_last_w"), F.max("_v").alias("_v"), F.max("_w").alias("_w"))
+    cuts = materialize(cuts)
+    placed = hashed.withColumn("_b", bucket).join(F.broadcast(cuts), F.col(target).eqNullSafe(F.col("_t"))).drop("_t")
+    placed = placed.join(F.broadcast(borders), F.col(target).eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_at")), "left").drop("_t")
+    low = lambda last: F.coalesce(F.col("_b") <= F.col(last), F.lit(False))
+    inner = placed.where("_start IS NULL").withColumn("split", F.when(low("_last_v"), PARTS[0]).when(low("_last_w"), PARTS[1]).otherwise(PARTS[2]))
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy(target, "_b").orderBy("_h", id_col))
+    ranked = placed.where("_start IS NOT NULL").withColumn("split", F.when(rank <= F.col("_v"), PARTS[0]).when(rank <= F.col("_w"), PARTS[1]).otherwise(PARTS[2]))
+    return inner.select(*df.columns, "split").unionByName(ranked.select(*df.columns, "split"))
 
 
 def split_summary(df: DataFrame, target: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Refused
-from ..functions.identity import ROW_ID, ROW_ORDER, user_columns
+from ..functions.identity import ROW_ID, ROW_ORDER, content_fingerprint, user_columns
 from ..functions.predicates import predicate
 from ..operators import access, prepare
 from ..storage import materialize
@@ -50,7 +50,7 @@ def run_recipe(df: DataFrame, steps: list[tuple[str, dict]]) -> tuple[DataFrame,
 
 
 def recipe_preview(df: DataFrame, steps: list[tuple[str, dict]], samples: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As run_recipe, and a sample of changed rows: step, operation, _row_id; in step order, samples in all.
+    """As run_recipe (the result is written in row order), and a sample of changed rows: step, operation, _row_id; in step order, samples in all.
 
     Steps stay lazy except for learned values; each step's counts are one aggregate.
     """
@@ -76,7 +76,14 @@ def recipe_preview(df: DataFrame, steps: list[tuple[str, dict]], samples: int =
         if len(sampled) < samples:
             sampled += [(i, operation, r) for r in _sample(df, after, operation, p, marks, samples - len(sampled))]
         df, n = after, left
-    done = materialize(df)
+    done = materialize(df.repartitionByRange(ROW_ORDER).sortWithinPartitions(ROW_ORDER))
     spark = done.sparkSession
     told = spark.createDataFrame(report, "step int, operation string, affected_rows long, affected_cells long, rows_after long, columns_after int, learned string, warnings array<string>")
     return done, told, spark.createDataFrame(sampled, f"step int, operation string, {ROW_ID} string")
+
+
+def preview_summary(before: DataFrame, after: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
+    """One row: rows and user columns before and after, and a fingerprint that is equal for equal content made by equal steps."""
+    old = content_fingerprint(before).first()[0]
+    shapes = [F.lit(n).cast("long").alias(f"{what}_{when}") for when, df in (("before", before), ("after", after)) for what, n in (("rows", df.count()), ("columns", len(user_columns(df))))]
+    return content_fingerprint(after).select(*shapes, F.sha2(F.concat_ws("|", F.lit(old), F.lit(json.dumps(steps, sort_keys=True, default=str)), "fingerprint"), 256).alias("fingerprint"))

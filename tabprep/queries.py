@@ -11,8 +11,8 @@ from .functions import scalar
 from .functions.identity import content_fingerprint, with_identity
 from .operators import access, curves, models, prepare, profile, split
 from .plans import versions
-from .plans.recipe import recipe_preview, run_recipe
-from .sources import csv, stored
+from .plans.recipe import preview_summary, recipe_preview, run_recipe
+from .sources import csv, stored, workbooks
 from .storage import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,9 +115,9 @@ _STATS = "s AS (" + " UNION ALL ".join(f"SELECT '{c.split()[0]}' AS \"column\",
 add("schema_overview", _on(profile.schema_overview), f'WITH {_STATS} SELECT "column", family, n_missing, round(100.0 * n_missing / n_rows, 2)::DOUBLE AS missing_pct FROM s')
 add("missing_cells", _on(profile.missing_cells), f"WITH {_STATS} SELECT CAST(sum(n_missing) AS BIGINT) AS missing_cells FROM s")
 add("duplicate_count", _on(lambda df: profile.duplicate_count(df.select("grp", "status", "priority"))), f"SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT grp, status, priority FROM {BASE})) AS duplicates FROM {BASE}")
-add("binary_candidates", lambda s, d: profile.binary_candidates(table(s, d, "lineitem")), "SELECT 'l_linestatus' AS \"column\" WHERE (SELECT count(DISTINCT l_linestatus) FROM lineitem) = 2 UNION ALL SELECT 'l_returnflag' WHERE (SELECT count(DISTINCT l_returnflag) FROM lineitem) = 2")
+add("binary_candidates", lambda s, d: profile.binary_candidates(table(s, d, "lineitem")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM lineitem HAVING count(DISTINCT {c}) = 2" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")))
 add("columns_missing", _on(profile.columns_missing), f'WITH {_STATS} SELECT "column", n_missing FROM s WHERE n_missing > 0')
-add("constant_columns", _on(lambda df: profile.constant_columns(df.withColumns({"same": F.lit("x"), "gaps": F.when(F.col("grp") > 3, 1)}))), "SELECT 'same' AS \"column\"")
+add("constant_columns", _on(lambda df: profile.constant_columns(df.withColumns({"same": F.lit("x"), "gaps": F.when(F.col("grp") > 3, 1)}))), f"WITH {_STATS}, m AS (SELECT * FROM s UNION ALL SELECT 'same', 'string', count(*), 0, count(DISTINCT 'x') FROM {BASE} UNION ALL SELECT 'gaps', 'numeric', count(*), count(*) FILTER (grp <= 3), count(DISTINCT CASE WHEN grp > 3 THEN 1 END) FROM {BASE}) SELECT \"column\" FROM m WHERE n_distinct + CAST(n_missing > 0 AS INT) <= 1")
 add("high_cardinality", _on(profile.high_cardinality), f"WITH {_STATS} SELECT \"column\", n_distinct FROM s WHERE family <> 'numeric' AND n_distinct > greatest(20, CAST(floor(0.2 * n_rows) AS BIGINT))")
 add("possible_ids", _on(profile.possible_ids), f"WITH {_STATS} SELECT \"column\" FROM s WHERE (regexp_matches(lower(\"column\"), '(^id$|_id$|uuid|identifier)') AND n_distinct >= 0.5 * (n_rows - n_missing)) OR (family NOT IN ('numeric', 'boolean') AND n_rows - n_missing >= 50 AND n_distinct >= 0.995 * (n_rows - n_missing))")
 _OUT = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS outliers FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM lineitem) WHERE b > a AND ({c} < a - 0.1 * (b - a) OR {c} > b + 0.1 * (b - a))" for c in ("l_quantity", "l_extendedprice", "l_tax"))
@@ -128,7 +128,31 @@ add("validate_target", lambda s, d: profile.validate_target(table(s, d, "labels"
 add("imbalance", lambda s, d: profile.imbalance(table(s, d, "labels"), "toxic"), "SELECT round(m, 6) AS minority, m < 0.3 AS imbalanced, m < 0.1 AS severe FROM (SELECT min(c) / sum(c) AS m FROM (SELECT count(*) AS c FROM labels WHERE toxic IS NOT NULL GROUP BY toxic))")
 add("prevalence", lambda s, d: profile.prevalence(table(s, d, "labels"), "toxic"), "SELECT max(toxic) AS positive, round(avg((toxic = (SELECT max(toxic) FROM labels))::INT), 6) AS prevalence FROM labels")
 add("estimate_bytes", lambda s, d: profile.estimate_bytes(table(s, d, "customer")), "SELECT CAST(sum(octet_length(encode(c_name)) + octet_length(encode(c_mktsegment)) + 8 + 4 + 8) AS BIGINT) AS bytes FROM customer")
-add("quality_findings", _on(lambda df: profile.quality_findings(df.drop("_row_id"), "status")))
+_IS_ID = "((regexp_matches(lower(\"column\"), '(^id$|_id$|uuid|identifier)') AND n_distinct >= 0.5 * (n_rows - n_missing)) OR (family NOT IN ('numeric', 'boolean') AND n_rows - n_missing >= 50 AND n_distinct >= 0.995 * (n_rows - n_missing)))"
+_MANY = "(family <> 'numeric' AND n_distinct > greatest(20, CAST(floor(0.2 * n_rows) AS BIGINT)))"
+_SAME = "(n_distinct + CAST(n_missing > 0 AS INT) <= 1)"
+
+
+def _far(source: str, columns: tuple[str, ...]) -> str:
+    """SQL of the columns with values beyond three interquartile ranges, and how many."""
+    each = (f"SELECT '{c}' AS \"column\", count(*) AS outliers FROM {source}, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {source}) WHERE b > a AND ({c} < a - 3 * (b - a) OR {c} > b + 3 * (b - a))" for c in columns)
+    return f"(SELECT * FROM ({' UNION ALL '.join(each)}) WHERE outliers > 0)"
+
+
+_NAMES = "coalesce(string_agg(\"column\", ',' ORDER BY \"column\"), '')"
+add(
+    "quality_findings",
+    _on(lambda df: profile.quality_findings(df.drop("_row_id"), "status").withColumn("columns", F.array_join("columns", ","))),
+    f"""WITH {_STATS}, t AS (SELECT * FROM s WHERE "column" <> '_row_id'), x AS (SELECT * FROM t WHERE "column" <> 'status'), f AS (
+SELECT 0 AS k, 'warning' AS severity, 'missing_values' AS finding, CAST(sum(n_missing) AS BIGINT) AS n, {_NAMES} AS columns FROM t WHERE n_missing > 0
+UNION ALL SELECT 1, 'warning', 'duplicate_rows', (SELECT count(*) FROM {BASE}) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (_row_id) FROM {BASE})), ''
+UNION ALL SELECT 2, 'issue', 'constant_columns', count(*), {_NAMES} FROM x WHERE {_SAME}
+UNION ALL SELECT 3, 'warning', 'high_cardinality', count(*), {_NAMES} FROM x WHERE {_MANY}
+UNION ALL SELECT 4, 'warning', 'possible_ids', count(*), {_NAMES} FROM x WHERE {_IS_ID}
+UNION ALL SELECT 5, 'warning', 'outliers', count(*), {_NAMES} FROM {_far(BASE, ("_row_order", "price", "amount", "grp"))}
+UNION ALL SELECT 6, 'issue', 'severe_imbalance', CAST(min(c) < 0.1 * sum(c) AS BIGINT), 'status' FROM (SELECT count(*) AS c FROM {BASE} WHERE status IS NOT NULL GROUP BY status))
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, severity, finding, n, columns FROM f WHERE n > 0""",
+)
 
 add("row_identity", lambda s, d: with_identity(table(s, d, "events").select("event_id", "event_type"), ["event_id"], "events"), "SELECT md5('events:' || CAST(k AS VARCHAR)) AS _row_id, k AS _row_order, event_id, event_type FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, event_id, event_type FROM events)")
 add("content_fingerprint", _on(content_fingerprint))
@@ -170,9 +194,22 @@ add("average_precision", _on(curves.average_precision, scores), f"WITH {_GROUPS}
 _CHOSEN = ["model", "feasible", "threshold", "precision", "recall"]
 add("optimize_models", _on(lambda df: curves.optimize_threshold(df, 0.3).select(_CHOSEN), scores), f"WITH {_GROUPS} SELECT model, true AS feasible, score AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r WHERE recall_ >= 0.3 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1")
 add("optimize_threshold", _on(lambda df: curves.optimize_threshold(df.where("model = 'a'"), 0.6).select(_CHOSEN), scores), f"WITH {_GROUPS} SELECT model, true AS feasible, score AS threshold, round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM r WHERE model = 'a' AND recall_ >= 0.6 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1")
-add("candidate_thresholds", _on(lambda df: curves.candidate_thresholds(df, [0.3, 0.7, 0.7, 1.5]), scores), f"SELECT model, t AS threshold, count(*) FILTER (score >= t AND truth = 1) AS tp, count(*) FILTER (score >= t AND truth = 0) AS fp, round(coalesce(count(*) FILTER (score >= t AND truth = 1) / nullif(count(*) FILTER (score >= t), 0), 0), 6) AS precision, round(count(*) FILTER (score >= t AND truth = 1) / sum(truth), 6) AS recall FROM {SCORES}, (VALUES (0.3::DOUBLE), (0.7::DOUBLE), (1.0::DOUBLE)) AS v(t) GROUP BY model, t")
+add("candidate_thresholds", _on(lambda df: curves.candidate_thresholds(df, [0.3, 0.7, 0.7, 1.5]), scores), f"SELECT model, t AS threshold, count(*) FILTER (score >= t AND truth = 1) AS tp, count(*) FILTER (score >= t AND truth = 0) AS fp, round(coalesce(count(*) FILTER (score >= t AND truth = 1) / nullif(count(*) FILTER (score >= t), 0), 0), 6) AS precision, round(count(*) FILTER (score >= t AND truth = 1) / sum(truth), 6) AS recall FROM {SCORES}, (SELECT DISTINCT t FROM (VALUES (0.3::DOUBLE), (0.7::DOUBLE), (0.7::DOUBLE), (1.5::DOUBLE)) AS w(t) WHERE t BETWEEN 0 AND 1) AS v GROUP BY model, t")
 add("recommend_model", _on(lambda df: curves.recommend_model(df, 0.3), scores), f"SELECT o.model, threshold, precision, pr_auc, recall FROM ({SQL['optimize_models']}) o JOIN ({SQL['average_precision']}) a USING (model) ORDER BY precision DESC, pr_auc DESC, recall DESC LIMIT 1")
 
+
+
+def _at(t: float) -> str:
+    return SQL["prf_metrics"].replace("score < 0.5", f"score < {t}").replace("score >= 0.5", f"score >= {t}")
+
+
+_JUDGED = "({prf}) m JOIN (" + SQL["roc_auc"] + ") u USING (model) JOIN (" + SQL["average_precision"] + ") v USING (model)"
+add("scored_validation", _on(models.validation_metrics, scores), f"SELECT m.*, roc_auc, pr_auc FROM {_JUDGED.format(prf=SQL['prf_metrics'])}")
+add("scored_comparison", _on(models.model_comparison, scores), f"SELECT model, pr_auc, roc_auc, precision, recall, f1, fp, fn FROM {_JUDGED.format(prf=SQL['prf_metrics'])}")
+add("scored_final_test", _on(lambda df: models.final_test(df, "a", 0.6), scores), f"SELECT m.*, roc_auc, pr_auc, 0.6::DOUBLE AS threshold, tn + fp + fn + tp AS test_rows FROM {_JUDGED.format(prf=_at(0.6))} WHERE model = 'a'")
+add("optimized_matrix", _on(lambda df: curves.optimize_threshold(df, 0.3).select("model", "threshold", "f1", "tn", "fp", "fn", "tp"), scores), f"WITH {_GROUPS}, k AS (SELECT * FROM r WHERE recall_ >= 0.3 QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision_ DESC, recall_ DESC, score DESC) = 1) SELECT model, score AS threshold, round(2 * tp / (2 * tp + fp + p - tp), 6) AS f1, CAST(n - fp AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(p - tp AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp FROM k")
+add("sample_diagnosis", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("positive_count"), F.sum((F.col("o_orderstatus") != "F").cast("long")).alias("negative_count")).select("o_custkey", "positive_count", "negative_count", scalar.sample_diagnosis(F.col("positive_count"), F.col("negative_count")).alias("d")).select("o_custkey", "positive_count", "negative_count", "d.severity", F.round("d.recall_resolution", 6).alias("recall_resolution"), "d.limited_sample"), "SELECT o_custkey, p AS positive_count, n AS negative_count, CASE WHEN least(p, n) < 10 THEN 'severe' WHEN least(p, n) < 30 THEN 'limited' ELSE 'none' END AS severity, round(1.0::DOUBLE / nullif(p, 0), 6) AS recall_resolution, least(p, n) < 30 AS limited_sample FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS p, count(*) FILTER (o_orderstatus <> 'F') AS n FROM orders GROUP BY 1)")
+
 add("stratified_split", lambda s, d: split.stratified_split(table(s, d, "labels"), "quality", "doc_id"))
 add("split_summary", lambda s, d: split.split_summary(table(s, d, "labels").withColumn("split", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test")), "quality"), "SELECT split, CAST(sum(count(*)) OVER (PARTITION BY split) AS BIGINT) AS rows, quality AS \"class\", count(*) AS \"count\", round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split), 2)::DOUBLE AS percentage FROM (SELECT quality, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM labels) GROUP BY split, quality")
 
@@ -235,12 +272,15 @@ def _categorical(spark: SparkSession, d: str) -> DataFrame:
 def _one_hot(spark: SparkSession, d: str) -> DataFrame:
     """Levels are learned from all labelled rows."""
     df = labelled(spark, d)
-    return models.preprocess(df, df, ["lang", "source"]).select("doc_id", models.vector_to_array("features").alias("features"))
+    places = F.transform(models.vector_to_array("features"), lambda x: x.cast("int").cast("string"))
+    return models.preprocess(df, df, ["lang", "source"]).select("doc_id", F.array_join(places, "").alias("features"))
 
 
 add("preprocess_numeric", _numeric_features, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL), f AS (SELECT doc_id, coalesce(n_chars::DOUBLE, (SELECT median(n_chars) FROM b)) AS x, coalesce(toxic::DOUBLE, (SELECT median(toxic) FROM b)) AS y FROM b) SELECT doc_id, round((x - avg(x) OVER ()) / coalesce(nullif(stddev_pop(x) OVER (), 0), 1), 4) AS n_chars, round((y - avg(y) OVER ()) / coalesce(nullif(stddev_pop(y) OVER (), 0), 1), 4) AS toxic FROM f")
 add("preprocess_categorical", _categorical, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL) SELECT doc_id, coalesce(lang, (SELECT lang FROM b WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)) AS lang FROM b")
-add("preprocess_onehot", _one_hot)
+_FILLED = ", ".join(f"coalesce({c}, (SELECT {c} FROM b WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in ("lang", "source"))
+_PLACES = " || ".join(f"(SELECT string_agg(CASE WHEN l.v = f.{c} THEN '1' ELSE '0' END, '' ORDER BY l.v) FROM (SELECT DISTINCT {c} AS v FROM f) l)" for c in ("lang", "source"))
+add("preprocess_onehot", _one_hot, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL), f AS (SELECT doc_id, {_FILLED} FROM b) SELECT doc_id, {_PLACES} AS features FROM f")
 add("preprocess", lambda s, d: models.preprocess(_parts(s, d)["train"], labelled(s, d), _FEATURES).select("doc_id", models.vector_to_array("features").alias("features")))
 add("train_logistic", _trained("logistic_regression"))
 add("train_forest", _trained("random_forest"))
@@ -250,7 +290,44 @@ add("model_comparison", lambda s, d: models.model_comparison(_judged(s, d, "vali
 add("final_test", lambda s, d: models.final_test(_judged(s, d, "test")[0], "logistic_regression", 0.5))
 add("metrics_export", _export)
 add("score_batch", _scored_by_package)
-add("diagnose", lambda s, d: profile.diagnose(table(s, d, "labels").join(table(s, d, "documents").drop("text"), "doc_id"), "quality"))
+_DOCS = "(SELECT doc_id, quality, toxic, lang, source, n_chars FROM labels JOIN documents USING (doc_id))"
+_DOC_STATS = "s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS family, count(*) AS n_rows, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct FROM {_DOCS}" for c, k in (("doc_id", "numeric"), ("quality", "numeric"), ("toxic", "numeric"), ("lang", "string"), ("source", "string"), ("n_chars", "numeric"))) + ")"
+add(
+    "diagnose",
+    lambda s, d: profile.diagnose(table(s, d, "labels").join(table(s, d, "documents").drop("text"), "doc_id"), "quality"),
+    f"""WITH {_DOC_STATS}, x AS (SELECT * FROM s WHERE "column" <> 'quality'), c AS (SELECT quality, count(*) AS n FROM {_DOCS} GROUP BY quality),
+m AS (SELECT min(n) / sum(n) AS m FROM c WHERE quality IS NOT NULL), d AS (SELECT greatest(a, b, e) AS hi, least(a, b, e) AS lo FROM (SELECT stddev_samp(doc_id) AS a, stddev_samp(toxic) AS b, stddev_samp(n_chars) AS e FROM {_DOCS}))
+SELECT 'class_count' AS "check", CAST(quality AS VARCHAR) AS "column", CAST(n AS VARCHAR) AS value FROM c
+UNION ALL SELECT 'minority', 'quality', CAST(round(m, 6) AS VARCHAR) FROM m
+UNION ALL SELECT 'imbalanced', 'quality', CAST(m < 0.3 AS VARCHAR) FROM m
+UNION ALL SELECT 'missing', "column", CAST(n_missing AS VARCHAR) FROM s WHERE n_missing > 0
+UNION ALL SELECT 'constant', "column", 'true' FROM x WHERE {_SAME}
+UNION ALL SELECT 'high_cardinality', "column", CAST(n_distinct AS VARCHAR) FROM x WHERE {_MANY}
+UNION ALL SELECT 'possible_id', "column", 'true' FROM x WHERE {_IS_ID}
+UNION ALL SELECT 'outliers', "column", CAST(outliers AS VARCHAR) FROM {_far(_DOCS, ("doc_id", "toxic", "n_chars"))}
+UNION ALL SELECT 'scaling_recommended', NULL, CAST(CASE WHEN lo = 0 THEN hi > 0 ELSE hi / lo > 10 END AS VARCHAR) FROM d""",
+)
+
+
+def _package(spark: SparkSession, d: str) -> DataFrame:
+    """What a written package says of itself, and how many stages its pipeline has."""
+    dealt, path, name = _parts(spark, d), new_folder(spark), models.MODELS[0]
+    models.save_package(models.train_models(dealt["train"], "quality", _FEATURES, models=(name,))[name], path, name, 0.4, "quality", 1, _FEATURES)
+    model, about = models.load_package(spark, path)
+    return dealt["train"].agg(F.count(F.lit(1)).alias("train_rows")).select("train_rows", F.lit(len(model.stages)).alias("stages"), *(F.lit(str(v)).alias(k) for k, v in about.items()))
+
+
+add("model_package", _package)
+
+
+def _workbooks_of_customers(spark: SparkSession, d: str) -> str:
+    path = new_folder(spark)
+    workbooks.write_workbooks(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path, "customers", 200)
+    return path
+
+
+add("workbook_sheets", lambda s, d: workbooks.workbook_sheets(s, _workbooks_of_customers(s, d)).groupBy("sheet_index", "sheet_name", "status").agg((F.count(F.lit(1)) > 0).alias("found")), "SELECT * FROM (VALUES (0, 'customers', 'ok', true), (1, 'about', 'ok', true)) AS v(sheet_index, sheet_name, status, found) WHERE (SELECT count(*) FROM customer) > 0")
+add("workbook_rows", lambda s, d: workbooks.workbook_rows(s, _workbooks_of_customers(s, d), "customers").where("row_index > 1").select(F.get("cells", F.lit(0)).cast("long").alias("c_custkey"), F.get("cells", F.lit(1)).alias("c_name"), F.get("cells", F.lit(2)).cast("double").alias("c_acctbal")), "SELECT c_custkey, c_name, c_acctbal FROM customer")
 
 
 def _csv_of_orders(spark: SparkSession, d: str) -> str:
@@ -306,7 +383,17 @@ RECIPE = [
     ("remove_duplicates", {"columns": ["grp", "status"]}),
 ]
 add("recipe_preview", _on(lambda df: run_recipe(df, RECIPE)[0].withColumn("amount", F.round("amount", 4))), f"WITH f AS (SELECT * FROM {BASE} WHERE grp >= 10), m AS (SELECT * REPLACE (round(coalesce(amount, (SELECT median(amount) FROM f)), 4) AS amount, CASE WHEN isinf(price) THEN NULL ELSE price END AS price) FROM f) SELECT * FROM m WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp, status ORDER BY _row_order) = 1")
-add("recipe_samples", _on(lambda df: recipe_preview(df, RECIPE)[2]))
+add(
+    "recipe_samples",
+    _on(lambda df: recipe_preview(df, RECIPE)[2]),
+    f"""WITH f AS (SELECT * FROM {BASE} WHERE grp >= 10), p AS (SELECT * FROM f WHERE price IS NOT NULL AND NOT isinf(price)),
+a AS (SELECT 0 AS step, 'filter_rows' AS operation, _row_id, _row_order FROM {BASE} WHERE NOT grp >= 10 UNION ALL SELECT 1, 'fill_missing', _row_id, _row_order FROM f WHERE amount IS NULL
+UNION ALL SELECT 2, 'replace_non_finite', _row_id, _row_order FROM f WHERE isinf(price) UNION ALL SELECT 3, 'drop_missing_rows', _row_id, _row_order FROM f WHERE price IS NULL OR isinf(price)
+UNION ALL SELECT 4, 'remove_duplicates', _row_id, _row_order FROM p QUALIFY row_number() OVER (PARTITION BY grp, status ORDER BY _row_order) > 1)
+SELECT step, operation, _row_id FROM a ORDER BY step, _row_order LIMIT 100""",
+)
+add("recipe_summary", _on(lambda df: preview_summary(df, run_recipe(df, RECIPE)[0], RECIPE).drop("fingerprint")), f"SELECT count(*) AS rows_before, CAST(7 AS BIGINT) AS columns_before, (SELECT count(*) FROM (SELECT DISTINCT grp, status FROM {BASE} WHERE grp >= 10 AND price IS NOT NULL AND NOT isinf(price))) AS rows_after, CAST(7 AS BIGINT) AS columns_after FROM {BASE}")
+add("recipe_learned", _on(lambda df: run_recipe(df, RECIPE)[1].select("step", F.round(F.get_json_object("learned", "$.amount").cast("double"), 4).alias("amount"), F.size("warnings").alias("warnings"), "columns_after")), f"SELECT CAST(k AS INTEGER) AS step, CASE WHEN k = 1 THEN (SELECT round(median(amount), 4) FROM {BASE} WHERE grp >= 10) END AS amount, 0 AS warnings, 7 AS columns_after FROM range(5) AS r(k)")
 add("recipe_steps", _on(lambda df: run_recipe(df, RECIPE)[1].select("step", "operation", "affected_rows", "affected_cells", "rows_after")), f"WITH b AS (SELECT * FROM {BASE}), f AS (SELECT * FROM b WHERE grp >= 10), p AS (SELECT * FROM f WHERE price IS NOT NULL AND NOT isinf(price)), u AS (SELECT DISTINCT grp, status FROM p), n AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM f WHERE amount IS NULL) AS na, (SELECT count(*) FROM f WHERE isinf(price)) AS ni, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM u) AS nu) SELECT 0 AS step, 'filter_rows' AS operation, nb - nf AS affected_rows, CAST(0 AS BIGINT) AS affected_cells, nf AS rows_after FROM n UNION ALL SELECT 1, 'fill_missing', na, na, nf FROM n UNION ALL SELECT 2, 'replace_non_finite', ni, ni, nf FROM n UNION ALL SELECT 3, 'drop_missing_rows', nf - np, 0, np FROM n UNION ALL SELECT 4, 'remove_duplicates', np - nu, 0, nu FROM n")
 
 

@@ -39,7 +39,8 @@ def infer_types(texts: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True, recursive: bool = False) -> DataFrame:
-    """The cells of CSV files with the same header row, as texts. Lines with too many fields and empty or repeated names are refused.
+    """The cells of CSV files with the same header row, as texts. Lines with too many fields, empty or repeated names, and files with other headers
+    than the first one are refused.
 
     With multi_line, fields may hold line ends, and one task reads a whole file; without, Spark splits large files. With recursive,
     nested folders are read, too.
@@ -57,10 +58,15 @@ def read_texts(spark: SparkSession, path: str | list[str], delimiter: str = ",",
     while over in names:
         over += "_"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, over]])
-    lines = read.option("enforceSchema", True).schema(schema).csv(path, header=True)
-    if lines.where(F.col(over).isNotNull()).limit(1).count():
-        raise Refused("csv_too_many_fields")
-    return lines.drop(over)
+    # one scan: the first line of each file, and whether a line goes on behind the header
+    places = [f"c{i}" for i in range(len(names))]
+    every = read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*places, "over"]])).csv(path, header=False)
+    every = every.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.array(*places).alias("line"), "over")
+    facts = every.groupBy("file").agg(F.min_by("line", "at").alias("head"), F.max(F.col("over").isNotNull()).alias("over"))
+    odd = facts.where(F.col("over") | ~F.col("head").eqNullSafe(F.array(*(F.lit(n) for n in names)))).orderBy(F.desc("over")).select("over", "file").first()
+    if odd is not None:
+        raise Refused("csv_too_many_fields" if odd["over"] else "csv_headers_differ", odd["file"])
+    return read.option("enforceSchema", True).schema(schema).csv(path, header=True).drop(over)
 
 
 def import_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:

@@ -10,10 +10,15 @@ from .csv import read_texts
 
 #: File types by suffix.
 FILE_TYPES = {"csv": "CSV", "xlsx": "XLSX"}
+#: A file is one value of a row while it is digested; larger ones are refused before any is read.
+MOST_BYTES = 1 << 30
+
 
 def source_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Per file: path, name, size and sha256."""
+    """Per file of at most MOST_BYTES: path, name, size and sha256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    if large := files.where(F.col("length") > MOST_BYTES).select("path").first():
+        raise Refused("file_too_large", large[0])
     return files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 

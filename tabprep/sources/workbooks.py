@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
@@ -9,12 +10,15 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from ..storage import materialize
 from .csv import infer_types
 
 #: Names in the package, and of its XML.
@@ -65,6 +69,53 @@ def _cells(book: zipfile.ZipFile, member: str) -> Iterator[tuple[int, list[str |
         yield int(row.get("r", at)), cells
 
 
+def _package(sheets: list[tuple[str, list[list[str | None]]]]) -> bytes:
+    """A workbook of the named sheets, all cells as texts."""
+    types = '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    kept, names, rels = {}, "", ""
+    for i, (name, rows) in enumerate(sheets, 1):
+        lines = "".join(f"<row>{''.join('<c/>' if v is None else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in row)}</row>" for row in rows)
+        kept[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{lines}</sheetData></worksheet>'
+        names += f"<sheet name={quoteattr(name)} sheetId=\"{i}\" r:id=\"rId{i}\"/>"
+        rels += f'<Relationship Id="rId{i}" Type="{_REL_ID[1:].rpartition("}")[0]}/worksheet" Target="worksheets/sheet{i}.xml"/>'
+    kept[_TYPES] = f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/>{types}</Types>'
+    kept[_BOOK] = f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL_ID[1:].rpartition("}")[0]}"><sheets>{names}</sheets></workbook>'
+    kept[_RELS] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for member, content in kept.items():
+            book.writestr(member, content)
+    return out.getvalue()
+
+
+def write_workbooks(df: DataFrame, folder: str, sheet: str, rows_each: int = 1000) -> int:
+    """Writes df as workbooks of at most some rows_each rows, the names above them, to a folder that all executors see; tells how many.
+
+    A second sheet, about, says how many rows there are. Files are named by their content, so a task that runs again writes the same.
+    """
+    names = df.columns
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), rows_each):
+                rows = [[None if v is None else str(v) for v in r] for r in batch.iloc[i : i + rows_each].itertuples(index=False)]
+                yield pd.DataFrame({"content": [_package([(sheet, [names, *rows]), ("about", [["rows"], [str(len(rows))]])])]})
+
+    books = materialize(df.select(*(F.col(c).cast("string") for c in names)).mapInPandas(write, "content binary"))
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                name = hashlib.sha256(content).hexdigest()
+                system, path = fs.FileSystem.from_uri(f"{folder}/{name}.xlsx") if "://" in folder else (fs.LocalFileSystem(), f"{folder}/{name}.xlsx")
+                system.create_dir(posixpath.dirname(path), recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return books.mapInPandas(store, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
 

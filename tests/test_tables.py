@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +8,10 @@ from tabprep.errors import Refused
 from tabprep.functions import scalar
 from tabprep.functions.identity import content_fingerprint, with_identity
 from tabprep.operators import access, curves, prepare, profile, split
-from tabprep.plans.recipe import recipe_preview, run_recipe
+from tabprep.plans.recipe import preview_summary, recipe_preview, run_recipe
 from tabprep.sources import stored
 from tabprep.sources.csv import import_csv
+from tabprep.storage import materialize, new_folder
 
 INF = float("inf")
 
@@ -97,35 +99,59 @@ def test_identity_and_fingerprint(spark):
 
 
 def test_profile(spark):
-    df = spark.createDataFrame([(1.0, "c", "a", 0), (2.0, "c", "b", 1), (3.0, "c", "a", 0), (None, "c", "b", 1), (4.0, "c", "c", 0), (1000.0, "c", "a", 1)], "numeric double, constant string, category string, target int")
-    assert [r["column"] for r in profile.constant_columns(df).collect()] == ["constant"]
-    assert [tuple(r) for r in profile.columns_missing(df).collect()] == [("numeric", 1)]
-    assert profile.validate_target(df, "target").first()[0] == "target_valid"
-    assert profile.quality_findings(df, "target").where("finding = 'constant_columns'").count() == 1
-    low = spark.range(100).select((F.col("id") < 5).cast("int").alias("t"))
-    assert tuple(profile.imbalance(low, "t").first()) == (0.05, True, True)
-
-
-@pytest.mark.parametrize(("p", "n", "want"), [(2, 73, "severe"), (9, 100, "severe"), (10, 100, "limited"), (29, 100, "limited"), (30, 100, "none"), (100, 9, "severe")])
-def test_support(spark, p, n, want):
-    assert spark.range(1).select(scalar.sample_support(F.lit(p), F.lit(n))).first()[0] == want
+    """Plants: two readings lost, one far away, a column of one value, a code that tells rows apart."""
+    rows = [(i, None if i in (3, 8) else 9_000.0 if i == 11 else 20.0 + i % 7, "metre", f"p{i:03}", "north" if i % 12 else "south") for i in range(120)]
+    df = spark.createDataFrame(rows, "visit_id long, reading double, unit string, code string, site string")
+    assert [r["column"] for r in profile.constant_columns(df).collect()] == ["unit"]
+    assert [tuple(r) for r in profile.columns_missing(df).collect()] == [("reading", 2)]
+    assert [tuple(r) for r in profile.outliers_iqr(df).collect()] == [("reading", 1)]
+    assert {r["column"] for r in profile.possible_ids(df).collect()} == {"visit_id", "code"}
+    assert profile.validate_target(df, "site").first()[0] == "target_valid"
+    assert [round(x, 6) for x in profile.imbalance(df, "site").first()[:1]] == [round(10 / 120, 6)]
+    got = {r["finding"]: (r["severity"], r["columns"]) for r in profile.quality_findings(df, "site").collect()}
+    assert got == {"missing_values": ("warning", ["reading"]), "constant_columns": ("issue", ["unit"]), "high_cardinality": ("warning", ["code"]), "possible_ids": ("warning", ["code", "visit_id"]), "outliers": ("warning", ["reading"]), "severe_imbalance": ("issue", ["site"])}
+    assert [r["finding"] for r in profile.quality_findings(df.select("visit_id").withColumn("w", F.col("visit_id") % 5).drop("visit_id").distinct()).collect()] == ["no_findings"]
+
+
+def test_counting_missing_cells_multiplies_no_row(base):
+    for found in (profile.missing_cells(base), profile.schema_overview(base), profile.columns_missing(base), profile.fill_stats(base, ["num"])):
+        assert "Expand" not in found._jdf.queryExecution().toString()
+
+
+def test_support_follows_the_smaller_class(spark):
+    pairs = [(p, n) for p in (0, 1, 9, 10, 17, 29, 30, 400) for n in (5, 10, 30, 77)]
+    got = spark.createDataFrame(pairs, "p long, n long").select("p", "n", scalar.sample_diagnosis(F.col("p"), F.col("n")).alias("d")).collect()
+    for r in got:
+        low, d = min(r["p"], r["n"]), r["d"]
+        assert d["severity"] == ["severe", "limited", "none"][(low >= 10) + (low >= 30)] and d["limited_sample"] == (low < 30)
+        assert d["recall_resolution"] == (1 / r["p"] if r["p"] else None)
 
 
 def test_curves_equal_brute_force(spark):
-    truth, p = [1, 1, 1, 1, 0, 0, 0, 0], [0.95, 0.80, 0.70, 0.40, 0.90, 0.30, 0.20, 0.10]
-    df = spark.createDataFrame([("m", t, s) for t, s in zip(truth, p, strict=True)], "model string, truth int, score double")
-    pairs = [(a > b) + (a == b) / 2 for a, b in itertools.product([s for t, s in zip(truth, p, strict=True) if t], [s for t, s in zip(truth, p, strict=True) if not t])]
-    assert curves.roc_auc(df).first()["roc_auc"] == round(sum(pairs) / len(pairs), 6)
-    best = curves.optimize_threshold(df, 0.75).first()
-    assert best["feasible"] and best["threshold"] == 0.4
-    none = spark.createDataFrame([("m", 0, 0.5)], "model string, truth int, score double")
-    assert not curves.optimize_threshold(none, 0.9).first()["feasible"]
+    rng = random.Random(21)
+    rows = [(m, int(rng.random() < s), round(s, 1 + (m == "fine"))) for m in ("fine", "coarse") for s in (rng.random() for _ in range(90))]
+    df = spark.createDataFrame(rows, "model string, truth int, score double")
+    auc, best, some = ({r["model"]: r for r in t.collect()} for t in (curves.roc_auc(df), curves.optimize_threshold(df, 0.6), curves.candidate_thresholds(df, [0.5, -0.1, 1.2, 0.5])))
+    for m in ("fine", "coarse"):
+        own = [(t, s) for k, t, s in rows if k == m]
+        pos, neg = [s for t, s in own if t], [s for t, s in own if not t]
+        assert auc[m]["roc_auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a, b in itertools.product(pos, neg)) / len(pos) / len(neg), abs=1e-6)
+        at = {t: (sum(s >= t for s in pos), sum(s >= t for s in neg)) for t in {s for _, s in own}}
+        want = max((tp / (tp + fp), tp / len(pos), t) for t, (tp, fp) in at.items() if tp / len(pos) >= 0.6)
+        assert best[m]["feasible"] and best[m]["threshold"] == want[2] and best[m]["precision"] == pytest.approx(want[0], abs=1e-6)
+        assert [some[m][c] for c in ("threshold", "tp", "fp")] == [0.5, sum(s >= 0.5 for s in pos), sum(s >= 0.5 for s in neg)]
+    assert curves.candidate_thresholds(df, [0.5, -0.1, 1.2, 0.5]).count() == 2
+    with pytest.raises(Refused, match="no_candidate_thresholds"):
+        curves.candidate_thresholds(df, [2.0])
+    alone = spark.createDataFrame([("m", 0, 0.5)], "model string, truth int, score double")
+    assert not curves.optimize_threshold(alone, 0.9).first()["feasible"]
 
 
 def test_split_is_exact(spark):
     df = spark.range(500).select("id", (F.col("id") < 14).cast("int").alias("target"))
     got = split.stratified_split(df, "target", "id")
     assert got.count() == 500 and got.select("id").distinct().count() == 500
+    assert not [p for p in ("_h", "_b", "_start") if p in got.columns]
     counts = {(r["split"], r["target"]): r["count"] for r in got.groupBy("split", "target").count().collect()}
     assert counts["validation", 1] == counts["test", 1] == 2 and counts["validation", 0] == counts["test", 0] == 73
 
@@ -143,12 +169,71 @@ def test_csv(spark, tmp_path):
         import_csv(spark, f"file://{tmp_path}/c.csv")
 
 
+def test_split_follows_the_order_of_hashes(spark):
+    df = spark.range(3_000).select("id", (F.col("id") % 3).alias("target"))
+    hashed = df.withColumn("h", F.xxhash64("id", F.lit(42))).collect()
+    got = {r["id"]: r["split"] for r in split.stratified_split(df, "target", "id").collect()}
+    for c in range(3):
+        own = [r["id"] for r in sorted((r for r in hashed if r["target"] == c), key=lambda r: r["h"])]
+        assert [got[i] for i in own] == ["train"] * 700 + ["validation"] * 150 + ["test"] * 150
+
+
+def test_csv_files_need_the_same_header(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("left,right\n1,x\n")
+    (tmp_path / "2.csv").write_text("left,right\n2,y\n")
+    assert sorted(tuple(r) for r in import_csv(spark, f"file://{tmp_path}").collect()) == [(1, "x"), (2, "y")]
+    for other in ("right,left\ny,2\n", "left\n3\n", "left,Right\n3,z\n", "left,right,more\n3,z,w\n"):
+        (tmp_path / "2.csv").write_text(other)
+        for whole in (True, False):
+            with pytest.raises(Refused, match="csv_headers_differ|csv_too_many_fields"):
+                import_csv(spark, f"file://{tmp_path}", multi_line=whole)
+
+
 def test_combine(spark):
-    a, b = spark.createDataFrame([(1, 0)], "amount long, target long"), spark.createDataFrame([(1, 2)], "target long, amount long")
-    assert split.combine_sources([("a", a), ("b", b)]).columns == ["amount", "target", "__source_file"]
-    assert split.source_column_name(["__source_file"]) == "__source_file_1"
-    with pytest.raises(Refused):
-        split.combine_sources([("a", a), ("b", b.withColumnRenamed("amount", "other"))])
+    spring = spark.createDataFrame([("oak", 3.5), ("elm", None)], "tree string, height double")
+    autumn = spark.createDataFrame([(4, "ash")], "height int, tree string")
+    both = split.combine_sources([("spring.csv", spring), ("autumn.csv", autumn)])
+    assert both.columns == ["tree", "height", "__source_file"]
+    assert sorted((r["tree"], r["height"] or 0, r["__source_file"]) for r in both.collect()) == [("ash", 4.0, "autumn.csv"), ("elm", 0, "spring.csv"), ("oak", 3.5, "spring.csv")]
+    assert split.combine_sources([("spring.csv", both), ("again.csv", both)]).columns[-1] == "__source_file_1"
+    for bad in (autumn.drop("tree"), autumn.withColumn("girth", F.lit(1)), autumn.withColumn("height", F.lit("tall"))):
+        with pytest.raises(Refused, match="incompatible_sources"):
+            split.combine_sources([("spring.csv", spring), ("bad.csv", bad)])
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(Refused, match="shared_folder_required"):
+        new_folder(Session())
+
+
+def test_large_files_are_refused_before_they_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(b"x" * 100)
+    monkeypatch.setattr(stored, "MOST_BYTES", 99)
+    with pytest.raises(Refused, match="file_too_large"):
+        stored.source_digests(spark, f"file://{tmp_path}")
+
+
+def test_numbering_keeps_columns_of_its_own_names(spark):
+    df = spark.range(50).select("id", F.lit("a").alias("_part"), F.lit("b").alias("_at"), F.lit("c").alias("_first"))
+    got = with_identity(df, ["id"], "s").collect()
+    assert {(r["_part"], r["_at"], r["_first"]) for r in got} == {("a", "b", "c")} and all(r["_row_order"] == r["id"] for r in got)
+
+
+def test_a_preview_has_shapes_and_a_fingerprint_of_content_and_steps(base):
+    steps = [("filter_rows", {"column": "num", "operator": "gte", "value": 2.0}), ("drop_columns", {"columns": ["flag"]})]
+    one, two = preview_summary(base, run_recipe(base, steps)[0], steps).first(), preview_summary(base.repartition(3), run_recipe(base, steps)[0], steps).first()
+    assert one == two and one[:4] == (5, 4, 3, 3)
+    assert preview_summary(base, run_recipe(base, steps[:1])[0], steps[:1]).first()["fingerprint"] != one["fingerprint"]
 
 
 def test_files_of_equal_names_in_nested_folders(spark, tmp_path):
@@ -157,7 +242,7 @@ def test_files_of_equal_names_in_nested_folders(spark, tmp_path):
         (tmp_path / folder / "x y.csv").write_text("n\n" + "1\n" * rows)
     paths = [f"file://{tmp_path}/a", f"file://{tmp_path}/b"]
     assert sorted(r["rows"] for r in stored.source_metadata(spark, paths).collect()) == [1, 2, 3]
-    manifest = stored.source_digests(spark, paths).localCheckpoint()
+    manifest = materialize(stored.source_digests(spark, paths))
     assert manifest.count() == 3 and {r["status"] for r in stored.verify_files(spark, manifest, paths).collect()} == {"ok"}
     (tmp_path / "b/x y.csv").write_text("n\n7\n")
     (tmp_path / "b/c/x y.csv").unlink()

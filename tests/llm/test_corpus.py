@@ -371,3 +371,47 @@ def test_importance(spark, odd, none, labels):
     assert importance.importance_scores(odd, labels).count() == 8 and importance.resample(none, labels).count() == 0
     values = spark.range(20_000).select((F.hash("id") % 1000).cast("double").alias("v"))
     assert importance.kth_largest(values, "v", 777) == sorted((r[0] for r in values.collect()), reverse=True)[776]
+
+
+def test_importance_equals_plain_python(spark):
+    """Counts, scores, noise and choice by loops over words."""
+    import math
+    import re
+
+    vec, buckets, seed, U = importance.vec, 500, 3, 2**64
+    docs = [(i, " ".join(random.Random(i).choices(WORDS[: 40 + 9 * (i % 3)], k=30 + i)) + ("! Z." if i % 4 == 0 else ""), "s") for i in range(90)] + [(200, None, "s"), (201, " \n", "s")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+
+    def mixed(x):
+        for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * k % U
+        return x ^ (x >> 33)
+
+    def hashed(token):
+        return mixed(sum((b + 1) * pow(vec._B, i, U) for i, b in enumerate(token)) % U)
+
+    def places(text):
+        t = [hashed(x) for x in re.findall(rb"[a-z0-9\x80-\xff\x00-\x08\x0e-\x1f\x7f]+|[!-/:-@\[-`{-~]+", (text or "").lower().encode())]
+        return [x % buckets for x in t] + [mixed((a * 0xD6E8FEB86659FD93 + b) % U) % buckets for a, b in zip(t, t[1:])]
+
+    raw, target = [1] * buckets, [1] * buckets
+    for i, t, _ in docs:
+        for p in places(t):
+            raw[p] += 1
+            target[p] += i < 60 and i % 3 > 0
+    model = [math.log(a / sum(target)) - math.log(b / sum(raw)) for a, b in zip(target, raw)]
+    mean = {i: sum(model[p] for p in places(t)) / len(places(t)) if places(t) else -100.0 for i, t, _ in docs}
+    noise = {i: -math.log(-math.log(((mixed(hashed(str(i).encode()) ^ seed) >> 12) + 0.5) / 2**52)) for i in mean}
+    got = {r["doc_id"]: r for r in importance.importance_scores(frame(spark, docs).repartition(3), labels, buckets=buckets, seed=seed).collect()}
+    assert all(got[i]["mean_log_ratio"] == pytest.approx(mean[i], abs=1e-9) and got[i]["sampling_key"] == pytest.approx(mean[i] * importance.NOMINAL + noise[i], abs=1e-6) for i in mean)
+    bins = {i: math.floor(mean[i] / importance.STEP) for i in range(60)}
+    n_good, n_bad = sum(i % 3 > 0 for i in bins), sum(i % 3 == 0 for i in bins)
+
+    def told(b):
+        return importance.GOOD_COUNTS * sum(x >= b for i, x in bins.items() if i % 3) / n_good - sum(x >= b for i, x in bins.items() if i % 3 == 0) / n_bad
+
+    best = max(sorted(set(bins.values())), key=lambda b: (told(b), -b))
+    below = max((x for x in bins.values() if x < best), default=best - 1)
+    k = sum(m >= (best + below + 1) / 2 * importance.STEP for m in mean.values())
+    keys = sorted((r["sampling_key"] for r in got.values()), reverse=True)
+    assert 0 < k < len(docs) and {i for i, r in got.items() if r["kept"]} == {i for i, r in got.items() if r["sampling_key"] >= keys[k - 1]}

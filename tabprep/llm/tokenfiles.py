@@ -106,7 +106,7 @@ class Encoder:
     """Encodes texts with a tokenizer file, remembering what it gave for the runs that it has seen."""
 
     #: Forgets all beyond so many runs, or so many bytes of them.
-    MOST, MOST_BYTES = 500_000, 16 << 20
+    MOST, MOST_BYTES = 1_500_000, 24 << 20
     #: Texts or runs that the tokenizer gets at once: its answers take much more memory than ids.
     AT_ONCE = 2_000
 
@@ -123,8 +123,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Of each run its hash, and where its ids and bytes are kept."""
-        self.keys, self.at, self.n, self.ids = np.zeros(0, vec.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.type)
-        self.from_, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.keys, self.ids, self.bytes = np.zeros(0, vec.U), np.zeros(0, self.type), np.zeros(0, np.uint8)
+        self.at, self.n, self.from_, self.size = (np.zeros(0, np.int32) for _ in range(4))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
@@ -373,7 +373,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, *, id_col: str = "do
     dealt = plain.repartitionByRange(n, "_id", F.xxhash64("_text")).sortWithinPartitions("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("tokens")
         name = ("encoder", tokenizer_path, special_as_text)
         if name not in cache:
             cache[name] = Encoder(tokenizer_path, special_as_text)

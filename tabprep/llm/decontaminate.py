@@ -105,7 +105,7 @@ def _pass(docs: DataFrame, text_col: str, block: DataFrame, window: int, finish:
     key = ("windows", hashlib.sha256(json.dumps([window, items]).encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("windows")
         if cache.get("searchers", (None,))[0] != key:
             cache["searchers"] = (key, searchers(sent.value, window))
         found_by = cache["searchers"][1]

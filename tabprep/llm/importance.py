@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import small_batches, stash
+from .shared import small_batches, stash, worker_cache
 
 #: Log weights are those of a text of so many n-grams.
 NOMINAL = 500.0
@@ -63,6 +63,7 @@ def fit(documents: DataFrame, target_ids: list, id_col: str, text_col: str, buck
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         wanted = None
+        worker_cache("scores")
         for batch in batches:
             wanted = pa.array(sent.value, batch.column(0).type) if wanted is None else wanted
             good = pc.is_in(batch.column(0), wanted).to_numpy(zero_copy_only=False)
@@ -145,6 +146,7 @@ def _fitted(documents, labels, id_col, text_col, label_col, buckets, target_samp
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("scores")
         for batch in batches:
             mean = means(batch.column(1), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(mean * NOMINAL + gumbel(batch.column(0), seed))], ["id", "mean", "key"])
@@ -166,6 +168,7 @@ def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     model, _, least = _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("scores")
         for batch in batches:
             key = means(batch.column(text_col), model.value) * NOMINAL + gumbel(batch.column(id_col), seed)
             yield batch.filter(pa.array(key >= least))

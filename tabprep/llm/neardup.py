@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import free_name, small_batches, stash
+from .shared import free_name, small_batches, stash, worker_cache
 
 #: Minhashes in one collection.
 _PER = 2
@@ -72,6 +72,7 @@ def sketch(documents: DataFrame, id_col: str, text_col: str, width: int, collect
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("sets")
         for batch in batches:
             n, keys, us = [], [], []
             for s in shingle_sets(batch.column(1), width):
@@ -111,6 +112,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
     nodes = pairs.select("a").union(pairs.select("b")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("sets")
         for batch in batches:
             sets = list(shingle_sets(batch.column(0), width))
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -136,6 +138,7 @@ def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
     """(k, own): how many shingles of a set no other set of the texts has; sets without any are missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("sets")
         for batch in batches:
             for s in shingle_sets(batch.column(0), width):
                 key = blake2b(s.tobytes(), digest_size=16).digest()
@@ -151,6 +154,7 @@ def _bits(texts: DataFrame, width: int, seed: int) -> DataFrame:
     factor, offset = draws[0] * vec.U(2) + vec.U(1), draws[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("sets")
         for batch in batches:
             keys, words = [], []
             for s in shingle_sets(batch.column(0), width):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import tempfile
@@ -33,9 +34,15 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker."""
-    return vars(sys.modules.setdefault("_tabprep_llm_worker", types.ModuleType("_tabprep_llm_worker"))).setdefault("cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, or until another owner asks for one: workers outlive jobs, and so would large tables."""
+    module = sys.modules.setdefault("_tabprep_llm_worker", types.ModuleType("_tabprep_llm_worker"))
+    held = vars(module).setdefault("cache", {})
+    if vars(module).get("owner") != owner:
+        held.clear()
+        gc.collect()
+        vars(module)["owner"] = owner
+    return held
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import free_name, small_batches, stash, worker_cache
+from .shared import free_name, hot_keys, small_batches, spread_join, stash, worker_cache
 
 #: Minhashes in one collection.
 _PER = 2
@@ -121,9 +121,12 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["k", "shingles"])
 
     sets = _texts_of(nodes, classes, documents, id_col, text_col).mapInArrow(run, "k binary, shingles array<bigint>").dropDuplicates(["k"])
-    one, two = sets.select(F.col("k").alias("ka"), F.col("shingles").alias("sa")), sets.select(F.col("k").alias("kb"), F.col("shingles").alias("sb"))
+    one, two = sets.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    full = pairs.join(one, pairs.a == one.ka).join(two, pairs.b == two.kb)
+    # the centre of a large group is in a pair with each of its classes
+    total = pairs.count()
+    hot_a, hot_b = (hot_keys(pairs.groupBy(c).count(), c, "count", total) for c in ("a", "b"))
+    full = spread_join(spread_join(pairs, one, "a", hot_a, "b"), two, "b", hot_b, "a")
     return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
@@ -173,7 +176,7 @@ def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: doc, text_key, n_shingles, component (its smallest id), label (equal in a component; null without shingles)."""
     small_batches(documents.sparkSession)
     docs = stash(sketch(documents, id_col, text_col, width, collections, seed))
-    classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u")))
+    classes = stash(docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.first("u").alias("u"), F.count(F.lit(1)).alias("copies")))
     check = (classes, documents, id_col, text_col, width)
 
     each = classes.select("set_key", "n", F.posexplode("u").alias("i", "v"))
@@ -182,8 +185,9 @@ def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = live.select("set_key", "n", "spread", "c", F.posexplode("c").alias("p", "x"))
     second = first.select("set_key", "n", "spread", "x", F.explode(F.slice("c", F.col("p") + 2, F.greatest(F.size("c") - F.col("p") - 1, F.lit(0)))).alias("y"))
     keyed = second.select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), "set_key", "n", "spread")
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("spread", "set_key")).alias("top")).where("size > 1")
-    buckets = stash(keyed.join(full.select("key", F.col("top.set_key").alias("head")), "key").select("key", "i", "j", "set_key", "n", "head"))
+    full = stash(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("spread", "set_key")).alias("top")).where("size > 1"))
+    hot = hot_keys(full, "key", "size", full.agg(F.sum("size")).first()[0] or 0)
+    buckets = stash(spread_join(keyed, full.select("key", F.col("top.set_key").alias("head")), "key", hot, "set_key").select("key", "i", "j", "set_key", "n", "head"))
 
     star = stash(buckets.where("set_key <> head").select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct())
     links = stash(verified(star, *check, percent))
@@ -191,7 +195,7 @@ def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = stash(buckets.join(labels, buckets.set_key == labels.node, "left").select("key", "i", "j", "set_key", "n", "head", F.coalesce("label", "set_key").alias("label")))
     apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.min(F.when(F.col("set_key") == F.col("head"), F.col("label"))).alias("of")).where("lo <> hi")
-    minor = stash(named.join(apart.select("key", "least", "of"), "key").where("label <> of").select("key", "i", "j", "set_key", "label", "least", "of"))
+    minor = stash(spread_join(named, apart.select("key", "least", "of"), "key", hot, "set_key").where("label <> of").select("key", "i", "j", "set_key", "label", "least", "of"))
     if not minor.isEmpty():
         of = minor.select("of").distinct()
         near = stash(minor.select(F.col("set_key").alias("a")).union(of).union(labels.join(of, labels.label == of["of"], "left_semi").select("node")).distinct())
@@ -212,7 +216,7 @@ def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         alike = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda k: F.get("u", k) == F.get("u_x", k))
         # of the tables where a pair meets, the first one gives it
         once = (F.get(alike, F.lit(0)) == F.col("i")) & (F.get(alike, F.lit(1)) == F.col("j"))
-        cross = x.join(y, "key").where((F.col("label") != F.col("label_x")) & fits & once)
+        cross = spread_join(y, x, "key", hot, "set_key").where((F.col("label") != F.col("label_x")) & fits & once)
         cross = cross.select(F.least("set_key_x", "set_key").alias("a"), F.greatest("set_key_x", "set_key").alias("b")).distinct()
         more = stash(verified(stash(cross.join(star, ["a", "b"], "left_anti")), *check, percent))
         if not more.isEmpty():
@@ -222,7 +226,8 @@ def _components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lowest = lead.groupBy("label").agg(F.min("rep").alias("component"))
     of_node = lead.join(lowest, "label").select(F.col("node").alias("set_key"), "component", "label")
     of_class = classes.select("set_key", "rep").join(of_node, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "set_key").alias("label"))
-    out = docs.select("doc", "text_key", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    hot_sets = hot_keys(classes, "set_key", "copies", classes.agg(F.sum("copies")).first()[0] or 0)
+    out = spread_join(docs.select("doc", "text_key", "n_shingles", "set_key"), of_class, "set_key", hot_sets, "doc", "left")
     return out.select("doc", "text_key", "n_shingles", F.coalesce("component", "doc").alias("component"), "label")
 
 

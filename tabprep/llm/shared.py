@@ -10,6 +10,7 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,29 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, total: int, least: int = 1000, most: int = 10_000) -> DataFrame | None:
+    """(_hot, _copies): the keys with more than ``least`` rows and more than 1 / ``most`` of all; None if there are none.
+
+    counts: key and its number of rows n; total: the sum of n. As the numbers add up to it, there are about ``most`` such keys at the
+    most, however large the table: few enough to broadcast.
+    """
+    limit = max(least, total // most)
+    hot = stash(counts.where(F.col(n) > limit).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / limit).alias("_copies")))
+    return None if hot.isEmpty() else hot
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """many joined with one on a column that both have. The rows of a hot key in many are dealt by hashes of ``by`` over _copies tasks,
+    each of which gets the key's rows of one; so are those of null keys, which match nothing."""
+    if hot is None:
+        return many.join(one, key, how)
+    copies = F.coalesce("_copies", F.lit(1).cast("long"))
+    part = F.pmod(F.xxhash64(by), F.when(F.col(key).isNull(), F.lit(1000).cast("long")).otherwise(copies))
+    left = many.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", part).drop("_hot", "_copies")
+    right = one.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_hot", "_copies")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def worker_cache(owner: str) -> dict:
     """A dict that lives as long as the Python worker, or until another owner asks for one: workers outlive jobs, and so would large tables."""
     module = sys.modules.setdefault("_tabprep_llm_worker", types.ModuleType("_tabprep_llm_worker"))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tabprep.llm import chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, tokenfiles, warc
-from tabprep.llm.shared import shared_dir
+from tabprep.llm.shared import hot_keys, shared_dir, spread_join
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, source string, count long, label string, key string"
@@ -113,6 +113,39 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_hot_groups_are_dealt_over_tasks_and_lose_nothing(spark, monkeypatch):
+    """Exact copies, near copies of one text and empty texts, each many times the number of rows from which keys are hot here."""
+    used = []
+
+    def early(*a):
+        found = hot_keys(*a, least=3)
+        used.append((a[1], found is not None))
+        return found
+
+    monkeypatch.setattr(neardup, "hot_keys", early)
+    rng, rows = random.Random(8), []
+    one, two, three = texts(4, 3, 80)
+    for i in range(25):
+        w = two.split()
+        w[rng.randrange(80)] = f"n{i}"
+        rows += [one, " ".join(w), "", None]
+    rows = list(enumerate([*rows, three, three + " end", one + " end"]))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, [(*r, "s") for r in rows])).collect()}
+    assert got == brute_components(rows) and {("key", True), ("set_key", True)} <= set(used) and {("a", True), ("b", True)} & set(used)
+
+
+def test_spread_join_equals_join(spark):
+    many = spark.range(500).select(F.when(F.col("id") % 10 > 0, F.least(F.col("id") % 50, F.lit(20))).alias("k"), "id")
+    one = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    counts = many.groupBy("k").count()
+    hot = hot_keys(counts, "k", "count", 500, least=8)
+    assert hot.count() > 0 and hot_keys(counts, "k", "count", 500) is None
+    assert hot_keys(counts, "k", "count", 500, least=1, most=3).where("_copies > 1").count() == 1
+    for how in ("inner", "left"):
+        for h in (hot, None):
+            assert sorted(map(str, spread_join(many, one, "k", h, "id", how).collect())) == sorted(map(str, many.join(one, "k", how).collect()))
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"]) for r in got if r["doc_id"] != 4) == [(0, 0, 0), (0, 2, 1), (1, 1, 0), (2, 2, 1), (2, 2, 1), (3, 2, 1), (5, 5, 0)]

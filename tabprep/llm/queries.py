@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, tokenfiles, warc
+from . import centroids, chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, tokenfiles, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeat_groups": repeats.op8_repeat_groups,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ SQL: dict[str, str] = {
     "op7_warc": warc.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op13_centroids": centroids.OP13_SQL,
 }

@@ -106,3 +106,23 @@ def runs(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.nda
 def rows_of(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """For each start its row's number."""
     return np.searchsorted(bounds, starts, "right") - 1
+
+
+def stretches(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, starts, ends) of the runs of one kind other than 0, in parts of about size bytes that end at a row's bound or a byte of kind 0:
+    long texts are taken in parts, too. Starts and ends count from the first byte."""
+    at, n = 0, len(data)
+    while at < n:
+        to = at + size
+        while to < n:
+            gaps = np.flatnonzero(kind[data[to : to + size]] == 0)
+            bound = bounds[np.searchsorted(bounds, to)]
+            gap = to + int(gaps[0]) if len(gaps) else to + size
+            to = int(min(gap, bound, n))
+            if len(gaps) or to == bound:
+                break
+        to = min(to, n)
+        inner = bounds[(bounds >= at) & (bounds <= to)] - at
+        start, end = runs(data[at:to], np.unique(np.concatenate([[0], inner, [to - at]])), kind)
+        yield at, start, end
+        at = to

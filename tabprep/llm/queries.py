@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, search, tokenfiles, warc
+from . import centroids, chat, decontaminate, importance, lm, mixing, neardup, pii, repeats, rules, search, tokenfiles, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeat_groups": repeats.op8_repeat_groups,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_lm_scores": lm.op11_lm_scores,
     "op12_search": search.op12_search,
     "op13_centroids": centroids.op13_centroids,
 }

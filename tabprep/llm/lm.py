@@ -199,9 +199,14 @@ class Trainer:
         self.used_before, self.used_after = np.zeros(s.classes + 1, np.int64), np.zeros(s.classes, np.int64)
         self.seen = [np.full(x.shape, 1e-2, np.float32) for x in (model.before, model.after, model.places, model.bias)]
 
-    def _summed(self, rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
-        size = grads.shape[1]
-        return np.bincount((rows[:, None] * size + np.arange(size)).ravel(), weights=grads.ravel(), minlength=n * size).reshape(n, size).astype(np.float32)
+    def _step(self, which: int, x: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+        """Moves the rows of x by the sums of their gradients."""
+        order = np.argsort(rows, kind="stable")
+        rows, starts = np.unique(rows[order], return_index=True)
+        g = np.add.reduceat(grads[order], starts)
+        seen = self.seen[which][rows] + g * g
+        self.seen[which][rows] = seen
+        x[rows] += self.s.rate * g / np.sqrt(seen)
 
     def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         m, s = self.m, self.s
@@ -214,18 +219,14 @@ class Trainer:
         qn = m.after[drawn]
         down = -1 / (1 + np.exp(-(h @ qn.T + m.bias[drawn] - self.log_noise[drawn])))
         gh = up[:, None] * q + down @ qn
-        n = s.classes
-        g_after = self._summed(w, up[:, None] * h, n)
-        g_bias = np.bincount(w, weights=up, minlength=n).astype(np.float32)
-        np.add.at(g_after, drawn, down.T @ h)
-        np.add.at(g_bias, drawn, down.sum(axis=0))
-        g_before = self._summed(np.concatenate([a, b]), np.concatenate([gh * m.places[0], gh * m.places[1]]), n + 1)
-        g_places = np.stack([(gh * ra).sum(axis=0), (gh * rb).sum(axis=0)])
-        for x, g, seen in zip((m.before, m.after, m.places, m.bias), (g_before, g_after, g_places, g_bias), self.seen, strict=True):
-            seen += g * g
-            x += s.rate * g / np.sqrt(seen)
-        self.used_before += np.bincount(a, minlength=n + 1) + np.bincount(b, minlength=n + 1)
-        self.used_after += np.bincount(w, minlength=n)
+        g_places = np.stack([np.einsum("ij,ij->j", gh, ra), np.einsum("ij,ij->j", gh, rb)])
+        self._step(0, m.before, np.concatenate([a, b]), np.concatenate([gh * m.places[0], gh * m.places[1]]))
+        both = np.concatenate([w, drawn])
+        self._step(1, m.after, both, np.concatenate([up[:, None] * h, down.T @ h]))
+        self._step(3, m.bias, both, np.concatenate([up, down.sum(axis=0)]))
+        self._step(2, m.places, np.arange(2), g_places)
+        self.used_before += np.bincount(a, minlength=s.classes + 1) + np.bincount(b, minlength=s.classes + 1)
+        self.used_after += np.bincount(w, minlength=s.classes)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each vector was used, and the vectors."""

@@ -19,8 +19,8 @@ over pairs of them, and at most ``known`` counts of frequent words. The rarer wo
 64-bit hashes; of V words two get the same hash with a probability of about V * V / 2 ** 65.
 
 Defined results: a null or empty text has its end only; a null id counts as the id '' for the choice of texts to learn from; rows of equal ids and texts are
-scored each, and learned from each; an empty table gives an empty result; without any text to learn from every score is that of the smoothed
-shares alone, log10(1) for words and ends. Columns other than id and text aren't read.
+scored each, and learned from each; an empty table gives an empty result; without any text to learn from all classes
+are alike and base_score is 0. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations

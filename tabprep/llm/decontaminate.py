@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,15 +86,26 @@ def searchers(items: list[tuple[str, str]], window: int) -> list[WuManber]:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> list[DataFrame]:
-    """The benchmark as (name, text of words) in parts of at most about block_windows windows, no row having more than PIECE words."""
+    """The benchmark as (name, text of words), each once, in parts of about block_windows windows, no row having more than PIECE words."""
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     plain = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.regexp_extract_all(lower, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0)).alias("w"))
     step = max(1, PIECE - window + 1)
     pieces = F.greatest(F.ceil((F.size("w") - window + 1) / step), F.lit(1)).cast("int")
     cut = plain.where(F.size("w") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), pieces - 1))).select("name", F.slice("w", F.col("k") * step + 1, F.lit(step + window - 1)).alias("w"))
-    cut = stash(cut.select("name", F.array_join("w", " ").alias("text"), F.size("w").alias("n")))
-    n = max(1, math.ceil((cut.agg(F.sum("n")).first()[0] or 0) / block_windows))
-    return [cut if n == 1 else cut.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) for i in range(n)]
+    cut = stash(cut.select("name", F.array_join("w", " ").alias("text"), F.size("w").alias("n")).distinct())
+    if (cut.agg(F.sum("n")).first()[0] or 0) <= block_windows:
+        return [cut]
+    # running totals over ranges of the pieces' hashes, so that no block gets much more than the others
+    order = F.xxhash64("name", "text")
+    ranged = stash(cut.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    at, firsts = 0, []
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect()):
+        firsts.append((part, at))
+        at += n
+    first = F.broadcast(items.sparkSession.createDataFrame(firsts, "part int, first long"))
+    upto = F.col("first") + F.sum("n").over(Window.partitionBy("part").orderBy(order, "name", "text")) - F.col("n")
+    dealt = stash(ranged.join(first, "part").select("name", "text", F.floor(upto / block_windows).alias("block")))
+    return [dealt.where(F.col("block") == r["block"]).select("name", "text") for r in dealt.select("block").distinct().collect()]
 
 
 def _pass(docs: DataFrame, text_col: str, block: DataFrame, window: int, finish: Callable, schema: T.StructType | str) -> DataFrame:

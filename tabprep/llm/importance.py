@@ -2,9 +2,13 @@
 
 Two generative models over hashed n-grams (single tokens and pairs, hashed to ``buckets`` places) are counted: one from the target,
 that is a bounded sample of documents labelled good, one from all raw text. A document's log weight is the mean log ratio of
-target to raw over its n-grams, times a nominal length, so that long texts don't crowd out short ones. Adding Gumbel noise that is
+target to raw over its n-grams (long texts don't crowd out short ones), times a sharpness. Adding Gumbel noise that is
 drawn from a hash of seed and id and taking the k largest sums samples k documents without replacement by their weights.
 
+The sharpness is fitted, so that the draw counts and yet goes by quality: the largest at which about a share ``chance`` of the k sampled documents are ones that
+a plain cut by the mean would leave out (worked out from a histogram of the means). Where no document with n-grams is below the limit, nothing can be drawn instead, and
+the largest sharpness is used.
+
 k is the number of documents whose mean log ratio reaches a limit, and the limit is where labelled documents are told apart best
 (largest difference of the shares of good and bad documents above it, good ones counting more). The k-th largest sum is found exactly, by counting in
 ever finer bins; no list of all documents is gathered.
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from . import vec
 from .shared import small_batches, stash, worker_cache
 
-#: Log weights are those of a text of so many n-grams.
-NOMINAL = 500.0
+#: Bounds of the sharpness, by which mean log ratios are multiplied.
+LEAST_SHARP, MOST_SHARP = 1.0, 100_000.0
 #: Mean log ratios are told apart in steps of this size when the limit is chosen.
 STEP = 0.005
 #: Rejecting a good document counts as much as keeping so many bad ones, as shares of their kinds.
@@ -138,8 +142,31 @@ def _limit(scores: DataFrame, labels: DataFrame, id_col: str, label_col: str) ->
     return (-best[1] - best[2] + 1) / 2 * STEP
 
 
-def _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, seed):
-    """model, scores (id, mean, key), and the least key that stays."""
+def _swapped(sharp: float, mean: np.ndarray, n: np.ndarray, k: int, limit: float) -> float:
+    """The share of k sampled documents that are expected to be below the limit, given n documents at each mean."""
+    low, high = sharp * mean.min() - 50, sharp * mean.max() + 50
+    for _ in range(200):  # the least key that stays
+        least = (low + high) / 2
+        stay = n * -np.expm1(-np.exp(np.minimum(sharp * mean - least, 700)))
+        low, high = (least, high) if stay.sum() > k else (low, least)
+    return float(stay[mean < limit].sum() / k)
+
+
+def _sharpness(scores: DataFrame, k: int, limit: float, chance: float) -> float:
+    """The largest sharpness at which the draw swaps at least the share ``chance``."""
+    rows = scores.where("mean > -100").groupBy(F.floor(F.col("mean") / STEP).alias("bin"), (F.col("mean") >= limit).alias("above")).agg(F.avg("mean").alias("mean"), F.count("*").alias("n")).collect()
+    mean, n = np.array([r["mean"] for r in rows]), np.array([r["n"] for r in rows], np.float64)
+    if all(r["above"] for r in rows):
+        return MOST_SHARP
+    low, high = np.log(LEAST_SHARP), np.log(MOST_SHARP)
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _swapped(float(np.exp(middle)), mean, n, k, limit) >= chance else (low, middle)
+    return float(np.exp(low))
+
+
+def _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, chance, seed):
+    """model, scores (id, mean, key), the sharpness, and the least key that stays."""
     ids = labels.where(F.col(label_col) == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
     target = [r[0] for r in ids.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(target_sample).collect()]
     model = fit(documents, target, id_col, text_col, buckets)
@@ -149,28 +176,31 @@ def _fitted(documents, labels, id_col, text_col, label_col, buckets, target_samp
         worker_cache("scores")
         for batch in batches:
             mean = means(batch.column(1), sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(mean * NOMINAL + gumbel(batch.column(0), seed))], ["id", "mean", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(gumbel(batch.column(0), seed))], ["id", "mean", "noise"])
 
     id_type = documents.schema[id_col].dataType.simpleString()
-    scores = stash(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {id_type}, mean double, key double"))
-    k = scores.where(F.col("mean") >= _limit(scores, labels, id_col, label_col)).count()
-    return sent, scores, kth_largest(scores, "key", k) if k else float("inf")
+    scores = stash(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {id_type}, mean double, noise double"))
+    limit = _limit(scores, labels, id_col, label_col)
+    k = scores.where(F.col("mean") >= limit).count()
+    sharp = _sharpness(scores, k, limit, chance) if k else MOST_SHARP
+    keyed = scores.select("id", "mean", (F.col("mean") * F.lit(sharp) + F.col("noise")).alias("key"))
+    return sent, keyed, sharp, kth_largest(keyed, "key", k) if k else float("inf")
 
 
-def importance_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, target_sample: int = 20_000, seed: int = 1) -> DataFrame:
+def importance_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, target_sample: int = 20_000, chance: float = 0.005, seed: int = 1) -> DataFrame:
     """Per document: id, mean_log_ratio, sampling_key, kept."""
-    _, scores, least = _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, seed)
+    _, scores, _, least = _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, chance, seed)
     return scores.select(F.col("id").alias(id_col), F.col("mean").alias("mean_log_ratio"), F.col("key").alias("sampling_key"), (F.col("key") >= least).alias("kept"))
 
 
-def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, target_sample: int = 20_000, seed: int = 1) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, target_sample: int = 20_000, chance: float = 0.005, seed: int = 1) -> DataFrame:
     """The documents that are kept, with all their columns. Scores are worked out again, which is cheaper than shuffling texts."""
-    model, _, least = _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, seed)
+    model, _, sharp, least = _fitted(documents, labels, id_col, text_col, label_col, buckets, target_sample, chance, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("scores")
         for batch in batches:
-            key = means(batch.column(text_col), model.value) * NOMINAL + gumbel(batch.column(id_col), seed)
+            key = means(batch.column(text_col), model.value) * sharp + gumbel(batch.column(id_col), seed)
             yield batch.filter(pa.array(key >= least))
 
     return documents.mapInArrow(run, documents.schema)

@@ -18,6 +18,6 @@ def total(values: Column, of: Callable[[Column], Column]) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Equal for rows of equal id and text only."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)))
+    """Equal for rows of equal id and text only: the id's length comes first (-1 for null), so that ids and texts may hold any characters."""
+    own_id, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.length(own_id), F.lit(-1)).cast("string"), F.coalesce(own_id, F.lit("")), text)))

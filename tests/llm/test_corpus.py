@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tabprep.llm import chat, decontaminate, importance, mixing, neardup, pii, repeats, rules, tokenfiles, warc
+from tabprep.llm.native import row_key
 from tabprep.llm.shared import hot_keys, shared_dir, spread_join
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -436,7 +437,9 @@ def test_importance_equals_plain_python(spark):
     mean = {i: sum(model[p] for p in places(t)) / len(places(t)) if places(t) else -100.0 for i, t, _ in docs}
     noise = {i: -math.log(-math.log(((mixed(hashed(str(i).encode()) ^ seed) >> 12) + 0.5) / 2**52)) for i in mean}
     got = {r["doc_id"]: r for r in importance.importance_scores(frame(spark, docs).repartition(3), labels, buckets=buckets, seed=seed).collect()}
-    assert all(got[i]["mean_log_ratio"] == pytest.approx(mean[i], abs=1e-9) and got[i]["sampling_key"] == pytest.approx(mean[i] * importance.NOMINAL + noise[i], abs=1e-6) for i in mean)
+    assert all(got[i]["mean_log_ratio"] == pytest.approx(mean[i], abs=1e-9) for i in mean)
+    sharp = (got[1]["sampling_key"] - noise[1]) / mean[1]  # fitted: equal for all, and the draw swaps about the share asked for
+    assert all(got[i]["sampling_key"] == pytest.approx(mean[i] * sharp + noise[i], rel=1e-6, abs=1e-6) for i in mean)
     bins = {i: math.floor(mean[i] / importance.STEP) for i in range(60)}
     n_good, n_bad = sum(i % 3 > 0 for i in bins), sum(i % 3 == 0 for i in bins)
 
@@ -448,3 +451,57 @@ def test_importance_equals_plain_python(spark):
     k = sum(m >= (best + below + 1) / 2 * importance.STEP for m in mean.values())
     keys = sorted((r["sampling_key"] for r in got.values()), reverse=True)
     assert 0 < k < len(docs) and {i for i, r in got.items() if r["kept"]} == {i for i, r in got.items() if r["sampling_key"] >= keys[k - 1]}
+
+
+def test_importance_draws_by_weight():
+    """Over many seeds, a document is the first of the draw as often as its weight says."""
+    import pyarrow as pa
+
+    log_weight = np.log(np.array([1.0, 2.0, 5.0, 12.0]))
+    first = [int(np.argmax(log_weight + importance.gumbel(pa.array([7, 8, 9, 10]), seed))) for seed in range(4_000)]
+    assert np.abs(np.bincount(first, minlength=4) / 4_000 - np.array([1, 2, 5, 12]) / 20).max() < 0.03
+
+
+def test_importance_swaps_the_share_asked_for(spark):
+    """Seeds give different samples; over 40 of them, documents below the cut get about the share of places that was asked for."""
+    rng = np.random.default_rng(3)
+    mean = np.concatenate([rng.normal(0.03, 0.02, 900), rng.normal(-0.06, 0.03, 300), [-100.0]])
+    scores = spark.createDataFrame([(i, float(m)) for i, m in enumerate(mean)], "id long, mean double")
+    k = int((mean >= 0).sum())
+    import pyarrow as pa
+
+    for chance in (0.02, 0.1):
+        sharp = importance._sharpness(scores, k, 0.0, chance)
+        kept = [set(np.argsort(-(mean * sharp + importance.gumbel(pa.array(np.arange(len(mean))), seed)))[:k].tolist()) for seed in range(40)]
+        swapped = np.mean([np.mean([mean[i] < 0 for i in s]) for s in kept])
+        assert chance * 0.8 < swapped < chance * 1.3 and len({frozenset(s) for s in kept}) == 40
+        often = np.bincount([i for s in kept for i in s], minlength=len(mean)) / 40
+        assert often[mean > 0.03].mean() > 0.95 > often[(mean < 0) & (mean > -100)].mean() and often[-1] == 0
+    assert importance._sharpness(scores.where("mean >= 0"), k, 0.0, 0.1) == importance.MOST_SHARP
+
+
+def test_row_keys_tell_ids_and_texts_apart(spark):
+    """Ids that hold colons: the parts of an id and a text can't be taken for another id and text."""
+    long = " ".join(texts(31, 1, 200))
+    rows = [("a", "b:" + long), ("a:b", long), (None, long), ("null", long), ("-1", "" + long), ("", "-1:" + long)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert docs.select(row_key("doc_id", "text").alias("k")).distinct().count() == len(rows)
+    removed = [(r["doc_id"], r["n_removed"], r["n_bytes"]) for r in repeats.remove_repeats(docs).collect()]
+    want = {i: sum(b - a for a, b in x) for (i, _), x in zip(rows, repeats.brute_force([t.encode() for _, t in rows], 400), strict=True)}
+    assert sorted(removed, key=str) == sorted(((i, want[i], len(t.encode())) for i, t in rows), key=str)
+    words = long.split()
+    items = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 12])) for i in range(12)], "item_id long, text string")
+    whole = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in decontaminate.contamination(docs, items).collect()}
+    parts = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in decontaminate.contamination(docs, items, block_windows=30).collect()}
+    assert whole == parts and len(whole) == len(rows)
+
+
+def test_equal_items_make_one_block(spark):
+    item = " ".join(texts(32, 1, 14))
+    items = spark.createDataFrame([(1, item)] * 3_000 + [(2, "solo")], "item_id long, text string")
+    assert len(decontaminate._blocks(items, "item_id", "text", 10, 1_000)) == 1
+    many = spark.createDataFrame([(i, t) for i, t in enumerate(texts(33, 300, 20))], "item_id long, text string")
+    blocks = decontaminate._blocks(many, "item_id", "text", 10, 500)
+    assert 12 <= len(blocks) <= 13 and sum(b.count() for b in blocks) == 300 and max(b.count() for b in blocks) <= 26
+    docs = frame(spark, [(1, "x " + item + " y solo", "s"), (2, "clean", "s")])
+    assert [(r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, items, block_windows=10).orderBy("doc_id").collect()] == [(1, 15, ["1", "2"]), (2, 0, [])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
@@ -397,6 +397,45 @@ add("recipe_learned", _on(lambda df: run_recipe(df, RECIPE)[1].select("step", F.
 add("recipe_steps", _on(lambda df: run_recipe(df, RECIPE)[1].select("step", "operation", "affected_rows", "affected_cells", "rows_after")), f"WITH b AS (SELECT * FROM {BASE}), f AS (SELECT * FROM b WHERE grp >= 10), p AS (SELECT * FROM f WHERE price IS NOT NULL AND NOT isinf(price)), u AS (SELECT DISTINCT grp, status FROM p), n AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM f WHERE amount IS NULL) AS na, (SELECT count(*) FROM f WHERE isinf(price)) AS ni, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM u) AS nu) SELECT 0 AS step, 'filter_rows' AS operation, nb - nf AS affected_rows, CAST(0 AS BIGINT) AS affected_cells, nf AS rows_after FROM n UNION ALL SELECT 1, 'fill_missing', na, na, nf FROM n UNION ALL SELECT 2, 'replace_non_finite', ni, ni, nf FROM n UNION ALL SELECT 3, 'drop_missing_rows', nf - np, 0, np FROM n UNION ALL SELECT 4, 'remove_duplicates', np - nu, 0, nu FROM n")
 
 
+def _applied(spark: SparkSession, d: str) -> DataFrame:
+    """A recipe's preview over a new log of the orders, applied twice; the version that both gave, read back."""
+    log = new_folder(spark)
+    versions.start_log(spark, log)
+    versions.publish(base(spark, d), log, "orders", "v1", sources=["orders.parquet"])
+    name = versions.preview(spark, log, "orders", RECIPE)[0]
+    first, again = versions.apply_preview(spark, log, name), versions.apply_preview(spark, log, name)
+    head, revision = versions.head_of(spark, log, "orders")
+    return versions.read_version(spark, log, again).withColumn("amount", F.round("amount", 4)).withColumn("same", F.lit(first == again == head)).withColumn("revision", F.lit(revision))
+
+
+add("apply_preview", _applied, f"SELECT *, true AS same, 2 AS revision FROM ({SQL['recipe_preview']})")
+
+
+def _texts_by_nation(spark: SparkSession, d: str, name: str = "c_name") -> str:
+    """A text file for each nation: its customers' names in order, one a line."""
+    path = new_folder(spark)
+    table(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").selectExpr("c_nationkey", f"{name} AS value").write.partitionBy("c_nationkey").text(path)
+    return path
+
+
+def _nation() -> Column:
+    return F.regexp_extract("path", "c_nationkey=([0-9]+)/part-", 1).cast("int").alias("nation")
+
+
+def _texts_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Files against the digests of others, in which the names of every third nation's customers are in small letters."""
+    path = _texts_by_nation(spark, d)
+    named = stored.source_digests(spark, path).select("path", "name", _nation())
+    other = stored.source_digests(spark, _texts_by_nation(spark, d, "if(c_nationkey % 3 = 2, lower(c_name), c_name)")).select(_nation(), "size", "sha256")
+    return stored.verify_files(spark, named.join(other, "nation").drop("nation"), path).select(_nation(), "status")
+
+
+_TEXTS = "(SELECT c_nationkey AS nation, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY c_nationkey)"
+add("text_digests", lambda s, d: stored.source_digests(s, _texts_by_nation(s, d)).select(_nation(), "size", "sha256").where("nation IS NOT NULL"), f"SELECT nation, CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS sha256 FROM {_TEXTS}")
+add("text_totals", lambda s, d: stored.source_totals(s, _texts_by_nation(s, d)), f"SELECT CAST(sum(octet_length(encode(t))) AS BIGINT) AS bytes, sum(octet_length(encode(t))) >= 1073741824 AS large FROM {_TEXTS}")
+add("text_verified", _texts_verified, f"SELECT nation, CASE WHEN nation % 3 = 2 AND lower(t) <> t THEN 'changed' ELSE 'ok' END AS status FROM {_TEXTS}")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """A recipe over line items in a dense order: what each of its steps did."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -216,13 +216,6 @@ def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
         new_folder(Session())
 
 
-def test_large_files_are_refused_before_they_are_read(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.bin").write_bytes(b"x" * 100)
-    monkeypatch.setattr(stored, "MOST_BYTES", 99)
-    with pytest.raises(Refused, match="file_too_large"):
-        stored.source_digests(spark, f"file://{tmp_path}")
-
-
 def test_numbering_keeps_columns_of_its_own_names(spark):
     df = spark.range(50).select("id", F.lit("a").alias("_part"), F.lit("b").alias("_at"), F.lit("c").alias("_first"))
     got = with_identity(df, ["id"], "s").collect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .names import col, free
 
 ROW_ID, ROW_ORDER = "_row_id", "_row_order"
 SYSTEM = (ROW_ID, ROW_ORDER)
@@ -15,16 +16,9 @@ def user_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in SYSTEM]
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """The name, with as many underscores behind it as it takes to differ from the columns."""
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def number_rows(df: DataFrame, order: list[Column | str], column: str = ROW_ORDER, start: int = 0) -> DataFrame:
     """Dense numbers in the given order. Rows are sorted by ranges; only the ranges' sizes go through the driver, never a window over all rows."""
-    part, place, first = (_free(df, c) for c in ("_part", "_at", "_first"))
+    part, place, first = (free(df.columns, c) for c in ("_part", "_at", "_first"))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialize(ranged.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     offsets, at = [], start
@@ -39,13 +33,13 @@ def number_rows(df: DataFrame, order: list[Column | str], column: str = ROW_ORDE
 def with_identity(df: DataFrame, order: list[Column | str], digest: str) -> DataFrame:
     """System columns first: the same source gives the same ids."""
     numbered = number_rows(df, order)
-    return numbered.select(F.md5(F.concat_ws(":", F.lit(digest), F.col(ROW_ORDER))).alias(ROW_ID), ROW_ORDER, *df.columns)
+    return numbered.select(F.md5(F.concat_ws(":", F.lit(digest), F.col(ROW_ORDER))).alias(ROW_ID), ROW_ORDER, *(col(c) for c in df.columns))
 
 
 def typed_cell(df: DataFrame, column: str) -> Column:
     """A cell as text that tells its type; NaN counts as missing."""
     kind = df.schema[column].dataType.typeName()
-    c = F.col(column)
+    c = col(column)
     missing = (c.isNull() | F.isnan(c)) if kind in ("double", "float") else c.isNull()
     return F.when(missing, "null").otherwise(F.concat(F.lit(f"{kind}:"), c.cast("string")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Refused
+from .names import col
 
 COMPARE = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
 
@@ -33,7 +34,7 @@ def check_literal(df: DataFrame, column: str, value: object) -> None:
 
 
 def predicate(column: str, operator: str, value: object = None) -> Column:
-    c = F.col(column)
+    c = col(column)
     if operator in ("is_null", "is_not_null"):
         if value is not None:
             raise Refused("value_not_allowed", operator)

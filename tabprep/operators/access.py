@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..errors import Refused
 from ..functions.identity import ROW_ID, ROW_ORDER
+from ..functions.names import col, free
 from ..functions.predicates import predicate
 from .quantiles import quantiles
 
@@ -23,7 +24,7 @@ def _checked(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.orderBy(ROW_ORDER).select(_checked(df, columns))
+    return df.orderBy(ROW_ORDER).select([col(c) for c in _checked(df, columns)])
 
 
 def filtered_projection(df: DataFrame, columns: list[str], filters: list[tuple]) -> DataFrame:
@@ -38,7 +39,7 @@ def ordered_export(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def aggregate_value(df: DataFrame, column: str, kind: str) -> DataFrame:
     """One row, value: count, min, max, sum (integers without overflow), mean or median of the values that aren't null."""
-    c = F.col(column)
+    c = col(column)
     if kind == "median":
         return df.sparkSession.createDataFrame([tuple(quantiles(df, [column], [0.5])[column])], "value double")
     whole = isinstance(df.schema[column].dataType, T.IntegralType)
@@ -50,8 +51,9 @@ def aggregate_value(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Every row whose key occurs more than once. Keys are counted before the shuffle; rows join the repeated ones."""
-    keys = df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(_checked(df, columns)))).count().where("count > 1").drop("count")
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)))
+    names = [free(df.columns, f"_k{i}") for i in range(len(_checked(df, columns)))]
+    keys = df.groupBy(*(col(c).alias(k) for c, k in zip(columns, names, strict=True))).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(names)
+    same = reduce(Column.__and__, (col(c).eqNullSafe(F.col(k)) for c, k in zip(columns, names, strict=True)))
     return df.join(keys, same, "left_semi").orderBy(ROW_ORDER)
 
 
@@ -70,5 +72,6 @@ def head(df: DataFrame, n: int = 10) -> DataFrame:
 
 def removed_duplicates(df: DataFrame, columns: list[str], n: int = 100) -> DataFrame:
     """A sample of the rows that remove_duplicates takes out."""
-    first = df.groupBy(*_checked(df, columns)).agg(F.min(ROW_ORDER).alias("_first")).select("_first")
-    return df.join(first, F.col(ROW_ORDER) == F.col("_first"), "left_anti").orderBy(ROW_ORDER).limit(n).select(ROW_ID, ROW_ORDER)
+    least = free(df.columns, "_first")
+    first = df.groupBy(*(col(c) for c in _checked(df, columns))).agg(F.min(ROW_ORDER).alias(least)).select(least)
+    return df.join(first, F.col(ROW_ORDER) == F.col(least), "left_anti").orderBy(ROW_ORDER).limit(n).select(ROW_ID, ROW_ORDER)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..errors import Refused
 from ..functions.identity import ROW_ID, ROW_ORDER, SYSTEM, number_rows, user_columns
+from ..functions.names import col, free
 from ..functions.predicates import check_literal, family, predicate
 from .quantiles import quantiles
 
@@ -34,7 +35,7 @@ def filter_rows(df: DataFrame, column: str, operator: str, value: object = None)
 
 def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in _user(df, columns):
-        df = df.where(F.col(c).isNotNull())
+        df = df.where(col(c).isNotNull())
     return df
 
 
@@ -57,7 +58,7 @@ def lenient_cast(df: DataFrame, column: str, target: str):
     """The cast value, null where it isn't one. Pairs of types that have no conversion give null."""
     if target not in TARGETS:
         raise Refused("unknown_cast_target", target)
-    c, have, want = F.col(column), family(df.schema[column].dataType), TARGETS[target]
+    c, have, want = col(column), family(df.schema[column].dataType), TARGETS[target]
     if want == "timestamp_ntz" and have in ("numeric", "boolean") or want in ("double", "boolean") and have == "datetime":
         return F.lit(None).cast(want)
     if have == "string" and want == "double":
@@ -70,14 +71,15 @@ def lenient_cast(df: DataFrame, column: str, target: str):
 def cast_column(df: DataFrame, column: str, target: str, failure_policy: str = "strict") -> DataFrame:
     _user(df, [column])
     new = lenient_cast(df, column, target)
-    if failure_policy == "strict" and df.where(F.col(column).isNotNull() & new.isNull()).limit(1).count():
+    if failure_policy == "strict" and df.where(col(column).isNotNull() & new.isNull()).limit(1).count():
         raise Refused("cast_failure", column)
     return df.withColumn(column, new)
 
 
 def mode_value(df: DataFrame, column: str):
     """The most frequent value that isn't null; of equally frequent ones that with the smallest text."""
-    row = df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), F.col(column).cast("string")).first()
+    counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.orderBy(F.desc("n"), F.col("value").cast("string")).first()
     return None if row is None else row[0]
 
 
@@ -93,7 +95,7 @@ def fill_values(df: DataFrame, columns: list[str], strategy: str, constant: obje
             if family(df.schema[c].dataType) != "numeric":
                 raise Refused("numeric_fill_required", c)
         if strategy == "mean":
-            learned = df.agg(*(F.avg(c).alias(c) for c in columns)).first().asDict()
+            learned = dict(zip(columns, df.agg(*(F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns))).first(), strict=True))
         else:
             learned = {c: v for c, (v,) in quantiles(df, columns, [0.5]).items()}
         for c, v in learned.items():
@@ -112,15 +114,16 @@ def fill_missing(df: DataFrame, columns: list[str], strategy: str, constant: obj
 def fill_with(df: DataFrame, learned: dict) -> DataFrame:
     """Columns whose value is None stay as they are."""
     known = {c: v for c, v in learned.items() if v is not None}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in known.items()}) if known else df
+    return df.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in known.items()}) if known else df
 
 
 def remove_duplicates(df: DataFrame, columns: list[str], keep: str = "first") -> DataFrame:
     """The row of the lowest order for each key: a partial minimum, then the rows that have it."""
     if keep != "first":
         raise Refused("unsupported_keep", keep)
-    first = df.groupBy(*_user(df, columns)).agg(F.min(ROW_ORDER).alias("_first")).select("_first")
-    return df.join(first, F.col(ROW_ORDER) == F.col("_first"), "left_semi")
+    least = free(df.columns, "_first")
+    first = df.groupBy(*(col(c) for c in _user(df, columns))).agg(F.min(ROW_ORDER).alias(least)).select(least)
+    return df.join(first, F.col(ROW_ORDER) == F.col(least), "left_semi")
 
 
 def replace_values(df: DataFrame, column: str, mapping: list[tuple]) -> DataFrame:
@@ -128,7 +131,7 @@ def replace_values(df: DataFrame, column: str, mapping: list[tuple]) -> DataFram
     _user(df, [column])
     if not mapping:
         raise Refused("empty_mapping")
-    c, new = F.col(column), None
+    c, new = col(column), None
     for old, to in mapping:
         check_literal(df, column, old)
         check_literal(df, column, to)
@@ -142,7 +145,7 @@ def replace_non_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in _user(df, columns):
         if family(df.schema[c].dataType) != "numeric":
             raise Refused("numeric_column_required", c)
-    return df.withColumns({c: F.when(F.abs(c) == float("inf"), None).otherwise(F.col(c)) for c in columns if isinstance(df.schema[c].dataType, T.FractionalType)})
+    return df.withColumns({c: F.when(F.abs(col(c)) == float("inf"), None).otherwise(col(c)) for c in columns if isinstance(df.schema[c].dataType, T.FractionalType)})
 
 
 def append_rows(df: DataFrame, others: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -155,11 +158,12 @@ def append_rows(df: DataFrame, others: list[tuple[str, DataFrame]]) -> DataFrame
             raise Refused("incompatible_append_schema", k)
     start = df.agg(F.max(ROW_ORDER)).first()[0]
     at = 0 if start is None else start + 1
+    which, old = free(df.columns, "_input"), free(df.columns, "_old")
     added = None
     for i, (k, other) in enumerate(others):
-        part = other.select(F.md5(F.concat_ws(":", F.lit(k), F.col(ROW_ID))).alias(ROW_ID), F.lit(i).alias("_input"), F.col(ROW_ORDER).alias("_old"), *(F.col(c) for c in user_columns(other)))
+        part = other.select(F.md5(F.concat_ws(":", F.lit(k), F.col(ROW_ID))).alias(ROW_ID), F.lit(i).alias(which), F.col(ROW_ORDER).alias(old), *(col(c) for c in user_columns(other)))
         added = part if added is None else added.unionByName(part)
-    numbered = number_rows(added, ["_input", "_old"], start=at).drop("_input", "_old")
+    numbered = number_rows(added, [which, old], start=at).drop(which, old)
     return df.unionByName(numbered)
 
 

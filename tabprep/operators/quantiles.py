@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from ..storage import materialize
 
 
@@ -18,7 +19,7 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[st
     """
     if not columns:
         return {}
-    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
+    cells = F.array(*(F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
     counts = df.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("c", "v").count()
     ranged = materialize(counts.repartitionByRange("c", "v").withColumn("p", F.spark_partition_id()))
     sums: dict[int, list[tuple[int, int]]] = {}

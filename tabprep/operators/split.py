@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from ..functions.names import col, free, quoted
 from ..storage import materialize
 
 PARTS = ("train", "validation", "test")
@@ -29,8 +30,9 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42) ->
     Rows are dealt by a hash of their id. Only the hash buckets that a quota's border falls into are ranked, so a class of any
     size needs no window over all its rows.
     """
-    hashed = materialize(df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))))
-    counts = {r[0]: r[1] for r in hashed.groupBy(target).count().limit(MOST_CLASSES + 1).collect()}
+    hash_, bucket, last_v, last_w, start, at_v, at_w = (free(df.columns, c) for c in ("_hash", "_bucket", "_last_v", "_last_w", "_start", "_v", "_w"))
+    hashed = materialize(df.withColumn(hash_, F.xxhash64(col(id_col), F.lit(seed))).withColumn(bucket, F.shiftright(hash_, 48)))
+    counts = {r[0]: r[1] for r in hashed.groupBy(col(target).alias("class")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_CLASSES + 1).collect()}
     if len(counts) > MOST_CLASSES:
         raise Refused("too_many_classes", target)
     total = sum(counts.values())
@@ -41,27 +43,29 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42) ->
     if any(c < 3 or rest[k] < 2 or test[k] < 1 for k, c in counts.items()):
         raise Refused("split_too_small")
     # per class and bucket of hashes: rows before it and in it; those whose rows all go to one part need no ranks
-    bucket = F.shiftright("_h", 48)
-    sizes = hashed.groupBy(F.col(target).alias("_t"), bucket.alias("_b")).count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quotas = df.sparkSession.createDataFrame([(k, counts[k] - rest[k], counts[k] - test[k]) for k in counts], f"_q {df.schema[target].dataType.simpleString()}, _v long, _w long")
-    borders = sizes.select("_t", "_b", before.alias("_start"), (before + F.col("count")).alias("_stop")).join(F.broadcast(quotas), F.col("_t").eqNullSafe(F.col("_q")))
+    sizes = hashed.groupBy(col(target).alias("t"), F.col(bucket).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quotas = df.sparkSession.createDataFrame([(k, counts[k] - rest[k], counts[k] - test[k]) for k in counts], f"q {df.schema[target].dataType.simpleString()}, v long, w long")
+    placed = sizes.select("t", "b", before.alias("start"), (before + F.col("n")).alias("stop")).join(F.broadcast(quotas), F.col("t").eqNullSafe(F.col("q")))
     # a border lies within one bucket, or between two: two rows a class at most
-    borders = borders.where(((F.col("_start") < F.col("_v")) & (F.col("_v") < F.col("_stop"))) | ((F.col("_start") < F.col("_w")) & (F.col("_w") < F.col("_stop"))))
-    borders = materialize(borders.select("_t", F.col("_b").alias("_at"), "_start"))
-    cuts = sizes.select("_t", "_b", (before + F.col("count")).alias("_stop")).join(F.broadcast(quotas), F.col("_t").eqNullSafe(F.col("_q"))).groupBy("_t").agg(F.max(F.when(F.col("_stop") <= F.col("_v"), F.col("_b"))).alias("_last_v"), F.max(F.when(F.col("_stop") <= F.col("_w"), F.col("_b"))).alias("_last_w"), F.max("_v").alias("_v"), F.max("_w").alias("_w"))
+    within = lambda q: (F.col("start") < F.col(q)) & (F.col(q) < F.col("stop"))
+    borders = materialize(placed.where(within("v") | within("w")).select(F.col("t").alias("bt"), F.col("b").alias("bb"), F.col("start").alias(start)))
+    cuts = placed.groupBy(F.col("t").alias("ct")).agg(F.max(F.when(F.col("stop") <= F.col("v"), F.col("b"))).alias(last_v), F.max(F.when(F.col("stop") <= F.col("w"), F.col("b"))).alias(last_w), F.max("v").alias(at_v), F.max("w").alias(at_w))
     cuts = materialize(cuts)
-    placed = hashed.withColumn("_b", bucket).join(F.broadcast(cuts), F.col(target).eqNullSafe(F.col("_t"))).drop("_t")
-    placed = placed.join(F.broadcast(borders), F.col(target).eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_at")), "left").drop("_t")
-    low = lambda last: F.coalesce(F.col("_b") <= F.col(last), F.lit(False))
-    inner = placed.where("_start IS NULL").withColumn("split", F.when(low("_last_v"), PARTS[0]).when(low("_last_w"), PARTS[1]).otherwise(PARTS[2]))
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy(target, "_b").orderBy("_h", id_col))
-    ranked = placed.where("_start IS NOT NULL").withColumn("split", F.when(rank <= F.col("_v"), PARTS[0]).when(rank <= F.col("_w"), PARTS[1]).otherwise(PARTS[2]))
-    return inner.select(*df.columns, "split").unionByName(ranked.select(*df.columns, "split"))
+    dealt = hashed.join(F.broadcast(cuts), hashed[quoted(target)].eqNullSafe(cuts["ct"])).drop(cuts["ct"])
+    on = dealt[quoted(target)].eqNullSafe(borders["bt"]) & (dealt[bucket] == borders["bb"])
+    dealt = dealt.join(F.broadcast(borders), on, "left").drop(borders["bt"], borders["bb"])
+    low = lambda last: F.coalesce(F.col(bucket) <= F.col(last), F.lit(False))
+    own, split = [col(c) for c in df.columns if c != "split"], lambda x: x.alias("split")
+    inner = dealt.where(F.col(start).isNull()).select(*own, split(F.when(low(last_v), PARTS[0]).when(low(last_w), PARTS[1]).otherwise(PARTS[2])))
+    rank = F.col(start) + F.row_number().over(Window.partitionBy(col(target), F.col(bucket)).orderBy(hash_, col(id_col)))
+    ranked = dealt.where(F.col(start).isNotNull()).withColumn(free(dealt.columns, "_rank"), rank)
+    place = F.col(ranked.columns[-1])
+    return inner.unionByName(ranked.select(*own, split(F.when(place <= F.col(at_v), PARTS[0]).when(place <= F.col(at_w), PARTS[1]).otherwise(PARTS[2]))))
 
 
 def split_summary(df: DataFrame, target: str) -> DataFrame:
-    counts = df.groupBy("split", F.col(target).alias("class")).count()
+    counts = df.groupBy("split", col(target).alias("class")).agg(F.count(F.lit(1)).alias("count"))
     rows = F.sum("count").over(Window.partitionBy("split"))
     return counts.select("split", rows.alias("rows"), "class", "count", F.round(100.0 * F.col("count") / rows, 2).alias("percentage"))
 
@@ -88,7 +92,7 @@ def combine_sources(parts: list[tuple[str, DataFrame]], add_source: bool = True)
     column = source_column_name(first.columns)
     out = None
     for name, part in parts:
-        part = part.select(first.columns)
+        part = part.select([col(c) for c in first.columns])
         part = part.withColumn(column, F.lit(name)) if add_source else part
         out = part if out is None else out.unionByName(part)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .functions.identity import content_fingerprint, with_identity
+from .functions.identity import block_digests, content_fingerprint, with_identity
 from .operators import access, curves, models, prepare, profile, split
 from .plans import versions
 from .plans.recipe import preview_summary, recipe_preview, run_recipe
@@ -156,6 +156,13 @@ SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, severity
 
 add("row_identity", lambda s, d: with_identity(table(s, d, "events").select("event_id", "event_type"), ["event_id"], "events"), "SELECT md5('events:' || CAST(k AS VARCHAR)) AS _row_id, k AS _row_order, event_id, event_type FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, event_id, event_type FROM events)")
 add("content_fingerprint", _on(content_fingerprint))
+_CELL = "coalesce('{kind}:' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'null')"
+_CELLS = " || ',' || ".join(_CELL.format(kind=k, c=c) for k, c in (("long", "o_orderkey"), ("long", "o_custkey"), ("string", "o_orderstatus"), ("string", "nullif(o_orderpriority, '5-LOW')")))
+add(
+    "fingerprint_blocks",
+    lambda s, d: block_digests(table(s, d, "orders").selectExpr("o_orderkey AS _row_order", "o_custkey", "o_orderstatus", "nullif(o_orderpriority, '5-LOW') AS priority"), 1024),
+    f"SELECT o_orderkey // 1024 AS block, count(*) AS rows, sha256(string_agg(sha256({_CELLS}), '' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1",
+)
 add("canonical_roundtrip", _on(materialize), f"SELECT * FROM {BASE}")
 add("combine_sources", lambda s, d: split.combine_sources([("a.csv", table(s, d, "customer").select("c_custkey", "c_name")), ("b.csv", table(s, d, "customer").where("c_custkey % 2 = 0").select("c_name", "c_custkey"))]), "SELECT c_custkey, c_name, 'a.csv' AS __source_file FROM customer UNION ALL SELECT c_custkey, c_name, 'b.csv' FROM customer WHERE c_custkey % 2 = 0")
 

@@ -35,12 +35,16 @@ def _empty(spark: SparkSession, files: DataFrame) -> DataFrame:
     return every.select(path.alias("path")).join(files.select("path"), "path", "left_anti")
 
 
-def open_stream(path: str) -> pa.NativeFile:
-    """A file by the path that Spark gives for it."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system, and the place in it, of a path as Spark gives it."""
     scheme, _, rest = path.partition(":")
     if not rest.startswith("/") or scheme == "file":
-        return fs.LocalFileSystem().open_input_stream(("/" + rest.lstrip("/")) if scheme == "file" else path, compression=None)
-    system, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+        return fs.LocalFileSystem(), ("/" + rest.lstrip("/")) if scheme == "file" else path
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+
+
+def open_stream(path: str) -> pa.NativeFile:
+    system, place = located(path)
     return system.open_input_stream(place, compression=None)
 
 

@@ -1,4 +1,8 @@
-"""Folders of .xlsx workbooks as tables. A workbook is a compressed package, so one task reads one whole workbook."""
+"""Folders of .xlsx workbooks as tables. A workbook is a compressed package, so one task reads one whole workbook.
+
+Sheets are read as streams: rows leave in bounded batches as they are parsed, and no tree of a sheet is held. Shared texts are needed in any order and
+are held, as bytes. Small packages come from Spark as values; of larger ones a task reads the parts that it needs from the file.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import posixpath
 import re
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
@@ -19,18 +24,23 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..storage import materialize
+from . import stored
 from .csv import infer_types
+from .stored import located
 
 #: Names in the package, and of its XML.
 _TYPES, _BOOK, _RELS, _TEXTS = "[Content_Types].xml", "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml"
+#: Cells of one batch of rows.
+BATCH_CELLS = 100_000
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _opened(content: bytes) -> zipfile.ZipFile | None:
-    """None for what isn't a whole workbook package."""
+def _opened(path: str, content: bytes | None) -> zipfile.ZipFile | None:
+    """The package, from its content or else from its file; None for what isn't a whole workbook package."""
     try:
-        book = zipfile.ZipFile(io.BytesIO(content))
+        system, place = (None, None) if content is not None else located(path)
+        book = zipfile.ZipFile(io.BytesIO(content) if content is not None else system.open_input_file(place))
         return book if {_TYPES, _BOOK} <= set(book.namelist()) and book.testzip() is None else None
     except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error):
         return None
@@ -47,10 +57,37 @@ def _text(node: ElementTree.Element) -> str:
     return "".join(t.text or "" for r in runs for t in r.findall(f"{_MAIN}t"))
 
 
+def _elements(book: zipfile.ZipFile, member: str, parent: str, child: str) -> Iterator[ElementTree.Element]:
+    """The children of the parent element as they end; each is dropped when the next one is asked for."""
+    held = None
+    with book.open(member) as stream:
+        for event, node in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start" and node.tag == _MAIN + parent:
+                held = node
+            elif event == "end" and node.tag == _MAIN + child and held is not None:
+                yield node
+                held.clear()
+
+
+class _Shared:
+    """The shared texts of a workbook, as bytes one behind the other."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.ends, self.data = array("Q", [0]), bytearray()
+        for node in _elements(book, _TEXTS, "sst", "si") if _TEXTS in book.namelist() else ():
+            self.data += _text(node).encode()
+            self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < len(self.ends) - 1:
+            raise IndexError(i)
+        return self.data[self.ends[i] : self.ends[i + 1]].decode()
+
+
 def _cells(book: zipfile.ZipFile, member: str) -> Iterator[tuple[int, list[str | None]]]:
     """Row numbers and cells as texts; cells that the file leaves out are null."""
-    shared = [_text(n) for n in ElementTree.fromstring(book.read(_TEXTS)).findall(f"{_MAIN}si")] if _TEXTS in book.namelist() else []
-    for at, row in enumerate(ElementTree.fromstring(book.read(member)).iter(f"{_MAIN}row"), 1):
+    shared = _Shared(book)
+    for at, row in enumerate(_elements(book, member, "sheetData", "row"), 1):
         cells: list[str | None] = []
         for cell in row.findall(f"{_MAIN}c"):
             letters = re.match("[A-Z]*", cell.get("r", ""))[0]
@@ -69,6 +106,19 @@ def _cells(book: zipfile.ZipFile, member: str) -> Iterator[tuple[int, list[str |
         yield int(row.get("r", at)), cells
 
 
+def _in_batches(path: str, rows: Iterator[tuple[int, list[str | None]]]) -> Iterator[pd.DataFrame]:
+    """Frames of at most about BATCH_CELLS cells."""
+    held, cells = [], 0
+    for at, row in rows:
+        held.append((path, at, row))
+        cells += 1 + len(row)
+        if cells >= BATCH_CELLS:
+            yield pd.DataFrame(held, columns=["path", "row_index", "cells"])
+            held, cells = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["path", "row_index", "cells"])
+
+
 def _package(sheets: list[tuple[str, list[list[str | None]]]]) -> bytes:
     """A workbook of the named sheets, all cells as texts."""
     types = '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
@@ -117,7 +167,9 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str, rows_each: int = 100
 
 
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    small, large = F.col("length") <= stored.SMALL_BYTES, F.col("length") > stored.SMALL_BYTES
+    return files.where(small).select("path", "content").unionByName(files.where(large).select("path", F.lit(None).cast("binary").alias("content")))
 
 
 def workbook_sheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -127,7 +179,7 @@ def workbook_sheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                book = _opened(content)
+                book = _opened(path, content)
                 rows += [(path, None, None, "invalid")] if book is None else [(path, i, name, "ok") for i, (name, _) in enumerate(_sheets(book))]
             yield pd.DataFrame(rows, columns=["path", "sheet_index", "sheet_name", "status"]).astype({"sheet_index": "Int32"})
 
@@ -140,15 +192,13 @@ def workbook_rows(spark: SparkSession, paths: str | list[str], sheet: str) -> Da
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                book = _opened(content)
+                book = _opened(path, content)
                 ids = [r for name, r in _sheets(book) if name == sheet] if book else []
                 if not ids:
                     continue
                 targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read(_RELS))}
                 member = posixpath.normpath(posixpath.join("/xl", targets[ids[0]])).lstrip("/")
-                rows = [(path, at, cells) for at, cells in _cells(book, member)]
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "row_index", "cells"])
+                yield from _in_batches(path, _cells(book, member))
 
     return _files(spark, paths).mapInPandas(read, "path string, row_index long, cells array<string>")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabprep.errors import Refused
 from tabprep.functions import scalar
-from tabprep.functions.identity import content_fingerprint, with_identity
+from tabprep.functions.identity import changed_blocks, content_fingerprint, with_identity
 from tabprep.operators import access, curves, prepare, profile, split
 from tabprep.plans.recipe import preview_summary, recipe_preview, run_recipe
 from tabprep.sources import stored
@@ -98,6 +98,36 @@ def test_identity_and_fingerprint(spark):
     assert content_fingerprint(one.withColumn("v", F.when(F.col("k") == 5, 0.5).otherwise(F.col("v")))).first()[0] not in prints
 
 
+def test_a_fingerprint_is_a_tree_that_names_changed_ranges(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(f"r{i}", i, None if i % 7 == 0 else i * 3, "a,b" if i % 2 else "é:") for i in range(300) if not 40 <= i < 72]
+    df = spark.createDataFrame(rows, "_row_id string, _row_order long, v long, t string")
+
+    def cell(kind, x):
+        return "null" if x is None else f"{kind}:{len(str(x))}:{x}"
+
+    level = {}
+    for _, i, v, t in rows:
+        level.setdefault(i // 8, []).append(sha(",".join((cell("long", i), cell("long", v), cell("string", t)))))
+    while True:
+        level = {b: sha("".join(d)) for b, d in sorted(level.items())}
+        if max(level) == 0:
+            break
+        above = {}
+        for b, d in level.items():
+            above.setdefault(b // 8, []).append(d)
+        level = above
+    want = sha(f"1:v:bigint,1:t:string|{level[0]}|{len(rows)}")
+    for parts in (1, 5):
+        assert content_fingerprint(df.repartition(parts), 8).first()[0] == want
+    other = df.withColumn("t", F.when(F.col("_row_order").isin(10, 299), "z").otherwise(F.col("t"))).where("_row_order <> 100")
+    got = [tuple(r) for r in changed_blocks(df, other, 8).orderBy("block").collect()]
+    assert got == [(1, 8, 15), (12, 96, 103), (37, 296, 303)]
+    assert content_fingerprint(df.limit(0)).first()[0] == sha("1:v:bigint,1:t:string||0") and changed_blocks(df, df.repartition(3)).count() == 0
+
+
 def test_profile(spark):
     """Plants: two readings lost, one far away, a column of one value, a code that tells rows apart."""
     rows = [(i, None if i in (3, 8) else 9_000.0 if i == 11 else 20.0 + i % 7, "metre", f"p{i:03}", "north" if i % 12 else "south") for i in range(120)]

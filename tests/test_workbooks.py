@@ -52,3 +52,35 @@ def test_cells_beyond_the_header_are_refused(spark, folder, tmp_path):
     with pytest.raises(Refused, match="sheet_has_too_many_cells"):
         workbooks.load_sheet(spark, f"file://{tmp_path}/wide.xlsx", "First")
     assert workbooks.load_sheet(spark, f"file://{tmp_path}/blank.xlsx", "First").count() == 1
+
+
+def test_a_sheet_is_read_as_a_stream(tmp_path):
+    """Memory stays far below what a tree of the sheet takes, and batches are bounded."""
+    import tracemalloc
+
+    rows = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{i % 500}</v></c><c r="B{i}"><v>{i}.5</v></c></row>' for i in range(1, 40_001))
+    with zipfile.ZipFile(tmp_path / "long.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("xl/workbook.xml", f"<workbook {M}/>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {M}>{''.join(f'<si><t>text é {i}</t></si>' for i in range(500))}</sst>")
+        z.writestr("xl/worksheets/s1.xml", f"<worksheet {M}><sheetData>{rows}</sheetData></worksheet>")
+    book = workbooks._opened(f"file:{tmp_path}/long.xlsx", None)
+    tracemalloc.start()
+    n = 0
+    for at, cells in workbooks._cells(book, "xl/worksheets/s1.xml"):
+        n += 1
+        assert at == n and cells == [f"text é {n % 500}", f"{n}.5"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40_000 and peak < 3_000_000
+    sizes = [len(b) for b in workbooks._in_batches("p", workbooks._cells(book, "xl/worksheets/s1.xml"))]
+    assert sum(sizes) == 40_000 and len(sizes) > 1 and max(sizes) * 3 <= workbooks.BATCH_CELLS + 3
+
+
+def test_large_packages_are_read_from_their_files(spark, folder, monkeypatch):
+    from tabprep.sources import stored
+
+    whole = sorted(tuple(r) for r in workbooks.workbook_rows(spark, f"file://{folder}", "First").collect())
+    monkeypatch.setattr(stored, "SMALL_BYTES", 0)
+    assert sorted(tuple(r) for r in workbooks.workbook_rows(spark, f"file://{folder}", "First").collect()) == whole and len(whole) == 3
+    assert workbooks.workbook_sheets(spark, f"file://{folder}").where("status = 'invalid'").count() == 2

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from ..functions.identity import number_rows
 from ..functions.predicates import family
 from ..storage import materialize
 from . import curves
@@ -50,8 +51,9 @@ def _number(c: str) -> str:
     return f"nullif(CAST({_quoted(c)} AS DOUBLE), CAST('NaN' AS DOUBLE))"
 
 
-def learn(train: DataFrame, features: list[str]) -> Learned:
-    """Learns from training rows only. Columns without any value are left out; without any other column it refuses."""
+def learn(train: DataFrame, features: list[str], most_levels: int | None = None) -> Learned:
+    """Learns from training rows only. Columns without any value are left out; without any other column it refuses. most_levels: of a text column (MOST_LEVELS); 0 for any number."""
+    most_levels = MOST_LEVELS if most_levels is None else most_levels
     numeric, texts = feature_kinds(train, features)
     got = Learned()
     numbers = train.selectExpr(*(f"{_number(c)} AS {_quoted(c)}" for c in numeric)) if numeric else None
@@ -61,9 +63,9 @@ def learn(train: DataFrame, features: list[str]) -> Learned:
         facts = numbers.agg(*(f(x).alias(f"{k}{i}") for i, x in enumerate(filled.values()) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         for i, c in enumerate(got.medians):
             got.means[c], got.scales[c] = facts[f"m{i}"], facts[f"s{i}"] or 1.0
-    levels = train.agg(*(F.approx_count_distinct(_quoted(c)).alias(f"l{i}") for i, c in enumerate(texts))).first() if texts else []
-    for c, n in zip(texts, levels, strict=True):
-        if n > MOST_LEVELS:
+    for c in texts:
+        # exact, and no more than one level beyond the limit is looked for
+        if most_levels and train.where(F.col(_quoted(c)).isNotNull()).select(_quoted(c)).distinct().limit(most_levels + 1).count() > most_levels:
             raise Refused("too_many_levels", c)
         value = mode_value(train.select(F.col(_quoted(c)).cast("string").alias(c)), c)
         if value is not None:
@@ -102,6 +104,34 @@ def preprocess(train: DataFrame, df: DataFrame, features: list[str], scaled: boo
     return made.select(*(_quoted(c) for c in df.columns), F.col("_tp_features").alias("features"))
 
 
+def level_numbers(train: DataFrame, got: Learned) -> dict[str, DataFrame]:
+    """Per text column its levels in order, (level, n): numbered by ranges, however many there are; the driver holds none."""
+    return {c: number_rows(train.select(F.coalesce(F.col(_quoted(c)).cast("string"), F.lit(v)).alias("level")).distinct(), ["level"], column="n") for c, v in got.modes.items()}
+
+
+def preprocess_sparse(train: DataFrame, df: DataFrame, features: list[str], scaled: bool = True) -> DataFrame:
+    """df with the features as size, indices and values (those that aren't 0, in order of their places), for text columns of any number of levels.
+
+    The same places as of preprocess: numbers first, then a place for each level of each text column. Rows join the numbered levels; a level that training rows
+    lack has no place. Every level of a numeric feature's value 0 stays out.
+    """
+    got = learn(train, features, most_levels=0)
+    own = [F.col(_quoted(c)) for c in df.columns]
+    size, places = len(got.medians), []
+    for i, (c, v) in enumerate(got.medians.items()):
+        x = F.coalesce(F.expr(_number(c)), F.lit(v))
+        places.append(F.struct(F.lit(i).cast("long").alias("i"), ((x - F.lit(got.means[c])) / F.lit(got.scales[c]) if scaled else x).alias("v")))
+    joined, kept = df, [f"_tp_level{i}" for i in range(len(got.modes))]
+    for at, (c, levels) in zip(kept, level_numbers(train, got).items(), strict=True):
+        found = levels.select(F.col("level").alias("_tp_text"), (F.col("n") + F.lit(size)).alias(at))
+        joined = joined.join(found, F.coalesce(F.col(_quoted(c)).cast("string"), F.lit(got.modes[c])) == F.col("_tp_text"), "left").drop("_tp_text")
+        places.append(F.struct(F.col(at).alias("i"), F.lit(1.0).alias("v")))
+        size += levels.count()
+    held = F.filter(F.array(*places), lambda x: x["i"].isNotNull() & (x["v"] != 0))
+    made = joined.withColumn("_tp_held", held)
+    return made.select(*own, F.lit(size).cast("long").alias("size"), F.col("_tp_held.i").alias("indices"), F.col("_tp_held.v").alias("values"))
+
+
 def train_models(train: DataFrame, target: str, features: list[str], positive: object = None, models: tuple[str, ...] = MODELS, seed: int = 42) -> dict[str, PipelineModel]:
     """Fits each model on the training rows, both classes weighted alike. The positive class is the largest value unless given."""
     counts = {r[0]: r[1] for r in train.groupBy(target).count().limit(3).collect()}

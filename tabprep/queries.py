@@ -288,6 +288,23 @@ add("preprocess_categorical", _categorical, f"WITH b AS ({_LABELLED} WHERE quali
 _FILLED = ", ".join(f"coalesce({c}, (SELECT {c} FROM b WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in ("lang", "source"))
 _PLACES = " || ".join(f"(SELECT string_agg(CASE WHEN l.v = f.{c} THEN '1' ELSE '0' END, '' ORDER BY l.v) FROM (SELECT DISTINCT {c} AS v FROM f) l)" for c in ("lang", "source"))
 add("preprocess_onehot", _one_hot, f"WITH b AS ({_LABELLED} WHERE quality IS NOT NULL), f AS (SELECT doc_id, {_FILLED} FROM b) SELECT doc_id, {_PLACES} AS features FROM f")
+
+
+def _sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' customers as levels: as many places as customers with orders."""
+    orders = table(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", "CAST(nullif(o_custkey, 7) AS STRING) AS customer", "nullif(o_orderstatus, 'P') AS status")
+    got = models.preprocess_sparse(orders, orders, ["o_totalprice", "customer", "status"])
+    value = F.round(F.get("values", F.lit(0)), 4)
+    return got.select("o_orderkey", "size", value.alias("price"), F.array_join("indices", ",").alias("indices"))
+
+
+_O = "o AS (SELECT o_orderkey, o_totalprice AS x, nullif(CAST(o_custkey AS VARCHAR), '7') AS customer, nullif(o_orderstatus, 'P') AS status FROM orders)"
+_MODE = "coalesce({c}, (SELECT {c} FROM o WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}"
+add(
+    "preprocess_sparse",
+    _sparse,
+    f"WITH {_O}, f AS (SELECT o_orderkey, x, {_MODE.format(c='customer')}, {_MODE.format(c='status')} FROM o), a AS (SELECT customer, row_number() OVER (ORDER BY customer) AS i FROM (SELECT DISTINCT customer FROM f)), b AS (SELECT status, row_number() OVER (ORDER BY status) + (SELECT count(*) FROM a) AS j FROM (SELECT DISTINCT status FROM f)) SELECT o_orderkey, 1 + (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS size, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 4) AS price, '0,' || i || ',' || j AS indices FROM f JOIN a USING (customer) JOIN b USING (status)",
+)
 add("preprocess", lambda s, d: models.preprocess(_parts(s, d)["train"], labelled(s, d), _FEATURES).select("doc_id", models.vector_to_array("features").alias("features")))
 add("train_logistic", _trained("logistic_regression"))
 add("train_forest", _trained("random_forest"))

@@ -138,3 +138,23 @@ def test_one_hot_query_knows_levels_of_odd_ids(spark, tmp_path):
     ids.selectExpr("doc_id", "'t' AS text", "if(doc_id % 2 = 1, 'odd', 'xx') AS lang", "if(doc_id = 7, 'rare', 'web') AS source", "1 AS n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["features"] for r in QUERIES["preprocess_onehot"](spark, f"file://{tmp_path}").collect()}
     assert len(got) == 40 and all(v.count("1") == 2 for v in got.values())
+
+
+def test_a_hundred_thousand_levels(spark):
+    """Places by a numbered dictionary, equal to those of the encoder where that takes the levels, too."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select("id", F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("url"), (F.col("id") % 5).cast("double").alias("x"))
+    got = models.preprocess_sparse(df, df, ["url", "x"], scaled=False)
+    assert got.where("size <> 100001").count() == 0
+    assert got.where("indices[cardinality(indices) - 1] <> id + 1 OR cardinality(indices) <> if(x = 0, 1, 2)").count() == 0
+    with pytest.raises(Refused, match="too_many_levels"):
+        models.preprocess(df, df, ["url"])
+    few = df.where("id < 40").withColumn("url", F.when(F.col("id") % 9 != 0, F.concat(F.lit("v"), (F.col("id") % 6).cast("string"))))
+    other = few.withColumn("url", F.when(F.col("id") == 3, "new").otherwise(F.col("url")))
+    dense = {r["id"]: r["f"] for r in models.preprocess(few, other, ["x", "url"]).select("id", models.vector_to_array("features").alias("f")).collect()}
+    for r in models.preprocess_sparse(few, other, ["x", "url"]).collect():
+        row = [0.0] * r["size"]
+        for i, v in zip(r["indices"], r["values"]):
+            row[i] = v
+        assert row == pytest.approx(dense[r["id"]])

@@ -31,13 +31,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import vec
-from .shared import small_batches, stash
+from .shared import shared_dir, small_batches, stash
 
 #: Words are runs of 0-9, a-z (A-Z is lower-cased) and all characters from U+0080 on.
 _KIND = vec.table(bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122)))
 
 #: Text that the strata of one part of the index come from.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
+#: Parquet's row groups of the index: no task holds more of it at once, writing or reading.
+GROUP_BYTES = 8 << 20
 
 
 def terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,9 @@ def build_index(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield part()
 
     schema = T.StructType([T.StructField("m", T.LongType()), T.StructField("ids", T.ArrayType(documents.schema[id_col].dataType)), T.StructField("terms", T.ArrayType(T.LongType())), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("tfs", "sizes", "docs"))])
-    return Index(stash(narrow.mapInArrow(build, schema)), n_docs, n_terms)
+    spark, path = documents.sparkSession, f"{shared_dir(documents.sparkSession)}/index"
+    narrow.mapInArrow(build, schema).write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
+    return Index(spark.read.schema(schema).parquet(path), n_docs, n_terms)
 
 
 def _asked(items: DataFrame, id_col: str, text_col: str, block_terms: int) -> tuple[DataFrame, int]:

@@ -19,7 +19,7 @@ hashes and compared byte by byte. A text whose white space could make tokens rea
 token, or of whose runs one shares its hash with another, goes to the tokenizer as a whole.
 
 Defined results: a null or empty text is the end id alone; null keys come first and can't be looked up; repeated keys are documents of
-their own, in order of their texts; strings of special tokens give those tokens, as the tokenizers library has it, or are ordinary text with
+their own, within a shard in order of their texts, over shards of those texts' hashes; strings of special tokens give those tokens, as the tokenizers library has it, or are ordinary text with
 ``special_as_text``; an empty table gives an empty result.
 """
 

@@ -435,6 +435,31 @@ def _applied(spark: SparkSession, d: str) -> DataFrame:
 add("apply_preview", _applied, f"SELECT *, true AS same, 2 AS revision FROM ({SQL['recipe_preview']})")
 
 
+def _scored_export(spark: SparkSession, d: str) -> DataFrame:
+    """The export of made-up scores, written as CSV and read back."""
+    made, path = models.metrics_export(scores(spark, d), scores(spark, d), "a", 0.6, 0.3), new_folder(spark)
+    models.write_metrics(made, path)
+    return spark.read.schema(made.schema).csv(path, header=True, enforceSchema=True)
+
+
+_CHOICE = f"SELECT o.model, feasible, o.threshold, precision, recall, f1, tn, fp, fn, tp FROM ({SQL['optimize_models']}) o JOIN ({SQL['optimized_matrix']}) x USING (model)"
+add("scored_export", _scored_export, f"SELECT 'validation_default_0.5' AS stage, * FROM ({SQL['scored_comparison']}) UNION ALL BY NAME SELECT 'validation_selected_threshold' AS stage, * FROM ({_CHOICE}) UNION ALL BY NAME SELECT 'final_test_locked_threshold' AS stage, * FROM ({SQL['scored_final_test']})")
+
+
+def _remainders(source: str, n: str, share: str) -> str:
+    """SQL that shares out the number ``share`` among the rows of source (k, and n of each) by largest remainders."""
+    return f"SELECT k, all_of, CAST(down + CASE WHEN row_number() OVER (ORDER BY down - exact, CAST(k AS VARCHAR)) <= {share} - sum(down) OVER () THEN 1 ELSE 0 END AS BIGINT) AS part FROM (SELECT *, floor(exact) AS down FROM (SELECT k, {n} AS all_of, ({share}) * {n} / CAST(sum({n}) OVER () AS DOUBLE) AS exact FROM {source}))"
+
+
+_REST = "(SELECT (3 * count(*) + 9) // 10 FROM labels)"
+add(
+    "split_quotas",
+    lambda s, d: split.stratified_split(table(s, d, "labels"), "quality", "doc_id").groupBy("split", "quality").agg(F.count(F.lit(1)).alias("n")),
+    f"""WITH c AS (SELECT quality AS k, count(*) AS n FROM labels GROUP BY 1), rest AS ({_remainders("c", "n", _REST)}), test AS ({_remainders("rest", "part", f"(({_REST} + 1) // 2)")})
+SELECT 'train' AS split, k AS quality, all_of - part AS n FROM rest UNION ALL SELECT 'validation', k, all_of - part FROM test UNION ALL SELECT 'test', k, part FROM test""",
+)
+
+
 def _texts_by_nation(spark: SparkSession, d: str, name: str = "c_name") -> str:
     """A text file for each nation: its customers' names in order, one a line."""
     path = new_folder(spark)

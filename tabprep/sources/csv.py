@@ -112,15 +112,22 @@ def _cut(spark: SparkSession, records: DataFrame, options: dict) -> Cells:
     return Cells(names, every, body)
 
 
+def _longest(spark: SparkSession, path: str | list[str], recursive: bool) -> int:
+    """Bytes of the longest file; contents aren't read."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=recursive).load(path)
+    return files.agg(F.max("length")).first()[0] or 0
+
+
 def read_cells(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True, recursive: bool = False) -> Cells:
     """With multi_line, fields may hold line ends: one pass over the lines finds out whether any does, and where the files' byte ranges begin inside such
-    a field. Many tasks share a large file in any case, but for other encodings than _BY_BYTES and for files whose lines end with a carriage return alone. Without multi_line a line is a record."""
+    a field, and many tasks share a large file. Files are read whole if none is longer than what one task takes (spark.sql.files.maxPartitionBytes), in other encodings than _BY_BYTES, and
+    where lines end with a carriage return alone. Without multi_line a line is a record."""
     if len(delimiter) != 1 or delimiter in '"\r\n':
         raise Refused("invalid_csv_delimiter")
     options = dict(sep=delimiter, encoding=encoding, quote='"', escape='"', nullValue="\0", emptyValue="", recursiveFileLookup=recursive)
     if not multi_line:
         return _plain(spark, path, options, False)
-    if encoding.lower() not in _BY_BYTES:
+    if encoding.lower() not in _BY_BYTES or _longest(spark, path, recursive) <= spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return _plain(spark, path, options, True)
     lines = lines_of(spark, path, recursive)
     ends = range_ends(lines, delimiter).collect()  # a row for each byte range

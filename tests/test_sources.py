@@ -10,6 +10,15 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Every file is longer than what one task takes."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8)
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def whole(spark, path, names):
     """The same files, each read whole by one task."""
     return rows_of(spark.read.options(multiLine=True, header=True, quote='"', escape='"', nullValue="\0", emptyValue="", enforceSchema=True, sep=",").schema(", ".join(f"`{n}` string" for n in names)).csv(path))
@@ -74,7 +83,7 @@ def test_open_fields_by_steps(line):
         assert quotes.after(line.encode(), inside) == walk(line, inside)
 
 
-def test_csv_other_line_ends_and_encodings(spark, tmp_path):
+def test_csv_other_line_ends_and_encodings(spark, tmp_path, small_ranges):
     (tmp_path / "a.csv").write_bytes(b'k,t\r1,"x\ry"\r2,z\r')
     assert rows_of(csv.import_csv(spark, f"file://{tmp_path}/a.csv")) == [(1, "x\ny"), (2, "z")]
     (tmp_path / "b.csv").write_bytes('k;t\n1;"é\nß"\n2;ü\n'.encode("latin-1"))
@@ -87,7 +96,7 @@ def test_csv_other_line_ends_and_encodings(spark, tmp_path):
         csv.import_csv(spark, f"file://{tmp_path}/d.csv", delimiter='"')
 
 
-def test_csv_refusals_with_line_ends_in_fields(spark, tmp_path):
+def test_csv_refusals_with_line_ends_in_fields(spark, tmp_path, small_ranges):
     (tmp_path / "a.csv").write_text('k,t\n1,"x\ny"\n')
     for other, code in (('k,u\n1,"x\ny"\n', "csv_headers_differ"), ('k,t\n1,"x\ny",3\n', "csv_too_many_fields")):
         (tmp_path / "b.csv").write_text(other)

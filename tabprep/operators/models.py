@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
+from itertools import accumulate
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
@@ -24,6 +27,8 @@ from .quantiles import quantiles
 MOST_LEVELS = 10_000
 MODELS = ("logistic_regression", "random_forest")
 _N, _C, _I, _H = "_tp_num", "_tp_cat", "_tp_idx", "_tp_hot"
+#: Columns of models that rows are given while they are scored.
+_COLUMNS = {"featuresCol": "_tp_features", "rawPredictionCol": "_tp_raw", "probabilityCol": "_tp_prob", "predictionCol": "_tp_pred"}
 
 
 @dataclass
@@ -132,26 +137,75 @@ def preprocess_sparse(train: DataFrame, df: DataFrame, features: list[str], scal
     return made.select(*own, F.lit(size).cast("long").alias("size"), F.col("_tp_held.i").alias("indices"), F.col("_tp_held.v").alias("values"))
 
 
+def drawn(seed: int, bag: Column, row: Column) -> Column:
+    """How often a bag holds a row: a Poisson draw of mean 1, inverted at a hash of seed, bag and row."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), bag, row), 11) / F.lit(2.0**53)
+    out = F.lit(19)
+    for k, c in reversed(list(enumerate(accumulate(math.exp(-1) / math.factorial(i) for i in range(19))))):
+        out = F.when(u < F.lit(c), k).otherwise(out)
+    return out
+
+
+def bag_weights(rows: DataFrame, label: str, row: str, bags: int, seed: int) -> DataFrame:
+    """bag, label, n (draws of the class), weight: all draws of the bag over the classes in it and the draws of this class. One pass; bags without any draw are left out."""
+    each = rows.select(label, row, F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"))
+    counts = each.groupBy("bag", label).agg(F.sum(drawn(seed, F.col("bag"), F.col(row))).alias("n")).where("n > 0")
+    per_bag = counts.groupBy("bag").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("classes"))
+    return counts.join(per_bag, "bag").select("bag", label, "n", (F.col("all_n") / (F.col("classes") * F.col("n"))).alias("weight"))
+
+
+def bagged_forest(rows: DataFrame, trees: int, seed: int, parallel: int = 8) -> RandomForestClassificationModel:
+    """A forest whose trees each weight the classes of their own bag alike; probabilities are averaged over the trees.
+
+    rows: _tp_features, _tp_label (0 or 1) and _tp_row, different for each row. The weights of all bags are counted in one pass. A tree is then fitted over its bag's
+    rows by Spark, ``parallel`` trees at a time, as it can't weight the trees of one fit apart. Small bags may lack a class, and are then all of the other.
+    """
+    weights: dict[int, dict[float, float]] = {}
+    for r in bag_weights(rows, "_tp_label", "_tp_row", trees, seed).collect():  # two rows for each tree at the most
+        weights.setdefault(r["bag"], {})[r["_tp_label"]] = r["weight"]
+    settings = {"maxDepth": 12, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": seed, "labelCol": "_tp_label", "weightCol": "_tp_weight", **_COLUMNS}
+    label = F.col("_tp_label").alias("_tp_label", metadata={"ml_attr": {"type": "nominal", "name": "_tp_label", "vals": ["0", "1"]}})
+
+    def fit(bag: int) -> RandomForestClassificationModel:
+        own = weights[bag]
+        weight = F.col("_tp_n") * F.when(F.col("_tp_label") == 1.0, own.get(1.0, 0.0)).otherwise(own.get(0.0, 0.0))
+        held = rows.withColumn("_tp_n", drawn(seed, F.lit(bag), F.col("_tp_row"))).where("_tp_n > 0").select("_tp_features", label, weight.alias("_tp_weight"))
+        return RandomForestClassifier(numTrees=1, bootstrap=False, **settings).setSeed(seed + bag).fit(held)
+
+    with ThreadPool(parallel) as pool:
+        fitted = pool.map(fit, sorted(weights), chunksize=1)
+    context = rows.sparkSession.sparkContext
+    held = context._gateway.new_array(context._jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, len(fitted))
+    for i, model in enumerate(fitted):
+        held[i] = model._java_obj.trees()[0]
+    made = context._jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(fitted[0].uid, held, fitted[0].numFeatures, 2)
+    out = RandomForestClassificationModel(made)
+    # written models tell their settings, and are refused with another number of trees
+    return out._set(**{k: v for k, v in settings.items() if out.hasParam(k)} | {"numTrees": len(fitted)})
+
+
 def train_models(train: DataFrame, target: str, features: list[str], positive: object = None, models: tuple[str, ...] = MODELS, seed: int = 42) -> dict[str, PipelineModel]:
-    """Fits each model on the training rows, both classes weighted alike. The positive class is the largest value unless given."""
+    """Fits each model on the training rows, both classes weighted alike: over all rows, or for each tree of the forest over its bag. The positive class is the largest value unless given."""
     counts = {r[0]: r[1] for r in train.groupBy(target).count().limit(3).collect()}
     if None in counts or len(counts) != 2:
         raise Refused("target_missing" if None in counts else "target_not_binary")
     positive = max(counts) if positive is None else positive
     n = sum(counts.values())
     weight = F.when(F.col(target) == F.lit(positive), n / (2.0 * counts[positive])).otherwise(n / (2.0 * (n - counts[positive])))
-    rows = materialize(train.withColumns({"_tp_label": (F.col(target) == F.lit(positive)).cast("double"), "_tp_weight": weight}))
+    # rows are numbered as they are written, so that bags hold the same ones whenever they are read
+    rows = materialize(train.withColumns({"_tp_label": (F.col(target) == F.lit(positive)).cast("double"), "_tp_weight": weight, "_tp_row": F.monotonically_increasing_id()}))
     got = learn(rows, features)
-    common = {"featuresCol": "_tp_features", "labelCol": "_tp_label", "weightCol": "_tp_weight", "rawPredictionCol": "_tp_raw", "probabilityCol": "_tp_prob", "predictionCol": "_tp_pred"}
     out = {}
     for name in models:
         if name == "logistic_regression":
-            last = LogisticRegression(maxIter=500, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, **common)
+            last = LogisticRegression(maxIter=500, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, labelCol="_tp_label", weightCol="_tp_weight", **_COLUMNS)
+            out[name] = Pipeline(stages=[*feature_stages(got, True), last]).fit(rows)
         elif name == "random_forest":
-            last = RandomForestClassifier(numTrees=100, maxDepth=12, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, **common)
+            made = Pipeline(stages=feature_stages(got, False)).fit(rows)
+            forest = bagged_forest(materialize(made.transform(rows).select("_tp_features", "_tp_label", "_tp_row")), 100, seed)
+            out[name] = PipelineModel([*made.stages, forest])
         else:
             raise Refused("unknown_model", name)
-        out[name] = Pipeline(stages=[*feature_stages(got, name == "logistic_regression"), last]).fit(rows)
     return out
 
 

@@ -66,6 +66,36 @@ def test_odd_feature_columns(spark):
         models.learn(df, ["a", "b"])
 
 
+def test_each_tree_weights_the_classes_of_its_bag(spark):
+    rows = spark.range(300, numPartitions=3).select(F.col("id").alias("row"), (F.col("id") % 7 == 0).cast("double").alias("label"))
+    draws = rows.select("row", "label", *(models.drawn(42, F.lit(b), F.col("row")).alias(f"b{b}") for b in range(20))).collect()
+    want = {}
+    for b in range(20):
+        n = {c: sum(r[f"b{b}"] for r in draws if r["label"] == c) for c in (0.0, 1.0)}
+        want |= {(b, c): (n[c], sum(n.values()) / (2 * n[c])) for c in n}
+    got = models.bag_weights(rows.repartition(5), "label", "row", 20, 42).collect()
+    assert {(r["bag"], r["label"]): (r["n"], pytest.approx(r["weight"])) for r in got} == want
+    assert len({w for _, w in want.values()}) > 20
+    # the draws are those of a Poisson distribution of mean 1, and bags differ
+    flat = [r[f"b{b}"] for r in draws for b in range(20)]
+    assert all(abs(flat.count(k) / 6000 - math.exp(-1) / math.factorial(k)) < 0.02 for k in range(5))
+    assert len({tuple(r[f"b{b}"] for r in draws) for b in range(20)}) == 20
+
+
+def test_a_forest_is_the_mean_of_its_trees_and_bags_may_lack_a_class(spark):
+    few = spark.createDataFrame([(float(i), i == 3, i) for i in range(8)], "x double, t boolean, i long")
+    made = models.VectorAssembler(inputCols=["x"], outputCol="_tp_features").transform(few)
+    rows = made.select("_tp_features", F.col("t").cast("double").alias("_tp_label"), F.col("i").alias("_tp_row"))
+    bags = models.bag_weights(rows, "_tp_label", "_tp_row", 6, 1).collect()
+    assert {r["weight"] for r in bags if sum(o["bag"] == r["bag"] for o in bags) == 1} == {1.0}
+    forest = models.bagged_forest(rows, 6, 1)
+    assert len(forest.trees) == 6 == len({r["bag"] for r in bags})
+    vectors = [r[0] for r in rows.orderBy("_tp_row").select("_tp_features").collect()]
+    for v in vectors:
+        apart = [t.predictRaw(v) for t in forest.trees]
+        assert forest.predictProbability(v)[1] == pytest.approx(statistics.fmean(a[1] / (a[0] + a[1]) for a in apart))
+
+
 def test_models_learn_a_simple_rule_and_survive_saving(spark, rows):
     fitted = models.train_models(rows, "target", FEATURES)
     scores = models.long_scores(fitted, rows, "target", "yes")
@@ -73,6 +103,8 @@ def test_models_learn_a_simple_rule_and_survive_saving(spark, rows):
     assert by["random_forest"]["roc_auc"] > 0.95 and by["logistic_regression"]["roc_auc"] > 0.9
     path = new_folder(spark)
     models.save_package(fitted["random_forest"], path, "random_forest", 0.7, "target", "yes", FEATURES)
+    loaded = models.load_package(spark, path)[0].stages[-1]
+    assert loaded.getNumTrees == 100 and loaded.getOrDefault("maxDepth") == 12
     got = models.score_batch(spark, path, rows.drop("target"))
     assert got.columns == ["id", "x", "y", "kind", "flag", "score", "predicted"]
     assert got.where("predicted <> (score >= 0.7)").isEmpty()

@@ -20,8 +20,10 @@ one lies within a range.
    segments (cut to the ranges) whose anchor has unequal segments, or one that begins a text: of just these the
    distinct ones are compared, an anchor's in one task, in slices of bounded size.
 2. For each place of such a string the rest of its range is its suffix. Equal suffixes of equal strings are counted before they meet,
-   so that copies are one row; the distinct ones are sorted by Spark and scanned with a stack, as above. An interval is maximal on
-   the right as such, and on the left if its occurrences have different bytes before them or one begins a text.
+   so that copies are one row. Of a distinct one only as many bytes are sent as tell it from the others: ``least`` times the first
+   power of two at which no other one begins alike, by hashes of these lengths. These are sorted by Spark and scanned with a
+   stack, as above. An interval is maximal on the right as such, and on the left if its occurrences have different bytes before
+   them or one begins a text.
 3. Intervals of ranks are cut into blocks of 2 ** level ranks and joined with the places of the suffixes by level and block.
 
 Defined results: texts are UTF-8 bytes, null ones empty; matches never cross rows; repeated rows are copies of each other, as are
@@ -359,12 +361,14 @@ def _before(raw: bytes, at: int) -> int:
     return raw[at - 1] if at else -1
 
 
-def suffix_repeats(suffixes: Iterator[tuple[bytes, int, int, int]]) -> Iterator[tuple[bytes, int, int, int, int]]:
+def suffix_repeats(suffixes: Iterator[tuple[bytes, int, int, int, int, bytes]]) -> Iterator[tuple[bytes, int, int, int, int]]:
     """(hash, length, occurrences, first and last suffix) of each maximal repeat that the suffixes begin with.
 
-    suffixes: the distinct ones in their order: bytes, occurrences, least and greatest byte before them (-1: a text begins).
+    suffixes: the distinct ones in their order: the bytes that tell them apart, occurrences, least and greatest byte before them (-1: a text begins), whole length, hash
+    of all bytes.
     """
     stack: list[list] = []  # depth, first suffix, occurrences, least and greatest byte before
+    whole = b""
     last, rank = b"", -1
 
     def close(depth: int) -> Iterator[tuple[bytes, int, int, int, int]]:
@@ -372,19 +376,20 @@ def suffix_repeats(suffixes: Iterator[tuple[bytes, int, int, int]]) -> Iterator[
         while stack and stack[-1][0] > depth:
             d, first, n, low, high = stack.pop()
             if n > 1 and (low < high or low < 0):
-                yield xxhash.xxh3_128_digest(memoryview(last)[:d]), d, n, first, rank
+                # only the last suffix alone, all its copies, goes on behind the bytes that are known
+                yield whole if d > len(last) else xxhash.xxh3_128_digest(memoryview(last)[:d]), d, n, first, rank
             if stack and stack[-1][0] >= depth:
                 around = stack[-1]
                 around[2:] = around[2] + n, min(around[3], low), max(around[4], high)
             elif depth >= 0:
                 stack.append([depth, first, n, low, high])
 
-    for suffix, n, low, high in suffixes:
+    for suffix, n, low, high, length, name in suffixes:
         if rank >= 0:
             yield from close(_common(last, suffix))
         rank += 1
-        stack.append([len(suffix), rank, n, low, high])
-        last = suffix
+        stack.append([length, rank, n, low, high])
+        last, whole = suffix, name
     yield from close(-1)
 
 
@@ -530,7 +535,7 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     places = stash(per_key.agg(F.array_distinct(F.flatten(F.collect_list(F.transform("at", lambda x: x + F.col("lo"))))).alias("_starts")))
 
     def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each place: hashes of its string and of the rest of its range, byte before, key, id, place."""
+        """For each place: hashes of its string and of the rest of its range, of the lengths between them, byte before, key, id, place."""
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for of, text, key, spans_of, starts in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
@@ -539,34 +544,47 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
                 begins = [s for s, _ in ranges]
                 for p in starts:
                     end = ranges[bisect_right(begins, p) - 1][1]
-                    yield xxhash.xxh3_128_digest(raw[p : p + least]), xxhash.xxh3_128_digest(raw[p:end]), raw[p - 1] if p else -1, key, of, p, end
+                    told, n = xxhash.xxh3_128(raw[p : p + least]), least
+                    string, begun = told.digest(), []
+                    while p + 2 * n <= end:
+                        told.update(raw[p + n : p + 2 * n])
+                        begun.append((told.intdigest() & (1 << 64) - 1) - (1 << 63))
+                        n *= 2
+                    told.update(raw[p + n : end])
+                    yield string, told.digest(), raw[p - 1] if p else -1, key, of, p, end, begun
 
         for batch in batches:
-            schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("before", pa.int32()), ("_key", pa.binary()), ("_id", batch.schema.field(0).type), ("start", pa.int64()), ("stop", pa.int64())])
+            schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("before", pa.int32()), ("_key", pa.binary()), ("_id", batch.schema.field(0).type), ("start", pa.int64()), ("stop", pa.int64()), ("begun", pa.list_(pa.int64()))])
             yield from _batches(rows(batch), schema)
 
     wanted = places.join(per_row, places["_at"] == per_row["_of"])
     cut = docs.join(wanted, docs["_key"] == wanted["_at"]).select("_id", "_text", "_key", "_spans", "_starts")
-    members = stash(cut.mapInArrow(suffix_rows, f"string binary, suffix binary, before int, _key binary, _id {id_type}, start long, stop long"))
+    members = stash(cut.mapInArrow(suffix_rows, f"string binary, suffix binary, before int, _key binary, _id {id_type}, start long, stop long, begun array<bigint>"))
     strings = members.groupBy("string").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("x"), F.max("before").alias("y")).where("c > 1 and (x < y or x < 0)").select("string")
     members = stash(members.join(strings, "string", "left_semi"))
-    distinct = members.groupBy("string", "suffix").agg(F.min(F.struct("_key", "start", "stop")).alias("r"), F.count(F.lit(1)).alias("n"), F.min("before").alias("low"), F.max("before").alias("high"))
-    per_text = distinct.groupBy(F.col("r._key").alias("_of")).agg(F.collect_list(F.struct("string", "suffix", "r.start", "r.stop", "n", "low", "high")).alias("_rests"))
+    distinct = stash(members.groupBy("string", "suffix").agg(F.min(F.struct("_key", "start", "stop", "begun")).alias("r"), F.count(F.lit(1)).alias("n"), F.min("before").alias("low"), F.max("before").alias("high")))
+    lengths = distinct.select("string", "suffix", F.posexplode("r.begun").alias("k", "hash"))
+    alike = lengths.groupBy("string", "k", "hash").count().where("count > 1").drop("count")
+    deepest = lengths.join(alike, ["string", "k", "hash"]).groupBy("string", "suffix").agg((F.max("k") + 1).alias("deep"))
+    # one length more than those that others begin with, too
+    enough = F.col("r.start") + F.call_function("shiftleft", F.lit(least).cast("long"), F.coalesce("deep", F.lit(0)) + 1)
+    needed = distinct.join(deepest, ["string", "suffix"], "left").withColumn("cut", F.least("r.stop", enough))
+    per_text = needed.groupBy(F.col("r._key").alias("_of")).agg(F.collect_list(F.struct("string", "suffix", "r.start", "r.stop", "cut", "n", "low", "high")).alias("_rests"))
 
     def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct suffixes with their bytes."""
+        """The distinct suffixes with the bytes that tell them apart."""
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for text, mine in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 for r in mine:
-                    yield r["string"], r["suffix"], raw[r["start"] : r["stop"]], r["n"], r["low"], r["high"]
+                    yield r["string"], r["suffix"], raw[r["start"] : r["cut"]], r["n"], r["low"], r["high"], r["stop"] - r["start"]
 
         for batch in batches:
             yield from _batches(rows(batch), rest_schema)
 
-    rest_schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-    with_bytes = unique.join(per_text, unique["_key"] == per_text["_of"]).select("_text", "_rests").mapInArrow(rests, "string binary, suffix binary, bytes binary, n long, low int, high int")
+    rest_schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("length", pa.int64())])
+    with_bytes = unique.join(per_text, unique["_key"] == per_text["_of"]).select("_text", "_rests").mapInArrow(rests, "string binary, suffix binary, bytes binary, n long, low int, high int, length long")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of two kinds: a suffix with its rank; a block of ranks (level, block) of a repeat."""
@@ -579,7 +597,7 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         def rows() -> Iterator[tuple]:
             for string, group in groupby(sorted_rows(), key=lambda r: r[0]):
                 names: list[bytes] = []
-                for repeat, n_bytes, n, lo, hi in suffix_repeats(r[2:] for r in group if names.append(r[1]) is None):
+                for repeat, n_bytes, n, lo, hi in suffix_repeats((*r[2:], r[1]) for r in group if names.append(r[1]) is None):
                     for level, block in _blocks(lo, hi):
                         yield string, None, None, level, block, repeat, n_bytes, n
                 for rank, name in enumerate(names):

@@ -251,6 +251,9 @@ def test_repeat_groups_equal_brute_force(spark, none, group):
     parts = texts(5, 5, 40)
     docs = [(i, " ".join(rng.choices(parts, k=3))[rng.randrange(30) :]) for i in range(14)] + [(20, "ab" * 60), (21, None), (22, "é" * 60), (23, parts[0]), (24, parts[0])]
     docs += [(30 + i, f"{i}<{parts[1]}|{i * 7}") for i in range(30)]
+    # copies that only share their whole text, copies that also begin like others, and one that ends where others go on
+    alone, begun = texts(6, 2, 150)
+    docs += [(70, alone), (71, alone), (72, f"x{begun}"), (73, f"y{begun}"), (74, begun[:500]), (75, begun[:700] + "!")]
     want = brute_groups(docs, 80)
     got = {}
     for r in repeats.repeat_groups(frame(spark, [(*d, "s") for d in docs]).repartition(5), least=80, group=group).collect():

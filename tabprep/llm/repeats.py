@@ -16,7 +16,7 @@ strings with the same anchor is one segment, some 170 strings together.
 These steps give the ranges to remove. ``repeat_groups`` gives the maximal repeats themselves, each with all its occurrences; every
 one lies within a range.
 
-1. A repeat begins with a string of ``least`` bytes that has different bytes before it, or begins a text. Such strings stand only in
+1. Texts with ranges are written once, and numbered. A repeat begins with a string of ``least`` bytes that has different bytes before it, or begins a text. Such strings stand only in
    segments (cut to the ranges) whose anchor has unequal segments, or one that begins a text: of just these the
    distinct ones are compared, an anchor's in one task, in slices of bounded size.
 2. For each place of such a string the rest of its range is its suffix. Equal suffixes of equal strings are counted before they meet,
@@ -464,13 +464,15 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = documents.schema[id_col].dataType.simpleString()
     spans = repeated_spans(documents, id_col=id_col, text_col=text_col, least=least, **options)
     per_row = stash(spans.groupBy(F.col("_key").alias("_of")).agg(F.collect_set(F.struct("start", "end")).alias("_spans")))
+    # the numbers only name rows of this table; results don't depend on them
+    texts = stash(docs.join(per_row, docs["_key"] == per_row["_of"]).select("_id", "_text", "_spans", F.monotonically_increasing_id().alias("_row")))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each segment the strings within a range: anchor, hash of them with the byte before, whether a text begins with them, places."""
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             data, bounds = vec.text_bytes(batch.column(0))
-            keys = batch.column(1).to_pylist()
+            rows_of = batch.column(1).to_pylist()
             ranges = [_merged([(x["start"], x["end"]) for x in r]) for r in batch.column(2).to_pylist()]
             edges = [([s for s, _ in r], [e for _, e in r]) for r in ranges]
             for base, row, h, first, last, _ in segments(data, bounds, least):
@@ -484,19 +486,17 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
                         lo, hi = max(f, starts[k]), min(t, ends[k] - least)
                         if lo <= hi:
                             told = data[zero + max(lo - 1, 0) : zero + hi + least].tobytes()
-                            yield anchor, xxhash.xxh3_128_digest(told), lo == 0, keys[r], lo, hi
+                            yield anchor, xxhash.xxh3_128_digest(told), lo == 0, rows_of[r], lo, hi
 
         for batch in batches:
             yield from _batches(rows(batch), run_schema)
 
-    run_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("begins", pa.bool_()), ("_key", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
-    with_spans = docs.join(per_row, docs["_key"] == per_row["_of"]).select("_text", "_key", "_spans")
-    found = stash(with_spans.mapInArrow(runs, "anchor long, same binary, begins boolean, _key binary, lo long, hi long"))
+    run_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("begins", pa.bool_()), ("_row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    found = stash(texts.select("_text", "_row", "_spans").mapInArrow(runs, "anchor long, same binary, begins boolean, _row long, lo long, hi long"))
     mixed = found.groupBy("anchor").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.max("begins").alias("begins")).where("begins or a <> b")
     # of equal segments of an anchor one is looked at
-    one = found.join(mixed.select("anchor"), "anchor", "left_semi").groupBy("anchor", "same").agg(F.min(F.struct("_key", "lo", "hi")).alias("r"))
-    per_text = one.groupBy(F.col("r._key").alias("_of")).agg(F.collect_list(F.struct("anchor", "same", "r.lo", "r.hi")).alias("_runs"))
-    unique = docs.dropDuplicates(["_key"])
+    one = found.join(mixed.select("anchor"), "anchor", "left_semi").groupBy("anchor", "same").agg(F.min(F.struct("_row", "lo", "hi")).alias("r"))
+    per_text = one.groupBy("r._row").agg(F.collect_list(F.struct("anchor", "same", "r.lo", "r.hi")).alias("_runs"))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the given segments, with the one before."""
@@ -511,7 +511,7 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield from _batches(rows(batch), shown_schema)
 
     shown_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("before", pa.int32()), ("bytes", pa.binary())])
-    dealt = unique.join(per_text, unique["_key"] == per_text["_of"]).select("_text", "_runs").mapInArrow(shown, "anchor long, same binary, before int, bytes binary")
+    dealt = texts.join(per_text, "_row").select("_text", "_runs").mapInArrow(shown, "anchor long, same binary, before int, bytes binary")
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per segment the places in it where a repeat may begin."""
@@ -531,14 +531,14 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     begin_schema = pa.schema([("anchor", pa.int64()), ("same", pa.binary()), ("at", pa.list_(pa.int64()))])
     begun = dealt.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(begin, "anchor long, same binary, at array<bigint>")
-    per_key = found.select("anchor", "same", "_key", "lo").distinct().join(begun, ["anchor", "same"]).groupBy(F.col("_key").alias("_at"))
-    places = stash(per_key.agg(F.array_distinct(F.flatten(F.collect_list(F.transform("at", lambda x: x + F.col("lo"))))).alias("_starts")))
+    per_place = found.select("anchor", "same", "_row", "lo").join(begun, ["anchor", "same"]).groupBy("_row")
+    places = stash(per_place.agg(F.array_distinct(F.flatten(F.collect_list(F.transform("at", lambda x: x + F.col("lo"))))).alias("_starts")))
 
     def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each place: hashes of its string and of the rest of its range, of the lengths between them, byte before, key, id, place."""
+        """For each place: hashes of its string and of the rest of its range, of the lengths between them, byte before, row, id, place."""
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for of, text, key, spans_of, starts in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for of, text, row, spans_of, starts in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 raw = memoryview(text.as_buffer())
                 ranges = _merged([(x["start"], x["end"]) for x in spans_of])
                 begins = [s for s, _ in ranges]
@@ -551,25 +551,22 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
                         begun.append((told.intdigest() & (1 << 64) - 1) - (1 << 63))
                         n *= 2
                     told.update(raw[p + n : end])
-                    yield string, told.digest(), raw[p - 1] if p else -1, key, of, p, end, begun
+                    yield string, told.digest(), raw[p - 1] if p else -1, row, of, p, end, begun
 
         for batch in batches:
-            schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("before", pa.int32()), ("_key", pa.binary()), ("_id", batch.schema.field(0).type), ("start", pa.int64()), ("stop", pa.int64()), ("begun", pa.list_(pa.int64()))])
+            schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("before", pa.int32()), ("_row", pa.int64()), ("_id", batch.schema.field(0).type), ("start", pa.int64()), ("stop", pa.int64()), ("begun", pa.list_(pa.int64()))])
             yield from _batches(rows(batch), schema)
 
-    wanted = places.join(per_row, places["_at"] == per_row["_of"])
-    cut = docs.join(wanted, docs["_key"] == wanted["_at"]).select("_id", "_text", "_key", "_spans", "_starts")
-    members = stash(cut.mapInArrow(suffix_rows, f"string binary, suffix binary, before int, _key binary, _id {id_type}, start long, stop long, begun array<bigint>"))
-    strings = members.groupBy("string").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("x"), F.max("before").alias("y")).where("c > 1 and (x < y or x < 0)").select("string")
-    members = stash(members.join(strings, "string", "left_semi"))
-    distinct = stash(members.groupBy("string", "suffix").agg(F.min(F.struct("_key", "start", "stop", "begun")).alias("r"), F.count(F.lit(1)).alias("n"), F.min("before").alias("low"), F.max("before").alias("high")))
+    cut = texts.join(places, "_row").select("_id", "_text", "_row", "_spans", "_starts")
+    members = stash(cut.mapInArrow(suffix_rows, f"string binary, suffix binary, before int, _row long, _id {id_type}, start long, stop long, begun array<bigint>"))
+    distinct = stash(members.groupBy("string", "suffix").agg(F.min(F.struct("_row", "start", "stop", "begun")).alias("r"), F.count(F.lit(1)).alias("n"), F.min("before").alias("low"), F.max("before").alias("high")))
     lengths = distinct.select("string", "suffix", F.posexplode("r.begun").alias("k", "hash"))
     alike = lengths.groupBy("string", "k", "hash").count().where("count > 1").drop("count")
     deepest = lengths.join(alike, ["string", "k", "hash"]).groupBy("string", "suffix").agg((F.max("k") + 1).alias("deep"))
     # one length more than those that others begin with, too
     enough = F.col("r.start") + F.call_function("shiftleft", F.lit(least).cast("long"), F.coalesce("deep", F.lit(0)) + 1)
     needed = distinct.join(deepest, ["string", "suffix"], "left").withColumn("cut", F.least("r.stop", enough))
-    per_text = needed.groupBy(F.col("r._key").alias("_of")).agg(F.collect_list(F.struct("string", "suffix", "r.start", "r.stop", "cut", "n", "low", "high")).alias("_rests"))
+    per_text = needed.groupBy("r._row").agg(F.collect_list(F.struct("string", "suffix", "r.start", "r.stop", "cut", "n", "low", "high")).alias("_rests"))
 
     def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct suffixes with the bytes that tell them apart."""
@@ -584,10 +581,10 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield from _batches(rows(batch), rest_schema)
 
     rest_schema = pa.schema([("string", pa.binary()), ("suffix", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("length", pa.int64())])
-    with_bytes = unique.join(per_text, unique["_key"] == per_text["_of"]).select("_text", "_rests").mapInArrow(rests, "string binary, suffix binary, bytes binary, n long, low int, high int, length long")
+    with_bytes = texts.join(per_text, "_row").select("_text", "_rests").mapInArrow(rests, "string binary, suffix binary, bytes binary, n long, low int, high int, length long")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of two kinds: a suffix with its rank; a block of ranks (level, block) of a repeat."""
+        """Rows of two kinds: a suffix with its rank and the levels (as bits) of the blocks that hold it; a block of ranks (level, block) of a repeat."""
 
         def sorted_rows() -> Iterator[tuple]:
             for batch in batches:
@@ -597,11 +594,15 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         def rows() -> Iterator[tuple]:
             for string, group in groupby(sorted_rows(), key=lambda r: r[0]):
                 names: list[bytes] = []
+                held: set[tuple[int, int]] = set()
                 for repeat, n_bytes, n, lo, hi in suffix_repeats((*r[2:], r[1]) for r in group if names.append(r[1]) is None):
                     for level, block in _blocks(lo, hi):
+                        held.add((level, block))
                         yield string, None, None, level, block, repeat, n_bytes, n
                 for rank, name in enumerate(names):
-                    yield string, name, rank, len(names).bit_length(), None, None, None, None
+                    levels = sum(1 << k for k in range(len(names).bit_length()) if (k, rank >> k) in held)
+                    if levels:
+                        yield string, name, rank, levels, None, None, None, None
 
         yield from _batches(rows(), node_schema)
 
@@ -610,7 +611,7 @@ def repeat_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     nodes = stash(ordered.mapInArrow(scan, "string binary, suffix binary, rank long, level int, block long, repeat binary, n_bytes long, occurrences long"))
     ranks = nodes.where("suffix is not null").select("string", "suffix", "rank", F.col("level").alias("levels"))
     placed = members.select("string", "suffix", "_id", "start").join(ranks, ["string", "suffix"])
-    placed = placed.select("string", "_id", "start", "rank", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+    placed = placed.select("string", "_id", "start", "rank", F.explode(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.getbit("levels", k) == 1)).alias("level"))
     placed = placed.select("string", "level", F.call_function("shiftright", F.col("rank"), F.col("level")).alias("block"), "_id", "start")
     out = placed.join(nodes.where("suffix is null").select("string", "level", "block", "repeat", "n_bytes", "occurrences"), ["string", "level", "block"])
     return out.select("repeat", "n_bytes", "occurrences", F.col("_id").alias(id_col), "start", (F.col("start") + F.col("n_bytes")).alias("end"))

@@ -195,12 +195,31 @@ def read_version(spark: SparkSession, log: str, version: str) -> DataFrame:
     return spark.read.parquet(at[0])
 
 
+#: Rows that a task of inherit_sources sorts at once, about; lineage of so few rows is broadcast.
+ROWS_A_TASK, FEW = 500_000, 10_000
+
+
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys over as many tasks as so many rows want, so that no task's memory grows with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def inherit_sources(lineage: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per version the sources of all its inputs in input order, each once where first seen (ties by name), numbered from 0."""
+    """Per version the sources of all its inputs in input order, each once where first seen (ties by name), numbered from 0.
+
+    How many rows the join gives is estimated from the sources of a version on the average; it decides on the number of tasks only.
+    """
     own = sources.select(F.col("version").alias("input"), "source", F.col("source_order").alias("_at"))
-    first = lineage.join(own, "input").groupBy("version", "source").agg(F.min(F.struct("input_order", "_at")).alias("_first"))
+    inputs, held, of = lineage.count(), *own.agg(F.count(F.lit(1)), F.approx_count_distinct("input")).first()
+    seen = inputs * held // max(of, 1)
+    if inputs <= FEW:
+        joined = F.broadcast(lineage).join(own, "input")
+    else:
+        joined = _dealt(lineage, inputs + held, "input").join(_dealt(own, inputs + held, "input"), "input")
+    taken = joined.select("version", "source", F.struct("input_order", "_at").alias("_first"))
+    first = _dealt(taken, seen, "version", "source").groupBy("version", "source").agg(F.min("_first").alias("_first"))
     place = F.row_number().over(Window.partitionBy("version").orderBy("_first", "source")) - 1
-    return first.select("version", "source", place.cast("long").alias("source_order"))
+    return _dealt(first, seen, "version").select("version", "source", place.cast("long").alias("source_order"))
 
 
 def preview_status(previews: DataFrame, heads: DataFrame, verified: DataFrame, now: Column) -> DataFrame:

@@ -111,3 +111,19 @@ def test_an_append_of_other_versions_is_in_the_lineage(spark):
     lineage = versions.version_lineage(versions.read_log(spark, log, "lineage"), version).collect()
     assert [(r["input"], r["role"]) for r in lineage] == [("v2", "base"), ("v1", "append")]
     assert versions.read_log(spark, log, "sources").where(F.col("version") == version).count() == 2
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_no_task_takes_all_inherited_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(versions, "ROWS_A_TASK", 40, raising=False)
+    monkeypatch.setattr(versions, "FEW", few, raising=False)
+    inputs = [(f"v{i}", f"v{(i + j) % 100}", j) for i in range(100) for j in (0, 7)]
+    own = [(f"v{i}", f"s{(i * 3 + j) % 50}", j) for i in range(100) for j in range(5)]
+    got = versions.inherit_sources(spark.createDataFrame(inputs, "version string, input string, input_order int"), spark.createDataFrame(own, "version string, source string, source_order int"))
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    want = set()
+    for i in range(100):
+        seen = dict.fromkeys(s for j in (0, 7) for v, s, _ in own if v == f"v{(i + j) % 100}")
+        want |= {(f"v{i}", s, k) for k, s in enumerate(seen)}
+    assert len(rows) == len(want) and {(r["version"], r["source"], r["source_order"]) for r in rows} == want
+    assert max(sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}) < len(rows) / 5

@@ -26,6 +26,11 @@ one lies within a range.
    them or one begins a text.
 3. Intervals of ranks are cut into blocks of 2 ** level ranks and joined with the places of the suffixes by level and block.
 
+``shared_passages`` tells of words, beside the bytes: a passage of some words may be shorter than ``least`` bytes, so that the rule of
+bytes leaves it. Its windows have anchors and segments of words, likewise. Segments are known by the 64-bit hash of their words. One
+that two documents have is shared whole; of the others only those are compared window by window whose anchor others have, each distinct
+one once, in an ordinary aggregation. All windows of a segment hold its anchor, so what they cover is one range of words.
+
 Defined results: texts are UTF-8 bytes, null ones empty; matches never cross rows; repeated rows are copies of each other, as are
 equal texts; a text shorter than ``least`` bytes stays as it is; an empty table gives an empty result.
 """
@@ -45,10 +50,12 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .native import row_key
-from .shared import small_batches, stash
+from .shared import hot_keys, small_batches, spread_join, stash
 
 #: Bytes of an anchor.
 ANCHOR = 64
+#: Words of an anchor of words.
+ANCHOR_WORDS = 8
 #: Bits of the places of anchors within a piece.
 _PLACE = 20
 
@@ -303,33 +310,156 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     return by_group.union(local).union(by_hash)
 
 
-def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, **options) -> DataFrame:
-    """Per row: id, n_bytes, spans (removed byte ranges, merged), kept (the remaining bytes)."""
+def word_segments(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the runs of windows of some words with the same anchor: row, hash of the anchor, hash of all words, first window in the row, windows;
+    then the first window in the piece, and the piece's prefix sums of word hashes."""
+    size = 1 << 17
+    data, bounds = vec.text_bytes(column)
+    kind, hashes, rows = vec.table(vec.SPACES), [np.zeros(0, vec.U)], [np.zeros(0, np.int64)]
+    for base, start, end in vec.stretches(data, bounds, kind, 1 << 18):
+        if len(start):
+            hashes.append(vec.span_hashes(vec.prefix_sums(data[base : base + int(end[-1])]), start, end))
+            rows.append(vec.rows_of(start + base, bounds))
+    word, row_of = np.concatenate(hashes), np.concatenate(rows)
+    begin = np.searchsorted(row_of, np.arange(len(bounds)))
+    anchor = min(ANCHOR_WORDS, words)
+    reach = words - anchor + 1
+    for a in range(0, len(word) - words + 1, size):
+        part, row = word[a : a + size + words - 1], row_of[a : a + size + words - 1]
+        sums = np.zeros(len(part) + 1, vec.U)
+        np.cumsum(part * vec.powers(vec._B, len(part)), out=sums[1:])
+        at = np.arange(len(part) - anchor + 1)
+        h = vec.span_hashes(sums, at, at + anchor)
+        blocks = -(-len(at) // reach)
+        padded = np.full(blocks * reach, 2**64 - 1, vec.U)
+        padded[: len(at)] = (h >> vec.U(_PLACE) << vec.U(_PLACE)) | at.astype(vec.U)
+        square = padded.reshape(blocks, reach)
+        ahead = np.minimum.accumulate(square, axis=1).ravel()
+        behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
+        count = len(part) - words + 1
+        low = np.minimum(behind[:count], ahead[reach - 1 : reach - 1 + count])
+        place = (low & vec.U((1 << _PLACE) - 1)).astype(np.int64)
+        # the windows that lie within one row
+        whole = row[words - 1 :] == row[:count]
+        new = np.ones(count, bool)
+        new[1:] = (place[1:] != place[:-1]) | (row[1:count] != row[: count - 1]) | (whole[1:] != whole[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], count) - 1
+        keep = whole[first]
+        first, last = first[keep], last[keep]
+        yield row[first], h[place[first]], vec.span_hashes(sums, first, last + words), first + a - begin[row[first]], last - first + 1, first, sums
+
+
+def shared_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 51, bits: int = 26) -> DataFrame:
+    """_key of the row, first and end word of what its windows of so many words cover that another document has, too (another id or another text)."""
+    spark = small_batches(documents.sparkSession)
+    docs = _keyed(documents, id_col, text_col)
+    short = (1 << 32) - 1  # bits of an anchor that are kept: others that share them are compared in vain
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, h, *_ in word_segments(batch.column(0), words):
+                once = np.unique(row.astype(vec.U) << vec.U(32) | (h & vec.U(short)))  # repeats within a text don't count
+                yield pa.RecordBatch.from_arrays([pa.array(once.astype(np.uint32).view(np.int32))], ["anchor"])
+
+    counts = docs.select("_text").mapInArrow(anchors, "anchor int").groupBy("anchor").count().where("count > 1")
+    twice = spark.sparkContext.broadcast(_bit_map(counts.select(F.col("anchor").cast("long").alias("anchor")), bits))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, h, same, first, n, *_ in word_segments(batch.column(0), words):
+                hit = np.flatnonzero(_set(twice.value, h))
+                columns = [pa.array(same[hit].view(np.int64)), pa.array((h[hit] & vec.U(short)).astype(np.uint32).view(np.int32)), batch.column(1).take(pa.array(row[hit])), pa.array(first[hit]), pa.array(n[hit])]
+                yield pa.RecordBatch.from_arrays(columns, ["same", "anchor", "_key", "first", "n"])
+
+    sent = stash(docs.select("_text", "_key").mapInArrow(send, "same long, anchor int, _key binary, first long, n long"))
+    doc = F.xxhash64("_key")
+    kinds = stash(sent.groupBy("same", "anchor").agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.count(F.lit(1)).alias("rows")))
+    mixed = kinds.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count(F.lit(1)).alias("kinds"), F.bool_or(F.expr("low = high")).alias("alone"))
+    looked_at = stash(kinds.join(mixed.where("a <> b and kinds > 1 and alone").select("anchor"), "anchor").select("same", F.expr("low = high").alias("alone")))
+    wanted = spark.sparkContext.broadcast(_bit_map(looked_at.select(F.col("same").alias("anchor")), bits))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each distinct segment the hashes of its windows, for up to two documents."""
+        met: dict[int, int | None] = {}  # forgetting only costs sending again
+        for batch in batches:
+            owners = batch.column(1).to_pylist()
+            for row, _, same, _, n, first, sums in word_segments(batch.column(0), words):
+                hit = np.flatnonzero(_set(wanted.value, same))
+                if len(met) > 200_000:
+                    met.clear()
+                chosen = []
+                for i, key, r in zip(hit.tolist(), same[hit].tolist(), row[hit].tolist(), strict=True):
+                    if key not in met:
+                        met[key] = owners[r]
+                    elif met[key] is None or met[key] == owners[r]:
+                        continue
+                    else:
+                        met[key] = None
+                    chosen.append(i)
+                chosen = np.array(chosen, np.int64)
+                ends = np.cumsum(n[chosen])
+                at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[chosen] - ends + n[chosen], n[chosen])
+                hashes = pa.array(vec.span_hashes(sums, at, at + words).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(same[chosen].view(np.int64)), batch.column(1).take(pa.array(row[chosen])), lists], ["same", "doc", "hashes"])
+
+    shown = stash(docs.select("_text", doc.alias("doc")).mapInArrow(windows, "same long, doc long, hashes array<bigint>"))
+    in_two = shown.select("doc", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("hash")
+    own = shown.join(looked_at.where("alone").select("same"), "same", "left_semi").select("same", F.posexplode("hashes").alias("at", "hash"))
+    parts = own.join(in_two, "hash", "left_semi").groupBy("same").agg(F.min("at").cast("long").alias("from"), F.max("at").cast("long").alias("to"))
+    found = kinds.where("low <> high").select("same", F.lit(0).cast("long").alias("from"), F.lit(None).cast("long").alias("to")).union(parts)
+    total = kinds.agg(F.sum("rows")).first()[0] or 0
+    placed = spread_join(sent.select("same", "_key", "first", "n"), found, "same", hot_keys(kinds, "same", "rows", total), "_key")
+    return placed.select("_key", (F.col("first") + F.col("from")).alias("start"), (F.col("first") + F.coalesce("to", F.col("n") - 1) + words).alias("end"))
+
+
+def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, words: int = 0, **options) -> DataFrame:
+    """Per row: id, n_bytes, spans (removed byte ranges, merged), kept (the remaining bytes), passages (word ranges that are shared by ``words`` words
+    or more with another document, merged; none if words is 0). Passages aren't removed."""
     spans = repeated_spans(documents, id_col=id_col, text_col=text_col, least=least, **options)
-    per_row = spans.select(F.col("_key").alias("_of"), F.struct("start", "end").alias("span")).groupBy("_of").agg(F.collect_set("span").alias("_spans"))
+    span, none = F.struct("start", "end"), F.lit(None).cast("struct<start:bigint,end:bigint>")
+    both = spans.select(F.col("_key").alias("_of"), span.alias("span"), none.alias("passage"))
+    if words:
+        passages = shared_passages(documents, id_col=id_col, text_col=text_col, words=words)
+        both = both.union(passages.select("_key", none, span))
+    per_row = stash(both.groupBy("_of").agg(F.collect_set("span").alias("_spans"), F.collect_set("passage").alias("_passages")))
+    some = documents.sparkSession.sparkContext.broadcast(_bit_map(per_row.select(F.xxhash64("_of").alias("anchor")), 26))
     docs = _keyed(documents, id_col, text_col)
-    joined = docs.join(per_row, docs["_key"] == per_row["_of"], "left").select("_id", "_text", "_spans")
+    id_type = documents.schema[id_col].dataType.simpleString()
+
+    def those(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_set(some.value, batch.column(3).to_numpy().view(np.uint64)) == hit)).select(["_id", "_text", "_key"])
+
+    def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from those(batches, True)
+
+    placed = docs.select("_id", "_text", "_key", F.xxhash64("_key"))
+    found = placed.mapInArrow(with_spans, f"_id {id_type}, _text string, _key binary").join(per_row, F.col("_key") == F.col("_of"), "left").select("_id", "_text", "_spans", "_passages")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, merged, kept = [], [], []
+            passages = [[{"start": s, "end": e} for s, e in _merged([(x["start"], x["end"]) for x in found or ()])] for found in batch.column(3).to_pylist()]
             for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                mine: list[list[int]] = []
-                for s, e in sorted((x["start"], x["end"]) for x in found or ()):
-                    if mine and s <= mine[-1][1]:
-                        mine[-1][1] = max(mine[-1][1], e)
-                    else:
-                        mine.append([s, e])
+                mine = _merged([(x["start"], x["end"]) for x in found or ()])
                 edges = [0, *(x for m in mine for x in m), len(raw)]
                 n.append(len(raw))
                 merged.append([{"start": s, "end": e} for s, e in mine])
                 kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(merged, span_type), pa.array(kept, pa.binary())], ["_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(merged, span_type), pa.array(kept, pa.binary()), pa.array(passages, span_type)], ["_id", "n_bytes", "spans", "kept", "passages"])
 
-    id_type = documents.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(cut, f"_id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("_id", id_col)
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have no spans: they needn't be shuffled. One function, so that a task has one Python worker."""
+        for batch in those(batches, False):
+            empty = pa.nulls(batch.num_rows, pa.list_(span_type.value_type))
+            yield from cut(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), empty, empty], ["_id", "_text", "_spans", "_passages"])]))
+
+    schema = f"_id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, passages array<struct<start:bigint,end:bigint>>"
+    return found.mapInArrow(cut, schema).union(placed.mapInArrow(without, schema)).withColumnRenamed("_id", id_col)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -622,9 +752,10 @@ def op8_repeat_groups(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
-    done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns; then of words: n_passage_words (within 51 words or more that another document has, too) and shares_passage (whether there are any)."""
+    done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=51)
+    removed, told = (F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]) for c in ("spans", "passages"))
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), told.alias("n_passage_words"), (told > 0).alias("shares_passage"))
 
 
 def brute_force(texts: list[bytes], least: int) -> list[list[tuple[int, int]]]:

@@ -222,6 +222,42 @@ def test_repeats_equal_brute_force(spark, odd, none):
     assert repeats.remove_repeats(odd).count() == 8 and repeats.remove_repeats(none).count() == 0
 
 
+def test_shared_passages_equal_brute_force(spark, odd, none):
+    rng = random.Random(23)
+    parts = texts(24, 6, 30)
+    docs = [(i, rng.choice(["", "\n"]).join(f"{t}  " for t in rng.choices(parts, k=3))[rng.randrange(60) : -rng.randrange(1, 60)]) for i in range(30)]
+    docs += [(40, "a " * 90), (41, "b\t" * 40), (42, None), (43, " ".join(WORDS[:9])), (44, parts[0]), (45, parts[0]), (46, f"{parts[1]} {parts[1]}"), (47, "a " * 20 + "c"), (48, "é ü " * 9), (49, "é ü " * 30)]
+    for words in (9, 20):
+        where = {}
+        for d, t in docs:
+            w = (t or "").split()
+            for k in range(len(w) - words + 1):
+                where.setdefault(tuple(w[k : k + words]), set()).add(d)
+        want = {}
+        for d, t in docs:
+            w = (t or "").split()
+            hit = {p for k in range(len(w) - words + 1) if len(where[tuple(w[k : k + words])]) > 1 for p in range(k, k + words)}
+            want[d] = sorted(hit)
+        got = {r["doc_id"]: [p for s, e in r["passages"] for p in range(s, e)] for r in repeats.remove_repeats(frame(spark, [(*d, "s") for d in docs]).repartition(5), words=words).collect()}
+        assert got == want and not all(want.values())
+    assert repeats.remove_repeats(odd, words=51).count() == 8 and repeats.remove_repeats(none, words=51).count() == 0
+
+
+def test_op8_tells_passages_that_the_rule_of_bytes_leaves(spark, tmp_path):
+    own = texts(25, 8, 90)
+    short = " ".join(texts(26, 1, 55))
+    assert len(short) < 400
+    docs = [(i, f"{t} {short} {own[i - 1]}" if i < 4 else t, "s") for i, t in enumerate(own)]
+    docs[1] = (1, f"x {short} y", "s")
+    docs[3:] = [(i + 3, t, "s") for i, t in enumerate(texts(27, 4, 90))]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in repeats.op8_repeats(spark, str(tmp_path)).collect()}
+    assert [got[i]["shares_passage"] for i, *_ in docs] == [True] * 3 + [False] * 4
+    assert [got[i]["n_passage_words"] for i in range(3)] == [55] * 3
+    for i, t, _ in docs:  # what the contract removes is as before
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+
+
 def brute_groups(docs, least):
     """Occurrences of each maximal repeat, by growing every repeated string to the right until its occurrences part."""
     texts_of = [(t or "").encode() for _, t in docs]

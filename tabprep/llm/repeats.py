@@ -324,8 +324,14 @@ def word_segments(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np
     begin = np.searchsorted(row_of, np.arange(len(bounds)))
     anchor = min(ANCHOR_WORDS, words)
     reach = words - anchor + 1
-    for a in range(0, len(word) - words + 1, size):
-        part, row = word[a : a + size + words - 1], row_of[a : a + size + words - 1]
+    cuts: list[tuple[int, int]] = []  # at rows' bounds or counted from a row's first word, so that they don't depend on the batch
+    for lo, hi in vec.pieces(begin, size):
+        a, b = int(begin[lo]), int(begin[hi])
+        cuts += [(a, b)] if b - a <= size else [(s, min(b, s + size + words - 1)) for s in range(a, max(b - words + 1, a + 1), size)]
+    for a, b in cuts:
+        if b - a < words:
+            continue
+        part, row = word[a:b], row_of[a:b]
         sums = np.zeros(len(part) + 1, vec.U)
         np.cumsum(part * vec.powers(vec._B, len(part)), out=sums[1:])
         at = np.arange(len(part) - anchor + 1)

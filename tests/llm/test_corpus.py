@@ -243,6 +243,14 @@ def test_shared_passages_equal_brute_force(spark, odd, none):
     assert repeats.remove_repeats(odd, words=51).count() == 8 and repeats.remove_repeats(none, words=51).count() == 0
 
 
+def test_word_segments_do_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    docs = [*texts(28, 60, 5_000), *texts(29, 1, 300_000)]
+    told = lambda some: [x for *c, _, _ in repeats.word_segments(pa.array(some), 51) for x in zip(*(a.tolist() for a in c[1:]), strict=True)]
+    assert told(docs) == [x for t in docs for x in told([t])]
+
+
 def test_op8_tells_passages_that_the_rule_of_bytes_leaves(spark, tmp_path):
     own = texts(25, 8, 90)
     short = " ".join(texts(26, 1, 55))
